@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import exact, sharding
+from voxelmill.llm import bpe, decontam, exact, sharding
 from voxelmill.session import read_table
 
 
@@ -20,9 +21,29 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.mark_contamination(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id", "contamination")
+    hit = decontam.hit_words(F.col("contamination"))
+    listed = F.array_join(F.array_sort(F.transform("contamination.items", lambda x: x.cast("string"))), ",")
+    return found.select(
+        "doc_id",
+        F.col("contamination.n_words").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, id_cols=["doc_id"], ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact.OP7_SQL}
+    return {"op7_exact_dedup": exact.OP7_SQL, "op8_decontamination": decontam.OP8_SQL}
