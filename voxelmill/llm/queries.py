@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import bpe, decontam, exact, sharding
+from voxelmill.llm import bpe, decontam, exact, pii, sharding
 from voxelmill.session import read_table
 
 
@@ -41,6 +41,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, id_cols=["doc_id"], ids=False)
 
 
+#: The key of the registered query; a user passes a secret of their own.
+PII_KEY = "an example key"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pii.pseudonymise(docs, PII_KEY)
+    counts = [F.coalesce(F.col("pii_counts")[kind], F.lit(0)).alias(f"n_{kind}") for kind in pii.KINDS]
+    return made.select("doc_id", F.col("pseudonymised").alias("text"), (F.size("pii_counts") > 0).alias("changed"), *counts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
