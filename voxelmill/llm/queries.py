@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import bpe, decontam, exact, html, pii, quality, sharding
+from voxelmill.llm import bpe, decontam, exact, html, minhash, pii, quality, sharding
 from voxelmill.session import read_table
 
 
@@ -23,6 +23,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.with_score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
