@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import bpe, decontam, exact, html, minhash, pii, quality, sharding
+from voxelmill.llm import bpe, decontam, exact, html, minhash, pii, quality, sharding, token_counts
 from voxelmill.session import read_table
 
 
@@ -33,6 +33,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.remainder(F.col("doc_id")) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "n_pre_tokens", "n_tokens")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_table(spark, sf_dir, "documents"))
 

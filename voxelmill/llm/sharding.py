@@ -42,10 +42,10 @@ def _range_of(key: Column, bounds: list[tuple[str, int]]) -> Column:
     return F.when(first == 0, F.lit(0)).otherwise((first - 1) * step + inside)
 
 
-def _draw(rows: DataFrame, weight: Column, size: int, seed: str) -> DataFrame:
-    """The ``size`` keys of largest u^(1/weight), u being uniform by a hash: a weighted sample without replacement."""
-    u = (F.pmod(F.xxhash64("h", "i", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
-    return rows.select("h", "i", (F.log(u) / weight).alias("priority")).orderBy(F.desc("priority"), "h", "i").limit(size)
+def _draw(rows: DataFrame, weight: Column, total: float, size: int, seed: str) -> list[tuple[str, int]]:
+    """About ``size`` keys, each drawn with a chance in proportion to its weight, by a hash; ``total`` is the weight of all."""
+    u = F.pmod(F.xxhash64("h", "i", "size", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return [(r["h"], r["i"]) for r in rows.where(u < weight * F.lit(size / total)).select("h", "i").collect()]
 
 
 def _quantiles(keys: list[tuple[str, int]], pieces: int) -> list[tuple[str, int]]:
@@ -65,7 +65,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     empty table gives an empty result; other columns are ignored.
 
     Only key, size and checksum leave the scan. The sample on the driver has
-    ``shards * 8 * 16`` keys at most, the table of ranges some thousand rows.
+    about ``shards * 8 * 16`` keys, the table of ranges some thousand rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     records = cut_lineage(
@@ -82,21 +82,22 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     ranges = shards * RANGES_PER_SHARD
     # by size, and half of it by count, so that a range is bounded in rows as well
     weight = F.col("size") / F.lit(float(max(all_bytes, 1))) + F.lit(1.0 / all_rows)
-    bounds = _quantiles([(r["h"], r["i"]) for r in _draw(records, weight, ranges * DRAWS_PER_RANGE, "0").collect()], ranges)
+    bounds = _quantiles(_draw(records, weight, 2.0, ranges * DRAWS_PER_RANGE, "0"), ranges)
     key = F.struct(F.col("h"), F.col("i"))
     for round_ in range(1, ROUNDS + 1):
         filled = records.groupBy(_range_of(key, bounds).alias("range")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         heavy = (
             filled.withColumn("times", F.greatest(F.col("bytes") * ranges / F.lit(float(max(all_bytes, 1))), F.col("rows") * ranges / F.lit(float(all_rows))))
             .where((F.col("times") > OVERFULL) & (F.col("rows") > DRAWS_PER_RANGE))
-            .select("range", "times")
+            .select("range", "times", "bytes", "rows")
             .collect()
         )
         finer = set(bounds)
         if heavy:
             inside = records.where(_range_of(key, bounds).isin([r["range"] for r in heavy]))
             pieces = int(sum(r["times"] for r in heavy)) + len(heavy)
-            finer |= set(_quantiles([(r["h"], r["i"]) for r in _draw(inside, weight, pieces * DRAWS_PER_RANGE, str(round_)).collect()], pieces))
+            share = sum(r["bytes"] / max(all_bytes, 1) + r["rows"] / all_rows for r in heavy)
+            finer |= set(_quantiles(_draw(inside, weight, share, pieces * DRAWS_PER_RANGE, str(round_)), pieces))
         if len(finer) == len(bounds):
             break
         bounds = sorted(finer)
