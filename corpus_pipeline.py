@@ -1,7 +1,73 @@
-"""Cleaning pipeline over documents."""
+"""Cleaning pipeline: quality, exact and near dedup, decontamination, tokens.
+
+Every stage takes the documents its predecessor kept and returns those it keeps, with
+the columns of documents; the last returns the encoded texts. Between stages ``run``
+writes Parquet in the cluster's shared folder, so a lost executor repeats one stage at
+most.
+"""
+
+from __future__ import annotations
+
+import uuid
+from functools import reduce
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelmill.llm import bpe, decontam, exact, minhash, quality
+from voxelmill.session import read_table, shared_folder
+
+#: No SQL expresses the classifier, the sampling of near-duplicates or the merges; tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least one half, by a model fitted on the labelled ones."""
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model, into="_score").where("_score >= 0.5").select(*docs.columns)
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal normalised texts the one with the smallest doc_id."""
+    return exact.keep_first(docs)
+
+
+def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the one with the smallest doc_id."""
+    return minhash.keep_one(docs)
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of the benchmark; documents that are mostly benchmark go."""
+    cut = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and digests of the ids and of the text decoded from them."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, id_cols=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("exact dedup", keep_one_copy),
+    ("near-duplicate removal", keep_one_near_copy),
+    ("benchmark decontamination", cut_benchmark_passages),
+    ("byte-level BPE", encode_texts),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, over all documents."""
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+
+    def next_(docs: DataFrame, k: int) -> DataFrame:
+        kept = STAGES[k][1](spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return kept
+        kept.write.parquet(f"{folder}/{k}")
+        return spark.read.parquet(f"{folder}/{k}")
+
+    return reduce(next_, range(len(STAGES)), read_table(spark, sf_dir, "documents"))
