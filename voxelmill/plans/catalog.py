@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from voxelmill.operators import mr
+from voxelmill.plans import fixtures, mr_queries
+
+MODULES = [mr_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """MR series of every study with all derived columns."""
+    return mr.clean_series(fixtures.mr_series(spark, sf_dir))
