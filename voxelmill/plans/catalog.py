@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelmill.operators import mr
-from voxelmill.plans import fixtures, mr_queries
+from voxelmill.plans import fixtures, mr_queries, table_queries
 
-MODULES = [mr_queries]
+MODULES = [mr_queries, table_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

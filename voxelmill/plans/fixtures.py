@@ -54,7 +54,7 @@ SELECT d.source AS accession, concat('f', cast(d.doc_id % 7 AS string)) AS file,
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
-FILES = "SELECT page_id, url AS path, md5(html) AS md5, cast(octet_length(encode(html)) AS bigint) AS length FROM {pages}"
+FILES = "SELECT page_id, url AS path, md5(html) AS md5, cast(octet_length(html) AS bigint) AS length FROM {pages}"
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
