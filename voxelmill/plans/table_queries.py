@@ -169,7 +169,7 @@ _add("f33_f34_stems", lambda s, d: fx(s, d).select("series_key", T.workbook_stem
 _add("f36_t06_backoff", lambda s, d: fx(s, d).select("series_key", K.backoff(F.col("series_number")).alias("wait")), FX + " SELECT series_key, 2.0::DOUBLE * pow(2, series_number) AS wait FROM fx")
 _add("f37_first_value", lambda s, d: fx(s, d).select("series_key", F.coalesce("contrast_agent", "iop", F.lit("none")).alias("v")), FX + " SELECT series_key, coalesce(contrast_agent, iop, 'none') AS v FROM fx")
 _add("f39_sizes", lambda s, d: X.files(s, d).select("page_id", T.human_size(F.col("length") * 77).alias("size"), T.elapsed(F.col("length") / 10).alias("took")),
-     FL + r", x AS (SELECT page_id, length * 77 AS b, floor(length / 10)::BIGINT AS s FROM fl), u AS (SELECT *, CASE WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS i FROM x) SELECT page_id, concat(regexp_replace(printf('%.2f', b / pow(1024, i)), '\.?0+$', ''), ' ', ['Bytes','KB','MB'][i + 1]) AS size, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm ', s % 60, 's') ELSE concat(s // 3600, 'h ', s % 3600 // 60, 'm') END AS took FROM u")
+     FL + r", x AS (SELECT page_id, length * 77 AS b, floor(length / 10)::BIGINT AS s FROM fl), u AS (SELECT *, CASE WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS i FROM x) SELECT page_id, concat(regexp_replace(printf('%.2f', round(b / pow(1024, i), 2)), '\.?0+$', ''), ' ', ['Bytes','KB','MB'][i + 1]) AS size, CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm ', s % 60, 's') ELSE concat(s // 3600, 'h ', s % 3600 // 60, 'm') END AS took FROM u")
 _add("f40_html_escape", lambda s, d: read_table(s, d, "pages").select("page_id", F.md5(T.html_escaped(F.col("html")).cast("binary")).alias("h")), "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS h FROM pages")
 _add("f41_renamed", lambda s, d: fx(s, d).select("series_key", T.renamed_output(F.concat("accession", F.when(F.col("n_files") > 1, ".nii.gz").otherwise(".NII")), ".npz").alias("path")), FX + " SELECT series_key, concat(accession, '.npz') AS path FROM fx")
 _add("f42_spacing", lambda s, d: fx(s, d).select("series_key", F.get(B.number_list(F.col("ipp")), F.lit(2)).alias("z")), FX + " SELECT series_key, (try_cast(ipp AS DOUBLE[]))[3] AS z FROM fx")
