@@ -51,3 +51,12 @@ def test_unzip(spark, tmp_path):
     (tmp_path / "b.zip").write_bytes(b"broken")
     found = sorted((r.archive[-5:], r.name) for r in volumes.unzip(spark, str(tmp_path)).collect())
     assert found == [("a.zip", "s/1.dcm"), ("b.zip", None)]
+
+
+def test_templates(spark, tmp_path):
+    from voxelmill.functions.templates import TEMPLATES, read_templates
+
+    assert {k: len(set(v)) for k, v in TEMPLATES.items()} == {"CT": 48, "MR": 56, "DX": 50, "MG": 47}
+    (tmp_path / "ct.json").write_text('["Modality", "KVP"]')
+    (tmp_path / "xx.json").write_text("no list")
+    assert {r.modality: r.tags for r in read_templates(spark, str(tmp_path)).collect()} == {"CT": ["Modality", "KVP"], "XX": None}

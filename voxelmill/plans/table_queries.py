@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import basic as B
 from voxelmill.functions import text as T
+from voxelmill.functions.templates import TEMPLATES
 from voxelmill.operators import filters as P
 from voxelmill.operators import joins as J
 from voxelmill.operators import reports as R
@@ -68,6 +69,7 @@ _add("p06_least_files", lambda s, d: P.with_least_files(fx(s, d), 2).select("ser
 _add("p07_mr_only", lambda s, d: X.mr_series(s, d).select("series_key"), FX + " SELECT series_key FROM fx WHERE upper(modality) = 'MR'")
 _TAGS = "map('Modality', modality, 'ProtocolName', protocol_name, 'InversionTime', nullif(inversion_time, ''))"
 _add("p09_tag_projection", lambda s, d: P.project_tags(fx(s, d).select("series_key", F.expr(_TAGS).alias("tags")), ["Modality", "InversionTime", "KVP"]), FX + " SELECT series_key, modality AS \"Modality\", inversion_time AS \"InversionTime\", '' AS \"KVP\" FROM fx")
+_add("s18_p09_mr_template", lambda s, d: P.project_tags(X.mr_series(s, d).select(F.col("series_key").alias("key"), F.expr("map('Modality', modality, 'EchoTime', echo_time)").alias("tags")), list(TEMPLATES["MR"])).select("key", "Modality", "EchoTime", "FlipAngle"), FX + " SELECT series_key AS key, modality AS \"Modality\", echo_time AS \"EchoTime\", '' AS \"FlipAngle\" FROM fx WHERE modality = 'MR'")
 _add("p10_p25_template", lambda s, d: fx(s, d).select("series_key", P.template_of(F.col("modality")).alias("template"), P.is_flat(F.col("modality")).alias("flat")), FX + " SELECT series_key, modality AS template, modality IN ('DX','MG') AS flat FROM fx")
 _add("p11_column_order", lambda s, d: (lambda x: x.select(*P.ordered_columns(x.columns, ["accession", "patient_id"], ["modality"])))(fx(s, d).select("series_key", "modality", "patient_id", "accession")), FX + " SELECT accession, patient_id, modality, series_key FROM fx")
 _add("p12_p26_backfill", lambda s, d: fx(s, d).select("series_key", F.coalesce(F.nullif("repetition_time", F.lit("")), F.nullif("inversion_time", F.lit("")), F.lit("")).alias("filled")), FX + " SELECT series_key, coalesce(nullif(repetition_time,''), nullif(inversion_time,''), '') AS filled FROM fx")
