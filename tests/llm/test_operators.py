@@ -191,10 +191,10 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_repeats(spark, seed, nothing):
+@pytest.mark.parametrize("seed, most", [(5, 5000), (6, 5000), (5, 1), (6, 2)])
+def test_repeats(spark, seed, most, nothing):
     rows = small(seed, 80)
-    found = repeats.repeated_spans(table(spark, rows)).collect()
+    found = repeats.repeated_spans(table(spark, rows), most_contexts=most).collect()
     assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in found) == brute_repeats(rows)
     assert repeats.repeated_spans(nothing).count() == 0
 
