@@ -46,8 +46,7 @@ def global_report(cells: DataFrame) -> DataFrame:
 def reason_bars(cells: DataFrame) -> DataFrame:
     """Reasons of all accessions with their share of the largest; there are as many rows as reasons."""
     counts = reason_counts(cells, [])
-    top = counts.agg(F.max("n").alias("_top"))
-    return counts.crossJoin(F.broadcast(top)).select("reason", "n", F.round(100.0 * F.col("n") / F.col("_top"), 1).alias("bar"))
+    return counts.select("reason", "n", F.round(100.0 * F.col("n") / counts.agg(F.max("n")).scalar(), 1).alias("bar"))
 
 
 def top_reason(cells: DataFrame, key: str = "accession") -> DataFrame:
