@@ -282,3 +282,24 @@ def fit_inside(height: Column, width: Column, to_height: Column, to_width: Colum
     scale = F.least(to_height / height, to_width / width)
     h, w = F.floor(height * scale).cast("int"), F.floor(width * scale).cast("int")
     return F.struct(h.alias("height"), w.alias("width"), F.floor((to_height - h) / 2).cast("int").alias("top"), F.floor((to_width - w) / 2).cast("int").alias("left"))
+
+
+def flat_affine(iop: Column, ipp: Column, row_spacing: Column, col_spacing: Column) -> Column:
+    """Matrix of a single X-ray image: by its orientation and position, else rows along y and columns along x."""
+    v, p = number_list(iop), number_list(ipp)
+    row, col = [F.get(v, F.lit(k)) for k in range(3)], [F.get(v, F.lit(k)) for k in range(3, 6)]
+    normal = [row[(k + 1) % 3] * col[(k + 2) % 3] - row[(k + 2) % 3] * col[(k + 1) % 3] for k in range(3)]
+    lines = [[s * row[k] * row_spacing, s * col[k] * col_spacing, s * normal[k], s * F.coalesce(F.get(p, F.lit(k)), F.lit(0.0))] for k, s in enumerate((-1.0, -1.0, 1.0))]
+    zero, one = F.lit(0.0), F.lit(1.0)
+    made = F.array(*[x + zero for line in lines for x in line], zero, zero, zero, one)
+    standard = F.array(zero, col_spacing, zero, zero, row_spacing, zero, zero, zero, zero, zero, one, zero, zero, zero, zero, one)
+    return F.when(F.size(v) == 6, made).otherwise(standard)
+
+
+def quality_cell(reasons: Column, legacy: Column | None = None) -> Column:
+    """Struct of the 0/1 value and its text; a bare legacy number has no text unless it is 0."""
+    fixed_only = F.forall(reasons, lambda r: F.startswith(r, F.lit("fixed_")))
+    judged = F.struct(F.when(fixed_only, 0).otherwise(1).alias("value"), described(reasons).alias("reason"))
+    if legacy is None:
+        return judged
+    return F.when(reasons.isNotNull(), judged).when(legacy.isNotNull(), F.struct(legacy.cast("int").alias("value"), F.when(legacy == 0, "Normal").otherwise("").alias("reason")))

@@ -79,3 +79,22 @@ def slice_rows(volumes: DataFrame, records: DataFrame, key: str, order: str) ->
     sizes = ranked.groupBy(key).agg(F.first("_of").alias("_size"))
     slices = volumes.select(key, F.explode(F.sequence(F.lit(0), F.col("n_slices").cast("int") - 1)).alias("z")).join(sizes, key)
     return slices.withColumn("_n", (F.col("z") % F.col("_size")).cast("int")).join(ranked.drop("_of"), [key, "_n"]).drop("_n", "_size")
+
+
+def cloned_entries(outputs: DataFrame, entries: DataFrame) -> DataFrame:
+    """For NPZ files the entry of the volume they were made of, ``.nii.gz`` before ``.nii``; files with an entry of their own are left out."""
+    stem = outputs.select("file", F.regexp_replace("file", r"\.npz$", "").alias("_stem")).join(entries.select("file"), "file", "left_anti")
+    own = entries.select(F.regexp_replace("file", r"\.nii(\.gz)?$", "").alias("_stem"), F.struct(F.when(F.endswith("file", F.lit(".gz")), 0).otherwise(1).alias("_rank"), "entry").alias("_e")).where(entries["file"].rlike(r"\.nii(\.gz)?$"))
+    return stem.join(own, "_stem").groupBy("file").agg(F.min("_e").alias("_e")).select("file", "_e.entry")
+
+
+def existing(wanted: DataFrame, listing: DataFrame, key: str = "path") -> DataFrame:
+    """Outputs that the listing has."""
+    return wanted.join(listing.select(key).distinct(), key, "left_semi")
+
+
+def storage_class(modality: Column) -> Column:
+    # Storage classes of the standard; MR stands for all others.
+    classes = {"CT": "1.2.840.10008.5.1.4.1.1.2", "MR": "1.2.840.10008.5.1.4.1.1.4", "PT": "1.2.840.10008.5.1.4.1.1.128", "NM": "1.2.840.10008.5.1.4.1.1.20"}
+    table = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.upper(modality)), F.lit(classes["MR"]))

@@ -79,3 +79,14 @@ def backoff(attempt: Column, base: float = 2.0) -> Column:
 
 def progress_percent(done: Column, total: Column, start: int = 40, share: int = 40) -> Column:
     return F.lit(start) + F.floor(done / total * share)
+
+
+def result_choice(kind: Column, workbook: Column, archive: Column, fallback: Column, size: Column) -> Column:
+    """Which file a download asks for, and what is wrong with it; archives fall back on the older name."""
+    path = F.when(kind == "excel", workbook).when(kind.isin("zip", "result_zip"), F.coalesce(archive, fallback))
+    return F.struct(path.alias("path"), F.when(~kind.isin("excel", "zip", "result_zip"), "unsupported").when(path.isNull(), "missing").when(size == 0, "empty").otherwise("ok").alias("state"))
+
+
+def ledger(requested: DataFrame, finished: DataFrame, key: str, seconds: str) -> DataFrame:
+    """Completed keys in order with their times, as a batch resumes from."""
+    return requested.join(finished, key).groupBy(key).agg(F.round(F.sum(seconds), 6).alias("seconds")).orderBy(key)

@@ -109,3 +109,7 @@ _add("i11_orientation_error", lambda s, d: _affine(s, d).select("series_key", P.
      FX + f", a AS (SELECT *, {_AFF} AS m FROM v) SELECT series_key, modality IN ('DX','DR','CR','RF') AND CASE WHEN series_key % 2 = 0 THEN iop IS NULL ELSE abs(m[2]) > abs(m[6]) END AS error FROM a")
 _add("f21_window_given", lambda s, d: X.series(s, d).select("series_key", P.window_given(F.concat("echo_time", F.lit("\\40")), F.when(F.col("n_files") > 1, F.col("repetition_time")).otherwise("0")).alias("w")).select("series_key", "w.center", "w.width"),
      FX + ", w AS (SELECT series_key, try_cast(echo_time AS DOUBLE) AS c, CASE WHEN n_files > 1 THEN try_cast(repetition_time AS DOUBLE) ELSE 0 END AS w FROM fx) SELECT series_key, CASE WHEN w > 1e-6 AND c IS NOT NULL THEN c END AS center, CASE WHEN w > 1e-6 AND c IS NOT NULL THEN w END AS width FROM w")
+_add("f29_quality_cell", lambda s, d: _judged(s, d).select("image_id", P.quality_cell(F.when(F.col("image_id") % 3 > 0, F.col("reasons")), F.col("image_id") % 2).alias("c")).select("image_id", "c.value", (F.length("c.reason") > 0).alias("told")),
+     QC + " SELECT image_id, CASE WHEN image_id % 3 > 0 THEN (len(reasons) > 0)::INT ELSE (image_id % 2)::INT END AS value, image_id % 3 > 0 OR image_id % 2 = 0 AS told FROM qc")
+_FLAT = "CASE WHEN len(o) = 6 THEN [-o[1]*0.7, -o[4]*0.5, -(o[2]*o[6]-o[3]*o[5]), -p[1], -o[2]*0.7, -o[5]*0.5, -(o[3]*o[4]-o[1]*o[6]), -p[2], o[3]*0.7, o[6]*0.5, o[1]*o[5]-o[2]*o[4], p[3], 0, 0, 0, 1] ELSE [0, 0.5, 0, 0, 0.7, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]::DOUBLE[] END"
+_add("i04_flat_affine", lambda s, d: X.series(s, d).select("series_key", _hash(P.flat_affine(F.col("iop"), F.col("ipp"), F.lit(0.7), F.lit(0.5)))), FX + f" SELECT series_key, round(list_sum(list_transform({_FLAT}, lambda x, i: x * i)), 3) AS sum FROM v")

@@ -191,3 +191,19 @@ _add("t09_quiet_spells", lambda s, d: K.quiet_spells(X.tasks(s, d).select("task_
 _add("t10_concurrency", lambda s, d: K.concurrency(X.tasks(s, d).select("task_id", "ts", F.expr("ts + make_dt_interval(0, 0, 0, seconds * 60)").alias("until")), "task_id", "ts", "until").select("task_id", F.col("most").alias("most")),
      TK + ", m AS (SELECT task_id, epoch_us(ts) AS moment, 1 AS step FROM t UNION ALL SELECT task_id, (epoch_us(ts) + round(seconds * 60, 6) * 1000000)::BIGINT, -1 FROM t), o AS (SELECT task_id, sum(step) OVER (PARTITION BY task_id ORDER BY moment, step ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT task_id, max(n)::BIGINT AS most FROM o GROUP BY 1")
 _add("t21_submission", lambda s, d: fx(s, d).select("series_key", F.when(F.col("contrast_agent").isNull(), "rejected").otherwise("queued").alias("state")), FX + " SELECT series_key, CASE WHEN contrast_agent IS NULL THEN 'rejected' ELSE 'queued' END AS state FROM fx")
+
+# --- sinks and what else the tables need ---------------------------------------------------
+_add("p20_existing_outputs", lambda s, d: J.existing(X.files(s, d).select("page_id", "path"), X.files(s, d).where("page_id % 2 = 0")).select("page_id"), FL + " SELECT page_id FROM fl WHERE path IN (SELECT path FROM fl WHERE page_id % 2 = 0)")
+_add("p27_sample_record", lambda s, d: fx(s, d).groupBy("study_uid").agg(F.min_by(F.struct("modality", "series_desc"), "series_key").alias("r"), F.count("*").alias("files")).select("study_uid", "r.modality", "r.series_desc", "files"), FX + " SELECT study_uid, arg_min(modality, series_key) AS modality, arg_min(series_desc, series_key) AS series_desc, count(*) AS files FROM fx GROUP BY 1")
+_add("j07_cloned_entries", lambda s, d: J.cloned_entries(fx(s, d).select(F.concat("series_key", F.lit(".npz")).alias("file")), fx(s, d).where("series_key % 3 > 0").select(F.concat("series_key", F.when(F.col("n_files") > 1, ".nii").otherwise(".nii.gz")).alias("file"), F.col("modality").alias("entry"))), FX + " SELECT concat(series_key, '.npz') AS file, modality AS entry FROM fx WHERE series_key % 3 > 0")
+_add("j15_storage_class", lambda s, d: fx(s, d).select("series_key", J.storage_class(F.col("modality")).alias("class")), FX + " SELECT series_key, CASE modality WHEN 'CT' THEN '1.2.840.10008.5.1.4.1.1.2' ELSE '1.2.840.10008.5.1.4.1.1.4' END AS class FROM fx")
+_add("a29_merge_totals", lambda s, d: fx(s, d).groupBy("accession").count().agg(F.count("*").alias("accessions"), F.sum("count").alias("rows")), FX + " SELECT count(DISTINCT accession) AS accessions, count(*) AS rows FROM fx")
+_add("a30_system_status", lambda s, d: X.files(s, d).agg(F.sum("length").alias("bytes"), (F.sum("length") >= 100000).alias("cleanup_needed")), FL + " SELECT sum(length)::BIGINT AS bytes, sum(length) >= 100000 AS cleanup_needed FROM fl")
+_add("k05_preview_names", lambda s, d: fx(s, d).select("series_key", F.concat(T.folder_name(F.col("series_desc")), F.when(F.col("n_files") > 1, F.format_string("_%04d", F.col("series_number"))).otherwise(""), F.lit("_preview.png")).alias("name")), FX + " SELECT series_key, concat(replace(series_desc, ' ', '_'), CASE WHEN n_files > 1 THEN concat('_', lpad(cast(series_number AS VARCHAR), 4, '0')) ELSE '' END, '_preview.png') AS name FROM fx")
+_add("k08_k09_ledger", lambda s, d: K.ledger(orders(s, d).select("o_orderkey"), lineitem(s, d).select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity"), "o_orderkey", "l_quantity"), "SELECT l_orderkey AS o_orderkey, round(sum(l_quantity), 6) AS seconds FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+_add("k12_k15_copy_routes", lambda s, d: X.quality(s, d).select("row_id", F.concat_ws("/", F.when(T.is_truthy_low(F.col("low_raw")), "low_quality"), "accession", "file").alias("target")), QLL + " SELECT row_id, CASE WHEN low THEN concat('low_quality/', accession, '/', file) ELSE concat(accession, '/', file) END AS target FROM ql")
+_add("k14_result_choice", lambda s, d: fx(s, d).select("series_key", K.result_choice(F.when(F.col("series_number") == 1, "excel").when(F.col("series_number") == 2, "zip").otherwise("other"), F.col("contrast_agent"), F.col("iop"), F.when(F.col("n_files") > 1, "old.zip"), F.col("series_key") % 4).alias("c")).select("series_key", "c.path", "c.state"),
+     FX + ", c AS (SELECT *, CASE series_number WHEN 1 THEN contrast_agent WHEN 2 THEN coalesce(iop, CASE WHEN n_files > 1 THEN 'old.zip' END) END AS path FROM fx) SELECT series_key, path, CASE WHEN series_number > 2 THEN 'unsupported' WHEN path IS NULL THEN 'missing' WHEN series_key % 4 = 0 THEN 'empty' ELSE 'ok' END AS state FROM c")
+_add("o08_instance_order", lambda s, d: fx(s, d).groupBy("study_uid").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("series_number", "series_key"))), lambda e: e["series_key"].cast("string"))).alias("order")), FX + " SELECT study_uid, string_agg(series_key, ',' ORDER BY series_number, series_key) AS order FROM fx GROUP BY 1")
+_add("f51_appended_logs", lambda s, d: X.tasks(s, d).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "status"))).alias("l")).select("task_id", F.size(F.array_append("l", F.struct(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("status")))).cast("long").alias("n")), TK + " SELECT task_id, count(*) + 1 AS n FROM t GROUP BY 1")
+_add("c01_settings", lambda s, d: fx(s, d).select("series_key", F.coalesce(P.validation_error(F.lit("host"), F.col("series_key").cast("string"), F.lit("SCP")), F.lit("saved")).alias("state")), FX + " SELECT series_key, CASE WHEN series_key BETWEEN 1 AND 65535 THEN 'saved' ELSE 'port' END AS state FROM fx")
