@@ -36,8 +36,9 @@ from voxelmill.session import shuffle_partitions
 LENGTH, ANCHOR = 50, 32
 CHOICES = LENGTH - ANCHOR + 1
 SIDE = LENGTH - ANCHOR
-#: Parts and buckets for each shuffle partition.
-PARTS_PER_PARTITION, BUCKETS_PER_PARTITION = 2, 16
+#: Parts, and buckets of both steps, for each shuffle partition. A part sends a row to each bucket
+#: that it has something for, so the rows of the first step are the fewer of parts * buckets and contexts.
+PARTS_PER_PARTITION, BUCKETS_PER_PARTITION, INDEXES_PER_PARTITION = 2, 2, 16
 #: An anchor with more distinct contexts is compared window by window.
 MOST_CONTEXTS = 5_000
 #: UTF-8 never holds this byte.
@@ -233,7 +234,7 @@ _CONTEXTS = {"bucket": pa.int32(), "part": pa.int32(), "entries": pa.binary(), "
 _CONTEXTS_SQL = "bucket int, part int, entries binary, first binary, sizes binary, bytes binary"
 
 
-def _send_contexts(buckets: int):
+def _send_contexts(buckets: int, indexes: int):
     """From each part to the buckets: the bytes of contexts that it holds first and whose anchor has others.
 
     One more row, in a bucket of its own, carries to the last step which entries an
@@ -255,12 +256,12 @@ def _send_contexts(buckets: int):
         one[found.entry] = np.arange(len(found.entry))
         begin, end = _context_bounds(found, texts, one[wanted])
         content = [texts[o][b:e] for o, b, e in zip(found.owner[one[wanted]].tolist(), begin.tolist(), end.tolist(), strict=True)]
-        some, cuts = _bucket_cuts(found.entry_hash[wanted], buckets)
+        some, cuts = _bucket_cuts(found.entry_hash[wanted], indexes)
         part = left.column("part")[0].as_py()
-        rows = [(buckets + part, part, None, None, None, np.packbits(np.concatenate((answer & EARLIER > 0, crowded))).tobytes())]
+        rows = [(indexes + part, part, None, None, None, np.packbits(np.concatenate((answer & EARLIER > 0, crowded))).tobytes())]
         for b, k in zip(some, cuts, strict=True):
             rows.append((b, part, wanted[k].astype("<u4").tobytes(), first[wanted[k]].astype("<i8").tobytes(), (end - begin)[k].astype(np.uint8).tobytes(), b"".join(content[k])))
-        for b, members in windows.buckets(buckets).items():
+        for b, members in windows.buckets(indexes).items():
             entries = (np.array(members) + len(answer)).astype("<u4")
             rows.append((b, part, entries.tobytes(), windows.first[members].astype("<i8").tobytes(), bytes([LENGTH]) * len(members), b"".join(windows.content[k] for k in members)))
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(_CONTEXTS.items())})
@@ -453,7 +454,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     partitions = shuffle_partitions(spark)
-    parts, buckets = partitions * PARTS_PER_PARTITION, partitions * BUCKETS_PER_PARTITION
+    parts, buckets, indexes = partitions * PARTS_PER_PARTITION, partitions * BUCKETS_PER_PARTITION, partitions * INDEXES_PER_PARTITION
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     quantiles = rows.agg(F.percentile_approx("i", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or []
     edges = sorted(set(quantiles))
@@ -466,7 +467,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_part = cut.groupBy("part")
     classes = by_part.applyInArrow(_send_classes(buckets), "bucket int, part int, anchors binary, contexts binary")
     answers = classes.groupBy("bucket").applyInArrow(lambda table: _answer_classes(table, most_contexts), "part int, bucket int, answer binary")
-    contexts = by_part.cogroup(answers.groupBy("part")).applyInArrow(_send_contexts(buckets), _CONTEXTS_SQL)
+    contexts = by_part.cogroup(answers.groupBy("part")).applyInArrow(_send_contexts(buckets, indexes), _CONTEXTS_SQL)
     marks = contexts.groupBy("bucket").applyInArrow(_index_contexts, "part int, entries binary, marks binary")
     found = by_part.cogroup(marks.groupBy("part")).applyInArrow(_mark_bytes, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
