@@ -192,4 +192,5 @@ def with_score(docs: DataFrame, model: RuleModel, text_col: str = "text", into:
     if into in docs.columns:
         raise ValueError(f"column {into!r} exists already; name another with into=")
     stats = docs.select(F.struct("*").alias("_row"), *[c.cast("double").alias(name) for name, c in statistics(F.col(text_col)).items()])
-    return stats.select("_row.*", model.score(stats).alias(into))
+    # made by a generator, so that no filter on the score is moved below the statistics, which it would repeat for every rule
+    return stats.select("_row.*", F.explode(F.array(model.score(stats))).alias(into))

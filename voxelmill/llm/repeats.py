@@ -37,8 +37,10 @@ LENGTH, ANCHOR = 50, 32
 CHOICES = LENGTH - ANCHOR + 1
 SIDE = LENGTH - ANCHOR
 #: Parts, and buckets of both steps, for each shuffle partition. A part sends a row to each bucket
-#: that it has something for, so the rows of the first step are the fewer of parts * buckets and contexts.
-PARTS_PER_PARTITION, BUCKETS_PER_PARTITION, INDEXES_PER_PARTITION = 2, 2, 16
+#: that it has something for, so the rows of a step are the fewer of parts * buckets and contexts.
+PARTS_PER_PARTITION, BUCKETS_PER_PARTITION, INDEXES_PER_PARTITION = 2, 4, 6
+#: Text whose anchors are looked for at once.
+PORTION_BYTES = 1 << 18
 #: An anchor with more distinct contexts is compared window by window.
 MOST_CONTEXTS = 5_000
 #: UTF-8 never holds this byte.
@@ -53,7 +55,7 @@ class Anchors:
 
     def __init__(self, texts: list[bytes]) -> None:
         found = []
-        for lo, hi in words.portions(texts):
+        for lo, hi in words.portions(texts, PORTION_BYTES):
             if sum(map(len, texts[lo:hi])) >= LENGTH:
                 owner, *rest = _anchors(texts[lo:hi])
                 found.append((owner + lo, *rest))

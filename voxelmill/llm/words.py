@@ -100,10 +100,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.
 
 
 def portions(texts: list[bytes], most: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about ``most`` bytes, one text at least."""
+    """Ranges of neighbouring texts of about ``most`` bytes, one text at least and 32,768 at most."""
     lo, size = 0, 0
     for k, text in enumerate(texts):
-        if k > lo and size + len(text) > most:
+        if k > lo and (size + len(text) > most or k - lo >= 1 << 15):
             yield lo, k
             lo, size = k, 0
         size += len(text)
