@@ -38,7 +38,9 @@ CHOICES = LENGTH - ANCHOR + 1
 SIDE = LENGTH - ANCHOR
 #: Parts, and buckets of both steps, for each shuffle partition. A part sends a row to each bucket
 #: that it has something for, so the rows of a step are the fewer of parts * buckets and contexts.
-PARTS_PER_PARTITION, BUCKETS_PER_PARTITION, INDEXES_PER_PARTITION = 2, 4, 6
+PARTS_PER_PARTITION, BUCKETS_PER_PARTITION, INDEXES_PER_PARTITION = 2, 4, 4
+#: A bucket of contexts is indexed slice by slice, which bounds an index without more rows.
+SLICES = 32
 #: Text whose anchors are looked for at once.
 PORTION_BYTES = 1 << 18
 #: An anchor with more distinct contexts is compared window by window.
@@ -220,10 +222,14 @@ class Windows:
         self.first = np.full(len(seen), np.iinfo(np.int64).max)
         np.minimum.at(self.first, self.window, first[self.entry])
 
-    def buckets(self, buckets: int) -> dict[int, list[int]]:
-        out: dict[int, list[int]] = {}
+    def buckets(self, buckets: int) -> dict[int, tuple[list[int], list[int]]]:
+        """Windows that go to each bucket, and the slice of each."""
+        out: dict[int, tuple[list[int], list[int]]] = {}
         for k, content in enumerate(self.content):
-            out.setdefault(zlib.crc32(content) % buckets, []).append(k)
+            rest, bucket = divmod(zlib.crc32(content), buckets)
+            members, slices = out.setdefault(bucket, ([], []))
+            members.append(k)
+            slices.append(rest % SLICES)
         return out
 
     def mark(self, marks: np.ndarray, first: np.ndarray, elsewhere: np.ndarray) -> None:
@@ -232,8 +238,8 @@ class Windows:
         np.bitwise_or.at(marks, self.entry[hit], np.uint32(1) << self.offset[hit])
 
 
-_CONTEXTS = {"bucket": pa.int32(), "part": pa.int32(), "entries": pa.binary(), "first": pa.binary(), "sizes": pa.binary(), "bytes": pa.binary()}
-_CONTEXTS_SQL = "bucket int, part int, entries binary, first binary, sizes binary, bytes binary"
+_CONTEXTS = {"bucket": pa.int32(), "part": pa.int32(), "entries": pa.binary(), "slices": pa.binary(), "first": pa.binary(), "sizes": pa.binary(), "bytes": pa.binary()}
+_CONTEXTS_SQL = "bucket int, part int, entries binary, slices binary, first binary, sizes binary, bytes binary"
 
 
 def _send_contexts(buckets: int, indexes: int):
@@ -260,12 +266,13 @@ def _send_contexts(buckets: int, indexes: int):
         content = [texts[o][b:e] for o, b, e in zip(found.owner[one[wanted]].tolist(), begin.tolist(), end.tolist(), strict=True)]
         some, cuts = _bucket_cuts(found.entry_hash[wanted], indexes)
         part = left.column("part")[0].as_py()
-        rows = [(indexes + part, part, None, None, None, np.packbits(np.concatenate((answer & EARLIER > 0, crowded))).tobytes())]
+        slices = (((found.entry_hash[wanted] >> np.uint64(32)) * np.uint64(indexes * SLICES)) >> np.uint64(32)) % np.uint64(SLICES)
+        rows = [(indexes + part, part, None, None, None, None, np.packbits(np.concatenate((answer & EARLIER > 0, crowded))).tobytes())]
         for b, k in zip(some, cuts, strict=True):
-            rows.append((b, part, wanted[k].astype("<u4").tobytes(), first[wanted[k]].astype("<i8").tobytes(), (end - begin)[k].astype(np.uint8).tobytes(), b"".join(content[k])))
-        for b, members in windows.buckets(indexes).items():
+            rows.append((b, part, wanted[k].astype("<u4").tobytes(), slices[k].astype(np.uint8).tobytes(), first[wanted[k]].astype("<i8").tobytes(), (end - begin)[k].astype(np.uint8).tobytes(), b"".join(content[k])))
+        for b, (members, slices) in windows.buckets(indexes).items():
             entries = (np.array(members) + len(answer)).astype("<u4")
-            rows.append((b, part, entries.tobytes(), windows.first[members].astype("<i8").tobytes(), bytes([LENGTH]) * len(members), b"".join(windows.content[k] for k in members)))
+            rows.append((b, part, entries.tobytes(), bytes(slices), windows.first[members].astype("<i8").tobytes(), bytes([LENGTH]) * len(members), b"".join(windows.content[k] for k in members)))
         return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(_CONTEXTS.items())})
 
     return run
@@ -357,6 +364,16 @@ class RunLengthIndex:
         return self.range_first[self.range_of[rows]] < self.documents[strings]
 
 
+def _earlier_windows(index: RunLengthIndex) -> np.ndarray:
+    """For each string of the index a bit for each of its windows that an earlier document holds."""
+    marks = np.zeros(len(index.sizes), dtype=np.uint32)
+    for length, strings, rows in index.stream():
+        if length >= LENGTH:
+            hit = strings[index.earlier(strings, rows)]
+            marks[hit] |= np.uint32(1) << (index.sizes[hit] - length).astype(np.uint32)
+    return marks
+
+
 _MARKS = {"part": pa.int32(), "entries": pa.binary(), "marks": pa.binary()}
 
 
@@ -365,22 +382,17 @@ def _index_contexts(table: pa.Table) -> pa.Table:
     if not table.column("entries")[0].is_valid:  # what a part sent on to itself
         return pa.table([table.column("part"), table.column("entries"), table.column("bytes")], schema=pa.schema(_MARKS))
     column = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()]
-    entries, first, sizes = column("entries", "<u4"), column("first", "<i8"), column("sizes", np.uint8)
+    entries, slices, first, sizes = column("entries", "<u4"), column("slices", np.uint8), column("first", "<i8"), column("sizes", np.uint8)
     holder = np.repeat(np.arange(table.num_rows), [len(x) for x in entries])
-    entry, document, size = np.concatenate(entries), np.concatenate(first), np.concatenate(sizes).astype(np.int64)
+    entry, slice_, document, size = np.concatenate(entries), np.concatenate(slices), np.concatenate(first), np.concatenate(sizes).astype(np.int64)
     content = np.frombuffer(b"".join(table.column("bytes").to_pylist()), dtype=np.uint8)
-    order = np.argsort(document, kind="stable")
     begin = np.cumsum(size) - size
-    sizes_ = size[order]
-    at = np.arange(len(content)) - np.repeat(np.cumsum(sizes_) - sizes_, sizes_) + np.repeat(begin[order], sizes_)
-    index = RunLengthIndex(content[at], sizes_, document[order])
-    marks = np.zeros(len(order), dtype=np.uint32)
-    for length, strings, rows in index.stream():
-        if length >= LENGTH:
-            hit = strings[index.earlier(strings, rows)]
-            marks[hit] |= np.uint32(1) << (index.sizes[hit] - length).astype(np.uint32)
-    bits = np.empty(len(order), dtype=np.uint32)
-    bits[order] = marks
+    bits = np.empty(len(entry), dtype=np.uint32)
+    by_slice = np.lexsort((document, slice_))
+    for order in np.split(by_slice, np.flatnonzero(np.diff(slice_[by_slice])) + 1):
+        sizes_ = size[order]
+        at = np.arange(sizes_.sum()) - np.repeat(np.cumsum(sizes_) - sizes_, sizes_) + np.repeat(begin[order], sizes_)
+        bits[order] = _earlier_windows(RunLengthIndex(content[at], sizes_, document[order]))
     parts, out = table.column("part").to_numpy(), {"part": [], "entries": [], "marks": []}
     for k in range(table.num_rows):
         lo, hi = np.searchsorted(holder, [k, k + 1])
