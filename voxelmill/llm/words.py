@@ -28,7 +28,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, PIECE_BYTES + 4096)
+        size = max(n, (1 << 18) + 4096)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, dtype=np.uint64)
             table[0] = 1
