@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from voxelmill.llm import words
 
 #: Distinct pre-tokens that a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Rank files are broadcast; a larger one is refused.
 MOST_RANK_BYTES = 64 << 20
 
