@@ -2,9 +2,10 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -377,3 +378,46 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+def hub(draw, copies=1100, close=30):
+    """Texts just under the threshold to each other, and two tight clusters that only the last text connects."""
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(200)]
+    texts = [[*base[:195], *(word() for _ in range(5))] for _ in range(copies)]
+    left = [*base[:195], *(word() for _ in range(5))]
+    middle = [*left[:199], word()]
+    right = [*(word() for _ in range(6)), *middle[6:]]
+    texts += [[word(), *left[1:]] for _ in range(close)] + [[*right[:199], word()] for _ in range(close)] + [middle]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_minhash_in_one_large_bucket(spark, monkeypatch):
+    rows = hub(random.Random(3))
+    docs = table(spark, rows)
+    weights = minhash.document_frequencies(docs)
+    shingles, counts, begins, _ = minhash._bags([t.encode() for _, t in rows])
+    value = counts * weights(shingles)
+    bags = [dict(zip(shingles[a:b].tolist(), value[a:b].tolist(), strict=True)) for a, b in itertools.pairwise(begins)]
+    totals = np.array([sum(b.values()) for b in bags])
+    holders = defaultdict(list)
+    for i, bag in enumerate(bags):
+        for s, w in bag.items():
+            holders[s].append((i, w))
+    least = np.zeros((len(rows), len(rows)))
+    for held in holders.values():
+        at, w = (np.array(x) for x in zip(*held, strict=True))
+        least[np.ix_(at, at)] += np.minimum(w[:, None], w[None, :])
+    similar = least / (totals[:, None] + totals[None, :] - least)
+    root = list(range(len(rows)))
+    for u, v in np.argwhere(np.triu(similar >= 0.8 - 1e-9, 1)):
+        a, b = sorted((root[u], root[v]))
+        root = [a if r == b else r for r in root]
+    assert root[-2] == root[-1] == root[-32] and max(Counter(root).values()) == 61
+    # all texts share one bucket
+    drawn = minhash.signatures
+    monkeypatch.setattr(minhash, "signatures", lambda *given: drawn(*given).withColumn("bands", F.array(F.lit(0).cast("long"))))
+    whole = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert [whole[i] for i, _ in rows] == root
+    bound = minhash.similarity_bound(*(x for _ in range(2) for x in (minhash._binned(shingles, value, begins), totals)))
+    assert (bound >= similar - 1e-4).all()

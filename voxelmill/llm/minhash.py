@@ -7,9 +7,11 @@ verified by the weighted Jaccard similarity of their whole texts.
 
 No group is expanded into its pairs. Texts with the same words are one class and enter
 once, through the smallest identifier. In each band bucket every member is verified
-against the bucket's smallest identifier; those that fail are compared with the members
-whose samples agree most, inside blocks of bounded size. Verified links are joined to
-connected components.
+against the bucket's smallest identifier; those that fail are verified against the
+members whose samples agree most, inside blocks of bounded size. Of the pairs of a
+bucket that these links leave in different components, all are verified that an upper
+bound of their similarity doesn't rule out. Verified links are joined to connected
+components.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BLOCK_MEMBERS = 256
 #: Of samples, this share must agree for a second look; at the threshold fewer do with a chance of 0.002.
 LEAST_AGREEMENT = 0.5
 PARTNERS = 4
+#: Members of a bucket in a block of the last look, and sums of weights that bound a pair's similarity there.
+WIDE_BLOCK, BINS = 512, 512
 #: Shingles that a worker counts before it reports the frequent ones among them.
 CHUNK_SHINGLES = 1_000_000
 #: Texts that a worker turns into Python objects at once, and bytes of them that it shingles at once.
@@ -184,6 +188,24 @@ class Sampler:
         return out
 
 
+def _binned(shingles: np.ndarray, weights: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of each bag's weights in bins of shingles, as 16-bit floats, never too small."""
+    cell = np.repeat(np.arange(len(begins) - 1), np.diff(begins)) * BINS + (words.mix(shingles) % np.uint64(BINS)).astype(np.int64)
+    sums = np.bincount(cell, weights, (len(begins) - 1) * BINS).reshape(-1, BINS)
+    with np.errstate(over="ignore"):
+        small = sums.astype(np.float16)
+    return np.where(small < sums, np.nextafter(small, np.float16(np.inf)), small)
+
+
+def similarity_bound(a: np.ndarray, total_a: np.ndarray, b: np.ndarray, total_b: np.ndarray) -> np.ndarray:
+    """No pair of a row of ``a`` and a row of ``b`` is more similar than this: texts share at most the smaller sum of each bin."""
+    least = np.zeros((len(a), len(b)), dtype=np.float32)
+    for x, y in zip(a.T.astype(np.float32), b.T.astype(np.float32), strict=True):
+        least += np.minimum(x[:, None], y[None, :])
+    least = np.minimum(least, np.minimum(total_a[:, None], total_b[None, :]))
+    return least / (total_a[:, None] + total_b[None, :] - least)
+
+
 def signatures(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, key_a, key_b, bands, samples`` of every text that has a word."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -263,6 +285,71 @@ def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(us, type=pa.int64()), pa.array(vs, type=pa.int64())], names=["u", "v"])
 
 
+def _possible(threshold: float):
+    """Of two blocks, the pairs in different components that the bound doesn't rule out."""
+
+    def unpack(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, roots, totals = (block.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "root", "total"))
+        return ids, roots, totals, np.frombuffer(b"".join(block.field("bins").to_pylist()), dtype=np.float16).reshape(len(ids), BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (a, root_a, total_a, bins_a), (b, root_b, total_b, bins_b) = (unpack(batch.column(c)[k].values) for c in (0, 1))
+                # rounding aside, a bound below the threshold is a proof; one that isn't a number is none
+                ruled_out = similarity_bound(bins_a, total_a, bins_b, total_b) < threshold - 1e-4
+                x, y = np.nonzero(~ruled_out & (root_a[:, None] != root_b[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))], names=["u", "v"])
+
+    return run
+
+
+def bin_sums(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``rep, total, bins`` of every text that has a word: the sum of its weights, and its sums by bin."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            texts = words.as_bytes(batch.column(1))
+            for lo, hi in words.portions(texts, PORTION_BYTES):
+                shingles, counts, begins, _ = _bags(texts[lo:hi])
+                some = np.flatnonzero(np.diff(begins))
+                if not len(some):
+                    continue
+                weight, edges = counts * shared.value(shingles), np.concatenate((begins[some], [begins[-1]]))
+                sums = [row.tobytes() for row in _binned(shingles, weight, edges)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(np.add.reduceat(weight, edges[:-1])), pa.array(sums, type=pa.binary())], names=["rep", "total", "bins"])
+
+    return docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "rep long, total double, bins binary")
+
+
+def left_over(members: DataFrame, docs: DataFrame, weights: Weights, roots: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Distinct pairs ``u < v`` that share a bucket, are in different components and may be similar enough.
+
+    Members outside their leader's component are open. Each block of open members meets
+    every block of its bucket; a block is one row, and the meetings of a bucket are dealt
+    out by the other block.
+    """
+    placed = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    heads = placed.where("rep = leader").select("band", "cell", F.col("root").alias("head"))
+    state = placed.join(heads, ["band", "cell"]).withColumn("open", F.col("root") != F.col("head"))
+    counts = state.groupBy("band", "cell").agg(F.count_if("open").alias("n_open"), F.count_if(~F.col("open")).alias("n_other")).where("n_open > 0")
+    blocks_of = lambda c: F.ceil(F.col(c) / WIDE_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep", "band"), F.when(F.col("open"), blocks_of("n_open")).otherwise(blocks_of("n_other"))).cast("int")
+    apart = cut_lineage(state.join(counts, ["band", "cell"]))
+    asked = apart.select("rep").distinct()
+    sums = bin_sums(docs.join(asked, docs[id_col].cast("long") == asked["rep"], "left_semi"), weights, id_col, text_col)
+    blocks = cut_lineage(
+        apart.join(sums, "rep")
+        # blocks of open members come first
+        .withColumn("block", F.when(F.col("open"), own).otherwise(own + blocks_of("n_open")))
+        .groupBy("band", "cell", "block")
+        .agg(F.first(blocks_of("n_open")).alias("opens"), F.first(blocks_of("n_open") + blocks_of("n_other")).alias("all"), F.collect_list(F.struct("rep", "root", "total", "bins")).alias("group"))
+    )
+    asking = blocks.where("block < opens").select("band", "cell", F.col("group").alias("asked"), F.explode(F.sequence("block", F.col("all") - 1)).alias("block"))
+    return asking.join(blocks.select("band", "cell", "block", "group").hint("shuffle_hash"), ["band", "cell", "block"]).select("asked", "group").mapInArrow(_possible(threshold), "u long, v long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges ``u, v``; the root is the smallest node it is connected with.
 
@@ -319,10 +406,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.array_sort(F.collect_list(F.struct("rep", "open", "samples"))).alias("group"))
         .select("group")
     )
-    second = blocks.mapInArrow(_closest, "u long, v long").distinct().join(links.select("u", "v"), ["u", "v"], "left_anti").join(star, ["u", "v"], "left_anti")
-    found = links.select("u", "v").unionByName(verified(second, docs, weights, threshold, id_col, text_col).select("u", "v"))
+    second = cut_lineage(blocks.mapInArrow(_closest, "u long, v long").distinct().join(star, ["u", "v"], "left_anti"))
+    found = cut_lineage(links.select("u", "v").unionByName(verified(second, docs, weights, threshold, id_col, text_col).select("u", "v")))
 
+    # pairs of a bucket that are still apart
     roots = components(found)
+    third = cut_lineage(left_over(members, docs, weights, roots, threshold, id_col, text_col).join(star, ["u", "v"], "left_anti").join(second, ["u", "v"], "left_anti"))
+    if not third.isEmpty():
+        roots = components(found.unionByName(verified(third, docs, weights, threshold, id_col, text_col).select("u", "v")))
     copies = signed.select("doc_id", "key_a", "key_b").join(reps.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select("doc_id", "rep")
     # rows that share an identifier take the smallest class
     classed = copies.join(roots, copies["rep"] == roots["node"], "left").groupBy("doc_id").agg(F.min("rep").alias("copy_of"), F.min(F.coalesce("root", "rep")).alias("class_id"))
