@@ -95,3 +95,12 @@ def test_quality_of_odd_images(spark):
 def test_components():
     mask = np.array([[1, 1, 0, 1], [0, 1, 0, 1], [1, 0, 0, 0], [1, 0, 1, 1]], dtype=bool)
     assert images.component_count(mask) == 4 and images.component_count(np.zeros((3, 3), bool)) == 0
+
+
+def test_queries_over_all_studies(spark):
+    from voxelmill.plans import catalog
+    from voxelmill.session import read_table
+
+    sf = "/root/testdata/sf0.001"
+    assert catalog.queries()["s01_study_query_all"](spark, sf).count() == read_table(spark, sf, "lineitem").select("l_orderkey").distinct().count()
+    assert catalog.queries()["j10_u04_resumed_all"](spark, sf).count() == read_table(spark, sf, "orders").where("o_orderstatus = 'F'").count()
