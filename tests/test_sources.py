@@ -1,6 +1,7 @@
 """Files that the tests write themselves."""
 
 import gzip
+import struct
 import zipfile
 
 import numpy as np
@@ -60,3 +61,23 @@ def test_templates(spark, tmp_path):
     (tmp_path / "ct.json").write_text('["Modality", "KVP"]')
     (tmp_path / "xx.json").write_text("no list")
     assert {r.modality: r.tags for r in read_templates(spark, str(tmp_path)).collect()} == {"CT": ["Modality", "KVP"], "XX": None}
+
+
+def test_dicom_behind_open_sequences(spark, tmp_path):
+    body = len(dicom.build({}))
+    item = lambda number, raw=b"": struct.pack("<HHI", 0xFFFE, number, len(raw) if raw else 0xFFFFFFFF if number == 0xE000 else 0) + raw
+    open_sequence = lambda group, number, vr, inner: struct.pack("<HH2s2xI", group, number, vr, 0xFFFFFFFF) + inner + item(0xE0DD)
+    nested = open_sequence(0x0008, 0x1199, b"SQ", item(0xE000, dicom.build({"PatientID": "in"})[body:]) + item(0xE000) + struct.pack("<HH2sH", 0x0008, 0x1150, b"UI", 2) + b"1\0" + item(0xE00D))
+    implicit = struct.pack("<HHI", 0x0009, 0x1010, 4) + b"abcd"
+    sequences = open_sequence(0x0008, 0x1140, b"SQ", item(0xE000) + nested + item(0xE00D)) + open_sequence(0x0009, 0x1001, b"UN", item(0xE000) + implicit + item(0xE00D))
+    pixels = np.array([1, 70000, 2**31 + 1, 16777217], dtype="<u4")
+    tags = {"PatientID": "p", "SeriesNumber": "4", "Rows": "2", "Columns": "2", "BitsAllocated": "32", "PixelRepresentation": "0"}
+    whole = dicom.build({"Modality": "CT"}) + sequences + dicom.build(tags)[body:] + struct.pack("<HH2s2xI", 0x7FE0, 0x10, b"OW", 16) + pixels.tobytes()
+    (tmp_path / "a.dcm").write_bytes(whole)
+    (tmp_path / "b.dcm").write_bytes(whole[:-3])
+    (tmp_path / "c.dcm").write_bytes(whole[: len(dicom.build({"Modality": "CT"})) + 30])
+    (tmp_path / "d.dcm").write_bytes(dicom.build(tags | {"BitsAllocated": "64"}, np.zeros(16)))
+    found = {r.path[-5:]: r for r in dicom.read(spark, str(tmp_path), pixels=True).collect()}
+    assert found["a.dcm"].tags == tags | {"Modality": "CT"} and found["a.dcm"].data == pixels.tolist() and found["a.dcm"].status == "ok"
+    assert found["b.dcm"].status == found["c.dcm"].status == "truncated" and found["c.dcm"].tags == {"Modality": "CT"}
+    assert found["d.dcm"].status == "unsupported_format" and found["d.dcm"].data is None

@@ -1,7 +1,8 @@
 """DICOM files as rows: a small little-endian reader and writer over ``binaryFile``.
 
-Explicit and implicit value representation are read; compressed pixel data gives rows
-whose ``status`` is ``unsupported_format``.
+Explicit and implicit value representation are read; compressed pixel data, and files
+deflated or big-endian, give rows whose ``status`` is ``unsupported_format``. A file that
+ends inside an element is ``truncated``; what comes before is kept.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ TAGS = {
 _BY_TAG = {(g, e): (name, vr) for name, (g, e, vr) in TAGS.items()}
 _LONG = {b"OB", b"OW", b"OF", b"OD", b"OL", b"SQ", b"UC", b"UN", b"UR", b"UT"}
 _PIXELS = (0x7FE0, 0x0010)
+_ITEM, _ITEM_END, _SEQUENCE_END = (0xFFFE, 0xE000), (0xFFFE, 0xE00D), (0xFFFE, 0xE0DD)
+_OPEN = 0xFFFFFFFF
 _IMPLICIT, _EXPLICIT = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1"
+_OTHER_BYTES = ("1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.2")
 
 
 def is_dicom(content: str = "content"):
@@ -36,22 +40,65 @@ def is_dicom(content: str = "content"):
     return F.substring(content, 129, 4) == F.lit(b"DICM")
 
 
-def _elements(data: bytes, at: int, explicit: bool) -> Iterator[tuple[tuple[int, int], bytes, int, int]]:
-    """(tag, representation, begin, end) of each element; nested items are stepped over, or end the walk if their length is open."""
+def _head(data: bytes, at: int, explicit: bool) -> tuple[bytes, int, int]:
+    """Representation, length of the head and size of the element at ``at``; a head cut off has no end."""
+    if not explicit:
+        return b"", 8, struct.unpack_from("<I", data, at + 4)[0]
+    vr = data[at + 4 : at + 6]
+    if vr not in _LONG:
+        return vr, 8, struct.unpack_from("<H", data, at + 6)[0]
+    return (vr, 12, struct.unpack_from("<I", data, at + 8)[0]) if at + 12 <= len(data) else (vr, 12, 0)
+
+
+def _after_open(data: bytes, at: int, explicit: bool) -> int | None:
+    """Where the sequence of open length whose items begin at ``at`` ends; nothing if the file ends before or items are out of place."""
+    inside = [("sequence", explicit)]
     while at + 8 <= len(data):
-        tag = struct.unpack_from("<HH", data, at)
-        if explicit:
-            vr = data[at + 4 : at + 6]
-            head, size = (12, struct.unpack_from("<I", data, at + 8)[0]) if vr in _LONG and at + 12 <= len(data) else (8, struct.unpack_from("<H", data, at + 6)[0])
+        kind, explicit = inside[-1]
+        tag, size = struct.unpack_from("<HH", data, at), struct.unpack_from("<I", data, at + 4)[0]
+        if tag == (_SEQUENCE_END if kind == "sequence" else _ITEM_END):
+            inside.pop()
+            at += 8
+            if not inside:
+                return at
+        elif kind == "sequence":
+            if tag != _ITEM:
+                return None
+            if size == _OPEN:
+                inside.append(("item", explicit))
+            at += 8 if size == _OPEN else 8 + size
         else:
-            vr, head, size = b"", 8, struct.unpack_from("<I", data, at + 4)[0]
+            vr, head, size = _head(data, at, explicit)
+            if size == _OPEN:
+                # the items of an unknown representation are implicit
+                inside.append(("sequence", explicit and vr != b"UN"))
+            at += head if size == _OPEN else head + size
+    return None
+
+
+def _elements(data: bytes, at: int, explicit: bool) -> Iterator[tuple[tuple[int, int] | None, bytes, int, int]]:
+    """(tag, representation, begin, end) of each element; sequences are stepped over.
+
+    The end of open pixel data is -1. A last entry without a tag tells that the file
+    ends inside an element.
+    """
+    while at + 8 <= len(data):
+        tag = struct.unpack_from("<HH", data, at)
+        vr, head, size = _head(data, at, explicit)
         begin = at + head
-        if size == 0xFFFFFFFF:
+        if size == _OPEN:
             if tag == _PIXELS:
                 yield tag, vr, begin, -1
-            return
+            after = _after_open(data, begin, explicit and vr != b"UN")
+            if after is None:
+                yield None, b"", begin, len(data)
+                return
+            at = after
+            continue
         yield tag, vr, begin, min(begin + size, len(data))
         at = begin + size
+    if at != len(data):
+        yield None, b"", len(data), len(data)
 
 
 def parse(data: bytes, wanted: list[str] | None = None, pixels: bool = False) -> dict:
@@ -59,7 +106,7 @@ def parse(data: bytes, wanted: list[str] | None = None, pixels: bool = False) ->
     if data[128:132] == b"DICM":
         at, syntax = 132, _EXPLICIT
         for tag, _, begin, end in _elements(data, 132, True):
-            if tag[0] != 2:
+            if tag is None or tag[0] != 2:
                 break
             at = end
             if tag == (2, 0x10):
@@ -68,18 +115,24 @@ def parse(data: bytes, wanted: list[str] | None = None, pixels: bool = False) ->
         at, syntax = 0, _IMPLICIT
     else:
         return {"tags": {}, "data": None, "status": "not_dicom"}
+    if syntax in _OTHER_BYTES:
+        return {"tags": {}, "data": None, "status": "unsupported_format"}
     tags, values, status = {}, None, "ok"
     for tag, _, begin, end in _elements(data, at, syntax != _IMPLICIT):
+        if tag is None:
+            status = "truncated" if status == "ok" else status
+            break
         if tag == _PIXELS:
             if pixels:
-                if end < 0 or syntax not in (_IMPLICIT, _EXPLICIT):
+                size = {"8": 1, "16": 2, "32": 4}.get(tags.get("BitsAllocated", "16"))
+                if end < 0 or size is None or syntax not in (_IMPLICIT, _EXPLICIT):
                     status = "unsupported_format"
                 else:
-                    kind = ("<i" if tags.get("PixelRepresentation") == "1" else "<u") + ("1" if tags.get("BitsAllocated") == "8" else "2")
+                    kind = f"<{'i' if tags.get('PixelRepresentation') == '1' else 'u'}{size}"
                     import numpy as np
 
-                    values = np.frombuffer(data[begin : begin + (end - begin) // int(kind[-1]) * int(kind[-1])], dtype=kind).astype("float32")
-            break
+                    values = np.frombuffer(data[begin : begin + (end - begin) // size * size], dtype=kind).astype("float64")
+            continue
         known = _BY_TAG.get(tag)
         if known and end >= begin:
             name, vr = known
@@ -108,7 +161,7 @@ def build(tags: dict[str, str], values=None) -> bytes:
     return out if values is None else out + element(*_PIXELS, "OW", values.astype("<u2").tobytes())
 
 
-_SCHEMA = "path string, length long, tags map<string,string>, n_rows int, n_cols int, data array<float>, status string"
+_SCHEMA = "path string, length long, tags map<string,string>, n_rows int, n_cols int, data array<double>, status string"
 
 
 def read(spark: SparkSession, path: str, tags: list[str] | None = None, pixels: bool = False, glob: str = "*.dcm") -> DataFrame:
