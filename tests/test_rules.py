@@ -104,3 +104,20 @@ def test_queries_over_all_studies(spark):
     sf = "/root/testdata/sf0.001"
     assert catalog.queries()["s01_study_query_all"](spark, sf).count() == read_table(spark, sf, "lineitem").select("l_orderkey").distinct().count()
     assert catalog.queries()["j10_u04_resumed_all"](spark, sf).count() == read_table(spark, sf, "orders").where("o_orderstatus = 'F'").count()
+
+
+def test_window_by_tags(spark):
+    from voxelmill.functions.pixels import window_by_tags
+
+    data = [0.0] * 8 + [10.0, 20.0, 30.0, 40.0, 50.0, 160.0]
+    x = np.array(data[8:])
+    p5, p95 = np.percentile(x, [5, 95])
+    q5, q95 = np.percentile(data, [5, 95])
+    cases = {
+        ("MR", "T1", None): (x.mean(), max(x.std() * 4, 150)), ("MR", "T2", None): (x.mean(), max(x.std() * 5, 150)), ("MR", "LOCALIZER", None): (85, 150), ("MR", "PD", None): ((p5 + p95) / 2, p95 - p5),
+        ("DX", None, 14): (8191.5, 16383), ("CR", None, None): (2047.5, 4095), ("ct", None, None): (40, 400), ("MG", None, 12): (np.mean(data), np.std(data) * 3), ("US", None, None): ((q5 + q95) / 2, q95 - q5),
+    }
+    rows = spark.createDataFrame([(*k, data, k in cases) for k in cases] + [("DX", None, None, [], False), ("US", None, None, [3.0, 3.0], False)], "m string, s string, b int, data array<double>, full boolean")
+    found = rows.select("m", "s", "b", "full", window_by_tags(F.col("data"), F.col("m"), F.col("s"), F.col("b")).alias("w")).collect()
+    assert {(r.m, r.s, r.b): tuple(r.w) for r in found if r.full} == {k: pytest.approx(v) for k, v in cases.items()}
+    assert [tuple(r.w) for r in found if not r.full] == [(0.5, 1.0), (3.5, 1.0)]

@@ -194,13 +194,40 @@ def window_given(center: Column, width: Column) -> Column:
 
 
 def window_estimate(data: Column, modality: Column) -> Column:
-    """Soft tissue for CT, mean and deviation for MG, the 5th to 95th percentile else."""
+    """Soft tissue for CT, mean and deviation for MG, the 5th to 95th percentile else: an estimate without tags, see ``window_by_tags``."""
     x = F.array_sort(finite(data))
     percentiles = let(x, lambda s: F.struct(((quantile(s, 0.05) + quantile(s, 0.95)) / 2).alias("center"), F.greatest(quantile(s, 0.95) - quantile(s, 0.05), F.lit(1.0)).alias("width")))
     spread = let(x, lambda s: F.struct(mean(s).alias("center"), F.greatest(deviation(s) * 3, F.lit(1.0)).alias("width")))
     return F.when(modality == "CT", F.struct(F.lit(40.0).alias("center"), F.lit(400.0).alias("width"))).when(modality == "MG", spread).otherwise(percentiles)
 
 
+def window_by_tags(data: Column, modality: Column, sequence: Column, bits_stored: Column) -> Column:
+    """Struct of center and width by modality; ``sequence`` is the preview type of an MR image, X-ray images without bits stored have 12."""
+
+    def ends(low: Column, high: Column) -> Column:
+        top = F.when(high <= low, low + 1.0).otherwise(high)
+        return F.struct(((low + top) / 2).alias("center"), (top - low).alias("width"))
+
+    around = lambda m, w: ends(m - w / 2, m + w / 2)
+    percentiles = lambda x: ends(quantile(x, 0.05), quantile(x, 0.95))
+    wide = lambda x, times: around(mean(x), F.greatest(deviation(x) * times, F.array_max(x) - F.array_min(x)))
+
+    def of_mr(x: Column) -> Column:
+        by_type = F.when(sequence.isin("T1", "FLAIR", "STIR"), wide(x, 4)).when(sequence.isin("T2", "DWI"), wide(x, 5))
+        return by_type.when(sequence == "LOCALIZER", ends(F.array_min(x), F.array_max(x))).otherwise(percentiles(x))
+
+    kind = F.upper(F.coalesce(modality, F.lit("")))
+    x = F.array_sort(finite(data))
+    made = (
+        F.when(kind == "CT", ends(F.lit(-160.0), F.lit(240.0)))
+        .when(kind == "MR", let(tissue(x, kind), of_mr))
+        .when(kind.isin("DX", "DR", "CR", "RF"), ends(F.lit(0.0), F.pow(F.lit(2.0), F.coalesce(bits_stored, F.lit(12))) - 1.0))
+        .when(kind == "MG", let(x, lambda s: around(mean(s), deviation(s) * 3)))
+        .otherwise(let(x, percentiles))
+    )
+    return F.when(F.size(x) == 0, ends(F.lit(0.0), F.lit(1.0))).otherwise(made)
+
+
 def stretched(data: Column, top: int = 4095) -> Column:
     low, high = F.array_min(data), F.array_max(data)
     span = F.when(high > low, high - low).otherwise(1.0)

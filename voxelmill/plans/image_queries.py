@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelmill.functions import pixels as P
+from voxelmill.functions.series import preview_type
 from voxelmill.operators import images as I
 from voxelmill.plans import fixtures as X
 from voxelmill.session import read_table
@@ -21,6 +22,17 @@ def _add(name, query, sql=None):
 _MOD = "CASE label % 5 WHEN 0 THEN 'MR' WHEN 1 THEN 'DX' WHEN 2 THEN 'CT' WHEN 3 THEN 'MG' ELSE 'US' END"
 
 
+#: Tags of the made images, which have none of their own.
+_TAGS = {
+    "name": "element_at(array('localizer', 't2 flair', 'stir', 'dwi', 'adc map', 'ax t1', 'plain'), cast(floor(image_id / 5) % 7 + 1 as int))",
+    "image_type": "'ORIGINAL'",
+    "tr": "floor(image_id / 5) % 4 * 700.0 + 500",
+    "te": "floor(image_id / 5) % 5 * 25.0",
+    "ti": "case floor(image_id / 5) % 11 when 0 then 2200.0 when 1 then 150.0 end",
+    "bits": "case when floor(image_id / 5) % 3 > 0 then 10 + floor(image_id / 5) % 7 end",
+}
+
+
 def images(s, d):
     """Label 0 has a small range; pixels are rounded so that both engines sum the same numbers."""
     data = F.transform("embedding", lambda v: F.round(v.cast("double") * F.when(F.col("label") == 0, 10).otherwise(1000), 3))
@@ -82,6 +94,13 @@ _add("i15_windowed", lambda s, d: images(s, d).select("image_id", _hash(F.transf
      PX + ", g AS (SELECT image_id, i, label, floor(least(greatest((x - (100.0 - 450.0)) / 900.0, 0), 1) * 255) AS v FROM px) SELECT image_id, round(sum(CASE WHEN label = 3 THEN 255 - v ELSE v END * (i + 1)), 3) AS sum FROM g GROUP BY 1")
 _add("i16_window_estimate", lambda s, d: images(s, d).select("image_id", P.window_estimate(F.col("data"), F.col("modality")).alias("w")).select("image_id", F.round("w.center", 8).alias("center"), F.round("w.width", 8).alias("width")),
      PX + ", q AS (SELECT image_id, any_value(modality) AS m, quantile_cont(x, 0.05) AS a, quantile_cont(x, 0.95) AS b, avg(x) AS mean, stddev_pop(x) AS sd FROM px GROUP BY 1) SELECT image_id, round(CASE m WHEN 'CT' THEN 40 WHEN 'MG' THEN mean ELSE (a + b) / 2 END, 8) AS center, round(CASE m WHEN 'CT' THEN 400 WHEN 'MG' THEN greatest(sd * 3, 1) ELSE greatest(b - a, 1) END, 8) AS width FROM q")
+_add("i16_f18_window_by_tags", lambda s, d: images(s, d).select("image_id", P.window_by_tags(F.col("data"), F.col("modality"), preview_type(*[F.expr(_TAGS[k]) for k in ("name", "image_type", "tr", "te", "ti")]), F.expr(_TAGS["bits"])).alias("w")).select("image_id", F.round("w.center", 8).alias("center"), F.round("w.width", 8).alias("width")),
+     PX + """, k AS (SELECT image_id, image_id // 5 % 7 AS k, image_id // 5 % 4 * 700 + 500 AS tr, image_id // 5 % 5 * 25 AS te, CASE image_id // 5 % 11 WHEN 0 THEN 2200 WHEN 1 THEN 150 END AS ti, CASE WHEN image_id // 5 % 3 > 0 THEN 10 + image_id // 5 % 7 ELSE 12 END AS bits FROM im),
+  t AS (SELECT image_id, bits, CASE WHEN k < 5 THEN ['LOCALIZER', 'FLAIR', 'STIR', 'DWI', 'ADC'][k::INT + 1] WHEN ti = 2200 THEN 'FLAIR' WHEN ti = 150 THEN 'STIR' WHEN te > 80 THEN 'T2' WHEN te < 30 AND tr < 800 THEN 'T1' WHEN te < 30 AND tr > 2000 THEN 'PD' WHEN k = 5 THEN 'T1' ELSE 'UNKNOWN' END AS t FROM k),
+  q AS (SELECT image_id, any_value(modality) AS m, quantile_cont(x, 0.05) AS a, quantile_cont(x, 0.95) AS b, avg(x) AS mean, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi FROM tis GROUP BY 1),
+  r AS (SELECT image_id, CASE WHEN m = 'MR' AND t IN ('T1', 'FLAIR', 'STIR') THEN mean WHEN m = 'MR' AND t IN ('T2', 'DWI') THEN mean WHEN m = 'MR' AND t = 'LOCALIZER' THEN (lo + hi) / 2 WHEN m = 'CT' THEN 40 WHEN m = 'DX' THEN (2 ** bits - 1) / 2 WHEN m = 'MG' THEN mean ELSE (a + b) / 2 END AS c,
+    CASE WHEN m = 'MR' AND t IN ('T1', 'FLAIR', 'STIR') THEN greatest(sd * 4, hi - lo) WHEN m = 'MR' AND t IN ('T2', 'DWI') THEN greatest(sd * 5, hi - lo) WHEN m = 'MR' AND t = 'LOCALIZER' THEN hi - lo WHEN m = 'CT' THEN 400 WHEN m = 'DX' THEN 2 ** bits - 1 WHEN m = 'MG' THEN sd * 3 ELSE b - a END AS w FROM q JOIN t USING (image_id))
+  SELECT image_id, round(CASE WHEN w > 0 THEN c ELSE c - w / 2 + 0.5 END, 8) AS center, round(CASE WHEN w > 0 THEN w ELSE 1 END, 8) AS width FROM r""")
 _add("i19_i24_p21_middle_slice", lambda s, d: images(s, d).select("image_id", _hash(P.middle_slice(P.first_volume(F.col("data"), F.lit(48)), F.lit(3), F.lit(16)))), PX + " SELECT image_id, round(sum(x * (i - 15)), 3) AS sum FROM px WHERE i BETWEEN 16 AND 31 GROUP BY 1")
 _add("i07_reversed_zyx", lambda s, d: images(s, d).select("image_id", _hash(P.reversed_zyx(F.col("data"), F.lit(2), F.lit(4), F.lit(8)))),
      PX + " SELECT image_id, round(sum(x * ((7 - i % 8) * 8 + (3 - i // 8 % 4) * 2 + (1 - i // 32) + 1)), 3) AS sum FROM px GROUP BY 1")
