@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +30,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); one of our own only where the session names none, as in tests."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); in local mode, as in tests, a temporary one where the session names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelmill-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxelmill-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -41,5 +46,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bucketed_table(df: DataFrame, column: str, buckets: int) -> str:
+    """Name of a table with the rows of ``df``, written to the shared folder in buckets of ``column``: joins on it need no exchange of these rows."""
+    spark = df.sparkSession
+    database = "voxelmill_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{shared_folder(spark)}/tables'")
+    name = f"{database}.t{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    return name
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Delete a table that ``bucketed_table`` wrote; nothing may read it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
