@@ -119,15 +119,15 @@ def test_html_query(spark):
 
 
 def test_minhash(spark, docs, rows, nothing):
-    weights = minhash.document_frequencies(docs)
+    stored, weights = minhash.weighted_bags(docs)
+    bags = {r.id: (r.bag, r.counts, r.frequency) for r in spark.table(stored).collect()}
     found = {r.doc_id: r for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None}
     # frequencies, by sets of shingles
     bag = lambda t: Counter(zip(*[(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))[k:] for k in range(5)], strict=False)) or Counter([tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))] if (t or "").strip() else [])
     df = Counter(s for _, t in rows for s in bag(t))
     total = len(rows)
-    idf = {s: 1 + np.log((total + 1) / (max(n, minhash.FREQUENT * total) + 1)) for s, n in df.items()}
+    idf = {s: 1 + np.log((total + 1) / (n + 1)) for s, n in df.items()}
     own = {i: {s: n * idf[s] for s, n in bag(t).items()} for i, t in rows if i is not None}
-    texts = dict(rows)
     parent = {i: i for i in own}
     root = lambda i: i if parent[i] == i else root(parent[i])
     for i in own:
@@ -135,7 +135,7 @@ def test_minhash(spark, docs, rows, nothing):
             if i < j and own[i] and own[j]:
                 least = sum(min(w, own[j].get(s, 0)) for s, w in own[i].items())
                 similarity = least / (sum(own[i].values()) + sum(own[j].values()) - least)
-                assert minhash.weighted_jaccard(texts[i].encode(), texts[j].encode(), weights) == pytest.approx(similarity)
+                assert minhash.weighted_jaccard(bags[i], bags[j], weights) == pytest.approx(similarity)
                 if similarity >= 0.8 - 1e-9:
                     a, b = sorted((root(i), root(j)))
                     parent[b] = a
@@ -144,6 +144,34 @@ def test_minhash(spark, docs, rows, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_minhash_names_and_clashes(spark, rows):
+    texts = [(None if i is None else f"d{i:03}", t, i, True) for i, t in rows]
+    named = spark.createDataFrame(texts, "name string, text string, _dropped long, kept boolean")
+    by_number = {r.doc_id: r for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    by_name = {r.doc_id: r for r in minhash.near_duplicates(named, "name").collect()}
+    assert {i: by_name[f"d{i:03}"].class_id for i in by_number if i is not None} == {i: f"d{r.class_id:03}" for i, r in by_number.items() if i is not None}
+    stays = minhash.keep_one(named, "name")
+    assert stays.columns == named.columns
+    assert Counter(r["name"] for r in stays.collect()) == Counter(n for n, *_ in texts if n is None or by_name[n].kept)
+
+
+def test_minhash_one_family(spark):
+    """Two thousand texts share three quarters of their words; a few pairs of them are near copies."""
+    draw = random.Random(3)
+    shared = [f"t{k}" for k in range(90)]
+    rows = [(i, " ".join(shared + [f"w{draw.randrange(10**9)}" for _ in range(30)])) for i in range(2000)]
+    pairs = set()
+    for i in range(2000, 2040):
+        of = draw.randrange(2000)
+        rows.append((i, rows[of][1] + " end"))
+        pairs.add((of, i))
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    first = {}
+    for of, i in sorted(pairs):
+        first.setdefault(of, of)
+    assert {i: c for i, c in found.items() if c != i} == {i: of for of, i in pairs}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 10), (4, 5), (20, 5), (30, 31), (31, 10)]
     found = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -395,9 +423,9 @@ def hub(draw, copies=1100, close=30):
 def test_minhash_in_one_large_bucket(spark, monkeypatch):
     rows = hub(random.Random(3))
     docs = table(spark, rows)
-    weights = minhash.document_frequencies(docs)
     shingles, counts, begins, _ = minhash._bags([t.encode() for _, t in rows])
-    value = counts * weights(shingles)
+    _, which, texts = np.unique(shingles, return_inverse=True, return_counts=True)
+    value = counts * (1 + np.log((len(rows) + 1) / (texts[which] + 1)))
     bags = [dict(zip(shingles[a:b].tolist(), value[a:b].tolist(), strict=True)) for a, b in itertools.pairwise(begins)]
     totals = np.array([sum(b.values()) for b in bags])
     holders = defaultdict(list)
@@ -415,9 +443,16 @@ def test_minhash_in_one_large_bucket(spark, monkeypatch):
         root = [a if r == b else r for r in root]
     assert root[-2] == root[-1] == root[-32] and max(Counter(root).values()) == 61
     # all texts share one bucket
-    drawn = minhash.signatures
-    monkeypatch.setattr(minhash, "signatures", lambda *given: drawn(*given).withColumn("bands", F.array(F.lit(0).cast("long"))))
+    made = minhash.weighted_bags
+
+    def one_bucket(*given):
+        name, weights = made(*given)
+        return minhash.bucketed_table(spark.table(name).withColumn("bands", F.array(F.lit(0).cast("long"))), "id", 3), weights
+
+    monkeypatch.setattr(minhash, "weighted_bags", one_bucket)
     whole = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
     assert [whole[i] for i, _ in rows] == root
-    bound = minhash.similarity_bound(*(x for _ in range(2) for x in (minhash._binned(shingles, value, begins), totals)))
-    assert (bound >= similar - 1e-4).all()
+    bins = np.array([minhash.binned(shingles[a:b], value[a:b]) for a, b in itertools.pairwise(begins)])
+    u, v = np.triu_indices(len(rows), 1)
+    u, v = u[::7], v[::7]
+    assert (minhash.similarity_bound(bins[u], totals[u], bins[v], totals[v]) >= similar[u, v] - 1e-4).all()

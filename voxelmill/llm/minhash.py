@@ -3,14 +3,19 @@
 Texts are bags of five-word shingles weighted by TF-IDF. Improved consistent weighted
 sampling draws samples whose chance to agree is the weighted Jaccard similarity; they
 are grouped into bands, texts that share a band become candidates, and candidates are
-verified by the weighted Jaccard similarity of their whole texts.
+verified by the weighted Jaccard similarity of their whole bags.
+
+Texts are shingled once. Chunks of bags, dealt out by the identifier, send their distinct
+shingles to ranges of shingles, which add up document frequencies and send them back, so
+every shingle has its true frequency and no table of them is broadcast. Weighted bags are
+kept in a table bucketed by the identifier; joins with it move the candidates, not the bags.
 
 No group is expanded into its pairs. Texts with the same words are one class and enter
 once, through the smallest identifier. In each band bucket every member is verified
-against the bucket's smallest identifier; those that fail are verified against the
-members whose samples agree most, inside blocks of bounded size. Of the pairs of a
-bucket that these links leave in different components, all are verified that an upper
-bound of their similarity doesn't rule out. Verified links are joined to connected
+against the bucket's smallest identifier. Members that fail meet the others by prefixes:
+of two texts that are similar enough, the rarest shingles that make up a fifth of the
+weight have one in common, so pairs without such a shingle are ruled out by proof. What
+shares one, and is not connected yet, is verified. Verified links are joined to connected
 components.
 """
 
@@ -24,25 +29,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm import words
-from voxelmill.session import cut_lineage
+from voxelmill.session import bucketed_table, cut_lineage, drop_table, shuffle_partitions
 
 WIDTH, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with a chance of 1 - (1 - 0.8^3)^9 = 0.998.
 BANDS, ROWS = 9, 3
-#: Shingles in at least this share of documents are counted exactly; rarer ones all weigh as much as one at this share.
-FREQUENT = 0.01
-#: Members of a bucket that are compared by their samples at once.
-BLOCK_MEMBERS = 256
-#: Of samples, this share must agree for a second look; at the threshold fewer do with a chance of 0.002.
-LEAST_AGREEMENT = 0.5
-PARTNERS = 4
-#: Members of a bucket in a block of the last look, and sums of weights that bound a pair's similarity there.
-WIDE_BLOCK, BINS = 512, 512
-#: Shingles that a worker counts before it reports the frequent ones among them.
-CHUNK_SHINGLES = 1_000_000
-#: Texts that a worker turns into Python objects at once, and bytes of them that it shingles at once.
-PIECE_ROWS, PORTION_BYTES = 256, 1 << 18
-
+#: Text in a chunk of bags, and the least when there are fewer chunks than shuffle partitions.
+CHUNK_BYTES, LEAST_CHUNK_BYTES = 8 << 20, 1 << 18
+#: Buckets of the table of bags at most; beyond that a bucket takes several chunks.
+MOST_BUCKETS = 10_000
+#: Pairs that share one copy of their smaller member's bag.
+PAIRS_PER_COPY = 1024
+#: Members of a prefix group that meet at once, and sums of weights that bound a pair's similarity there.
+BLOCK, BINS = 128, 128
+#: Texts that a worker turns into Python objects at once, bytes of them that it shingles at once, and shingles that it samples at once.
+PIECE_ROWS, PORTION_BYTES, PORTION_SHINGLES = 256, 1 << 18, 1 << 16
+#: Rounding of sums of weights.
+SLACK = 1e-6
+
+_SHINGLE_BYTES = 6
 _MASK = np.uint64((1 << 48) - 1)
 _TABLE_BITS = 16
 
@@ -71,91 +76,110 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, PIECE_ROWS)
 
 
-def _locally_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk of texts: every shingle that at least a quarter of the frequent share of them hold, and its count.
+def _binaries(raw: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """The rows of ``raw`` from each begin to the next as one binary."""
+    ends = pa.py_buffer((begins * raw.shape[1]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, ends, pa.py_buffer(np.ascontiguousarray(raw))])
 
-    The rest after the last full chunk joins that chunk: alone, a few texts would report all they hold.
-    """
 
-    def report(held: list[np.ndarray], texts_held: int) -> pa.RecordBatch:
-        packed = np.sort(np.concatenate(held))
-        at = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
-        counts = np.diff(np.concatenate((at, [len(packed)])))
-        often = counts >= FREQUENT / 4 * texts_held
-        return pa.RecordBatch.from_arrays([pa.array(packed[at][often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=["shingle", "texts"])
+def _pack(values: np.ndarray, width: int = _SHINGLE_BYTES) -> np.ndarray:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
 
-    full: tuple[list[np.ndarray], int] = ([], 0)
-    held: list[np.ndarray] = []
-    size = texts_held = 0
+def _unpack(content: bytes, width: int = _SHINGLE_BYTES) -> np.ndarray:
+    raw = np.frombuffer(content, dtype=np.uint8).reshape(-1, max(1, width))
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").reshape(-1)
+
+
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, key_a, key_b, bag, counts`` of texts that have a word; counts are null where every shingle occurs once."""
     for batch in _pieces(batches):
-        texts = words.as_bytes(batch.column(0))
+        texts = words.as_bytes(batch.column(1))
         for lo, hi in words.portions(texts, PORTION_BYTES):
-            held.append(_bags(texts[lo:hi])[0])
-            size += len(held[-1])
-            texts_held += hi - lo
-            if size >= CHUNK_SHINGLES:
-                if full[0]:
-                    yield report(*full)
-                full, held, size, texts_held = (held, texts_held), [], 0, 0
-    if full[0] or size:
-        yield report(full[0] + held, full[1] + texts_held)
-
-
-def _lookup(table: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    """Index of each shingle in the sorted ``table``, or -1."""
-    if not len(table):
-        return np.full(len(shingles), -1)
-    at = np.searchsorted(table, shingles)
-    at[at == len(table)] = 0
-    return np.where(table[at] == shingles, at, -1)
+            shingles, counts, begins, keys = _bags(texts[lo:hi])
+            some = np.flatnonzero(np.diff(begins))
+            often = [counts[begins[k] : begins[k + 1]] for k in some]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(lo, hi - lo).take(pa.array(some)),
+                    pa.array(keys[some, 0]),
+                    pa.array(keys[some, 1]),
+                    _binaries(_pack(shingles), begins).take(pa.array(some)),
+                    pa.array([c.astype("<u4").tobytes() if c.max() > 1 else None for c in often], type=pa.binary()),
+                ],
+                names=["id", "key_a", "key_b", "bag", "counts"],
+            )
 
 
-class Weights:
-    """Inverse document frequencies: of frequent shingles by their counts, of all others by the frequent share."""
-
-    def __init__(self, shingles: np.ndarray, texts: np.ndarray, total: int) -> None:
-        order = np.argsort(shingles)
-        self.shingles = shingles[order].astype(np.uint64)
-        idf = lambda df: 1.0 + np.log((total + 1.0) / (np.maximum(df, FREQUENT * total) + 1.0))
-        self.idf = idf(texts[order].astype(float))
-        self.rare = float(idf(np.zeros(1))[0])
-
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        out = np.full(len(shingles), self.rare)
-        if len(self.shingles):
-            at = _lookup(self.shingles, shingles)
-            out[at >= 0] = self.idf[at[at >= 0]]
-        return out
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all bags, one bag after another, and where each bag begins."""
+    bags = table.column("bag").to_pylist()
+    begins = np.concatenate(([0], np.cumsum(np.fromiter(map(len, bags), dtype=np.int64, count=len(bags)) // _SHINGLE_BYTES)))
+    return _unpack(b"".join(bags)), begins
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> Weights:
-    """Exact document frequencies of all shingles in at least a hundredth of the documents.
+def _counts(column, begins: np.ndarray) -> np.ndarray:
+    out = np.ones(int(begins[-1]), dtype=np.int64)
+    for k, counts in enumerate(column.to_pylist()):
+        if counts is not None:
+            out[begins[k] : begins[k + 1]] = np.frombuffer(counts, dtype="<u4")
+    return out
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    most = int(values.max(initial=0))
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _widen(content: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(content, dtype=f"<u{len(content) // n}")
+
+
+_ASKED = {"bucket": pa.int32(), "chunk": pa.int64(), "n": pa.int32(), "first": pa.int64(), "gaps": pa.binary(), "texts": pa.binary()}
 
-    Such a shingle is over a quarter of that share in chunks that together hold three
-    quarters of its documents, so the sum of what chunks report leaves at most
-    (shingles of a text) / 0.0075 to be counted exactly in a second pass.
-    """
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = texts.count()
-    reported = texts.mapInArrow(_locally_frequent, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts"))
-    likely = np.sort(np.array([r[0] for r in reported.where(F.col("texts") >= FREQUENT * 0.75 * total).select("shingle").collect()], dtype=np.uint64))
-    if not len(likely):
-        return Weights(likely, likely, total)
-    shared = docs.sparkSession.sparkContext.broadcast(likely)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        sums = np.zeros(len(table), dtype=np.int64)
-        for batch in _pieces(batches):
-            own = words.as_bytes(batch.column(0))
-            for lo, hi in words.portions(own, PORTION_BYTES):
-                at = _lookup(table, _bags(own[lo:hi])[0])
-                sums += np.bincount(at[at >= 0], minlength=len(table))
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(table[some].astype(np.int64)), pa.array(sums[some])], names=["shingle", "texts"])
 
-    rows = texts.mapInArrow(count, "shingle long, texts long").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= FREQUENT * total).collect()
-    return Weights(np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.int64), total)
+def _ask(buckets: int):
+    """From a chunk to every range of shingles: its distinct ones there, as gaps, and how many of its texts hold each."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        shingles, texts = np.unique(_flat(table)[0], return_counts=True)
+        bucket = ((shingles >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(24)
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        rows = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shingles)], strict=True):
+            gaps = np.diff(shingles[a:b])
+            width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+            rows.append((int(bucket[a]), key[0].as_py(), b - a, int(shingles[a]), _pack(gaps, width).tobytes(), _narrow(texts[a:b])))
+        return pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(_ASKED.items())})
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """To each chunk the document frequencies of the shingles that it sent."""
+    shingles, texts = [], []
+    for row in table.to_pylist():
+        n, gaps = row["n"], row["gaps"]
+        own = np.full(n, row["first"], dtype=np.uint64)
+        own[1:] += np.cumsum(_unpack(gaps, len(gaps) // max(1, n - 1)), dtype=np.uint64)
+        shingles.append(own)
+        texts.append(_widen(row["texts"], n).astype(np.int64))
+    _, which = np.unique(np.concatenate(shingles), return_inverse=True)
+    frequency = np.bincount(which, np.concatenate(texts)).astype(np.int64)[which]
+    pieces = np.split(frequency, np.cumsum([len(x) for x in shingles])[:-1])
+    return pa.table([table.column("chunk"), table.column("bucket"), table.column("n"), pa.array(map(_narrow, pieces), type=pa.binary())], names=["chunk", "bucket", "n", "frequency"])
+
+
+class Weights:
+    """TF-IDF of shingles in a corpus of ``total`` documents."""
+
+    def __init__(self, total: int) -> None:
+        self.total = total
+
+    def __call__(self, counts: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+        return counts * (1.0 + np.log((self.total + 1.0) / (frequency + 1.0)))
 
 
 class Sampler:
@@ -188,166 +212,224 @@ class Sampler:
         return out
 
 
-def _binned(shingles: np.ndarray, weights: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Sums of each bag's weights in bins of shingles, as 16-bit floats, never too small."""
-    cell = np.repeat(np.arange(len(begins) - 1), np.diff(begins)) * BINS + (words.mix(shingles) % np.uint64(BINS)).astype(np.int64)
-    sums = np.bincount(cell, weights, (len(begins) - 1) * BINS).reshape(-1, BINS)
-    with np.errstate(over="ignore"):
-        small = sums.astype(np.float16)
-    return np.where(small < sums, np.nextafter(small, np.float16(np.inf)), small)
-
+def _sign(weights: Weights, fields: pa.Schema):
+    """Bags of a chunk with the frequencies of their shingles and the bands of their samples."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return fields.empty_table()
+        shingles, begins = _flat(left)
+        right = right.sort_by("bucket")
+        answers = zip(right.column("frequency").to_pylist(), right.column("n").to_pylist(), strict=True)
+        distinct, which = np.unique(shingles, return_inverse=True)
+        frequency = np.concatenate([_widen(x, n).astype(np.uint32) for x, n in answers])
+        if len(frequency) != len(distinct):
+            raise ValueError("a chunk of bags changed between two readings of its documents; write them down first")
+        frequency = frequency[which]
+        value = weights(_counts(left.column("counts"), begins), frequency)
+        sampler = Sampler(BANDS * ROWS)
+        bands = np.empty((left.num_rows, BANDS), dtype=np.uint64)
+        lo = 0
+        while lo < left.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(begins, begins[lo] + PORTION_SHINGLES, side="right")) - 1)
+            a, b = begins[lo], begins[hi]
+            drawn = sampler(shingles[a:b], value[a:b], begins[lo : hi + 1] - a).reshape(hi - lo, BANDS, ROWS)
+            hashed = drawn[:, :, 0]
+            for k in range(1, ROWS):
+                hashed = words.mix(hashed * np.uint64(31) + drawn[:, :, k])
+            bands[lo:hi] = hashed
+            lo = hi
+        # of repeated rows one is enough, and rows without an identifier were only counted
+        ids, keys = left.column("id").to_pylist(), left.column("key_a").to_pylist()
+        one = {(i, k): at for at, (i, k) in enumerate(zip(ids, keys, strict=True)) if i is not None}
+        made = pa.table(
+            [
+                left.column("id"),
+                left.column("key_a"),
+                left.column("key_b"),
+                pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.reshape(-1).view(np.int64)),
+                left.column("bag"),
+                left.column("counts"),
+                _binaries(frequency.astype("<u4").view(np.uint8).reshape(-1, 4), begins),
+            ],
+            schema=fields,
+        )
+        return made.take(pa.array(list(one.values()), pa.int64()))
 
-def similarity_bound(a: np.ndarray, total_a: np.ndarray, b: np.ndarray, total_b: np.ndarray) -> np.ndarray:
-    """No pair of a row of ``a`` and a row of ``b`` is more similar than this: texts share at most the smaller sum of each bin."""
-    least = np.zeros((len(a), len(b)), dtype=np.float32)
-    for x, y in zip(a.T.astype(np.float32), b.T.astype(np.float32), strict=True):
-        least += np.minimum(x[:, None], y[None, :])
-    least = np.minimum(least, np.minimum(total_a[:, None], total_b[None, :]))
-    return least / (total_a[:, None] + total_b[None, :] - least)
+    return run
 
 
-def signatures(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, key_a, key_b, bands, samples`` of every text that has a word."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def weighted_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, Weights]:
+    """Name of a table ``id, key_a, key_b, bands, bag, counts, frequency`` of every text that has a word and an identifier, and the weights.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(BANDS * ROWS)
-        for batch in _pieces(batches):
-            texts = words.as_bytes(batch.column(1))
-            for lo, hi in words.portions(texts, PORTION_BYTES):
-                shingles, counts, begins, keys = _bags(texts[lo:hi])
-                some = np.flatnonzero(np.diff(begins))
-                if not len(some):
-                    continue
-                edges = np.concatenate((begins[some], [begins[-1]]))
-                drawn = sampler(shingles, counts * shared.value(shingles), edges)
-                band = drawn.reshape(len(some), BANDS, ROWS)
-                hashed = band[:, :, 0]
-                for k in range(1, ROWS):
-                    hashed = words.mix(hashed * np.uint64(31) + band[:, :, k])
-                small = (drawn >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo).take(pa.array(some)),
-                        pa.array(keys[some, 0]),
-                        pa.array(keys[some, 1]),
-                        pa.array(list(hashed.view(np.int64)), type=pa.list_(pa.int64())),
-                        pa.array([row.tobytes() for row in small], type=pa.binary()),
-                    ],
-                    names=["doc_id", "key_a", "key_b", "bands", "samples"],
-                )
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    return source.mapInArrow(run, "doc_id long, key_a long, key_b long, bands array<long>, samples binary")
-
-
-def weighted_jaccard(a: bytes, b: bytes, weights: Weights) -> float:
-    shingles, counts, begins, _ = _bags([a, b])
-    x, y = shingles[: begins[1]], shingles[begins[1] :]
-    both, at, bt = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    value = counts * weights(shingles)
-    v, w = value[: begins[1]], value[begins[1] :]
-    least = np.minimum(v[at], w[bt]).sum()
-    return float(least / (v.sum() + w.sum() - least)) if len(shingles) else 0.0
-
-
-def verified(edges: DataFrame, docs: DataFrame, weights: Weights, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of the distinct pairs ``u < v``, those similar enough, with ``similarity``."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    one = texts.join(edges.hint("shuffle_hash"), texts["doc_id"] == edges["u"]).select("u", "v", F.col("text").alias("text_u"))
-    both = texts.join(one.hint("shuffle_hash"), texts["doc_id"] == one["v"]).select("u", "v", "text_u", F.col("text").alias("text_v"))
+    ``bag`` are the distinct shingles in order, ``counts`` how often each occurs (null: once),
+    ``frequency`` in how many documents; all rows count as documents. The table is
+    bucketed by ``id``; drop it with ``session.drop_table``.
+    """
+    spark = docs.sparkSession
+    partitions = shuffle_partitions(spark)
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total, size = source.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    size = size or 0
+    buckets = min(MOST_BUCKETS, max(1, -(-size // CHUNK_BYTES), min(partitions, -(-size // LEAST_CHUNK_BYTES))))
+    per_bucket = max(1, -(-size // (CHUNK_BYTES * buckets)))
+    kind = source.schema["id"].dataType.simpleString()
+    # the bucket is the one that Spark deals the identifier to
+    bucket = F.pmod(F.when(F.col("id").isNotNull(), F.hash("id")).otherwise(F.hash("key_a")), F.lit(buckets))
+    chunk = bucket.cast("long") * per_bucket + F.pmod(F.xxhash64("key_a"), F.lit(per_bucket))
+    bags = source.mapInArrow(_bag_rows, f"id {kind}, key_a long, key_b long, bag binary, counts binary").withColumn("chunk", chunk)
+    asked = bags.groupBy("chunk").applyInArrow(_ask(buckets * per_bucket), "bucket int, chunk long, n int, first long, gaps binary, texts binary")
+    answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, n int, frequency binary")
+    weights = Weights(total)
+    out = f"id {kind}, key_a long, key_b long, bands array<long>, bag binary, counts binary, frequency binary"
+    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    fields = pa.schema([("id", id_type), ("key_a", pa.int64()), ("key_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("bag", pa.binary()), ("counts", pa.binary()), ("frequency", pa.binary())])
+    signed = bags.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_sign(weights, fields), out)
+    return bucketed_table(signed, "id", buckets), weights
+
+
+def _decoded(bag: bytes, counts: bytes | None, frequency: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    df = np.frombuffer(frequency, dtype="<u4")
+    return _unpack(bag), weights(1 if counts is None else np.frombuffer(counts, dtype="<u4"), df), df
+
+
+def weighted_jaccard(a: tuple[bytes, bytes | None, bytes], b: tuple[bytes, bytes | None, bytes], weights: Weights) -> float:
+    """Of two rows' ``bag, counts, frequency``."""
+    (x, v, _), (y, w, _) = _decoded(*a, weights), _decoded(*b, weights)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = np.flatnonzero(y[at] == x)
+    least = np.minimum(v[same], w[at[same]]).sum()
+    return float(least / (v.sum() + w.sum() - least))
+
+
+_BAG = ("bag", "counts", "frequency")
+
+
+def verified(edges: DataFrame, bags: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Of the distinct pairs ``u < v``, those similar enough, with ``similarity``.
+
+    ``meets`` says how many pairs ``u`` has, about; the bag of a busy ``u`` is copied, and its
+    pairs are dealt out among the copies.
+    """
+    salted = edges.select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("meets") / PAIRS_PER_COPY)).cast("int").alias("salt"))
+    ids = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    some = bags.select("id", *_BAG).join(ids.hint("shuffle_hash"), "id", "left_semi")
+    left, right = (some.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in _BAG]) for side in ("u", "v"))
+    copies = left.join(salted.select("u", "salt").distinct().hint("merge"), "u")
+    one = copies.join(salted.hint("merge"), ["u", "salt"])
+    both = right.join(one.hint("merge"), "v").select("u", "v", *[f"{c}_{side}" for side in ("u", "v") for c in _BAG])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            left, right = words.as_bytes(batch.column(2)), words.as_bytes(batch.column(3))
-            values = [weighted_jaccard(a, b, shared.value) for a, b in zip(left, right, strict=True)]
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            values = [weighted_jaccard(r[:3], r[3:], weights) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, type=pa.float64())], names=["u", "v", "similarity"])
 
-    return both.mapInArrow(compare, "u long, v long, similarity double").where(F.col("similarity") >= threshold - 1e-9)
+    kind = edges.schema["u"].dataType.simpleString()
+    return both.mapInArrow(compare, f"u {kind}, v {kind}, similarity double").where(F.col("similarity") >= threshold - SLACK / 1000)
 
 
-def _closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each member that is still open, the members of its block whose samples agree most."""
-    for batch in batches:
-        us, vs = [], []
-        for group in batch.column(0):
-            members = group.as_py()
-            ids = np.array([m["rep"] for m in members])
-            samples = np.frombuffer(b"".join(m["samples"] for m in members), dtype=np.uint32).reshape(len(ids), -1)
-            for k in np.flatnonzero([m["open"] for m in members]):
-                agree = (samples == samples[k]).mean(axis=1)
-                agree[k] = 0
-                for j in np.argsort(-agree, kind="stable")[:PARTNERS]:
-                    if agree[j] >= LEAST_AGREEMENT:
-                        us.append(min(ids[k], ids[j]))
-                        vs.append(max(ids[k], ids[j]))
-        yield pa.RecordBatch.from_arrays([pa.array(us, type=pa.int64()), pa.array(vs, type=pa.int64())], names=["u", "v"])
-
-
-def _possible(threshold: float):
-    """Of two blocks, the pairs in different components that the bound doesn't rule out."""
-
-    def unpack(block: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        ids, roots, totals = (block.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "root", "total"))
-        return ids, roots, totals, np.frombuffer(b"".join(block.field("bins").to_pylist()), dtype=np.float16).reshape(len(ids), BINS)
+def _prefixes(weights: Weights, threshold: float):
+    """Of each bag the shingles that a similar one must share: the rarest, up to more than ``1 - threshold`` of the weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (a, root_a, total_a, bins_a), (b, root_b, total_b, bins_b) = (unpack(batch.column(c)[k].values) for c in (0, 1))
-                # rounding aside, a bound below the threshold is a proof; one that isn't a number is none
-                ruled_out = similarity_bound(bins_a, total_a, bins_b, total_b) < threshold - 1e-4
-                x, y = np.nonzero(~ruled_out & (root_a[:, None] != root_b[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[x], b[y])), pa.array(np.maximum(a[x], b[y]))], names=["u", "v"])
+        for batch in _pieces(batches):
+            found = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3, 6)), strict=True):
+                shingles, value, df = _decoded(*row, weights)
+                order = np.lexsort((shingles, df))
+                sums = np.cumsum(value[order])
+                found.append(shingles[order[: int(np.searchsorted(sums, (1 - threshold + SLACK) * sums[-1], side="right")) + 1]])
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), *(batch.column(k).take(owner) for k in range(3))], names=["shingle", "id", "root", "open"])
 
     return run
 
 
-def bin_sums(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``rep, total, bins`` of every text that has a word: the sum of its weights, and its sums by bin."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def _bin_sums(weights: Weights):
+    """Of each bag the sum of its weights, and sums in bins of shingles, as 16-bit floats, never too small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            texts = words.as_bytes(batch.column(1))
-            for lo, hi in words.portions(texts, PORTION_BYTES):
-                shingles, counts, begins, _ = _bags(texts[lo:hi])
-                some = np.flatnonzero(np.diff(begins))
-                if not len(some):
-                    continue
-                weight, edges = counts * shared.value(shingles), np.concatenate((begins[some], [begins[-1]]))
-                sums = [row.tobytes() for row in _binned(shingles, weight, edges)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array(np.add.reduceat(weight, edges[:-1])), pa.array(sums, type=pa.binary())], names=["rep", "total", "bins"])
+            totals, bins = [], []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
+                shingles, value, _ = _decoded(*row, weights)
+                totals.append(float(value.sum()))
+                bins.append(binned(shingles, value).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.float64()), pa.array(bins, pa.binary())], names=["id", "total", "bins"])
+
+    return run
+
+
+def binned(shingles: np.ndarray, value: np.ndarray) -> np.ndarray:
+    sums = np.bincount((words.mix(shingles) % np.uint64(BINS)).astype(np.int64), value, BINS)
+    with np.errstate(over="ignore"):
+        small = sums.astype(np.float16)
+    return np.where(small < sums, np.nextafter(small, np.float16(np.inf)), small)
 
-    return docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "rep long, total double, bins binary")
 
+def similarity_bound(bins_a: np.ndarray, total_a: np.ndarray, bins_b: np.ndarray, total_b: np.ndarray) -> np.ndarray:
+    """No pair of a row of ``a`` and the same row of ``b`` is more similar than this: texts share at most the smaller sum of each bin."""
+    least = np.minimum(bins_a, bins_b).astype(np.float64).sum(axis=1)
+    least = np.minimum(least, np.minimum(total_a, total_b))
+    return least / (total_a + total_b - least)
 
-def left_over(members: DataFrame, docs: DataFrame, weights: Weights, roots: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Distinct pairs ``u < v`` that share a bucket, are in different components and may be similar enough.
 
-    Members outside their leader's component are open. Each block of open members meets
-    every block of its bucket; a block is one row, and the meetings of a bucket are dealt
-    out by the other block.
+def _apart(threshold: float):
+    """Of two blocks of a prefix group, the pairs in different components, one of them open, that the bound doesn't rule out."""
+
+    def unpack(block: pa.StructArray):
+        root, open_, total = (block.field(k).to_numpy(zero_copy_only=False) for k in ("root", "open", "total"))
+        return block.field("id"), root, open_, total, np.frombuffer(b"".join(block.field("bins").to_pylist()), dtype=np.float16).reshape(len(root), BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ids, root_a, open_a, total_a, bins_a), (jds, root_b, open_b, total_b, bins_b) = (unpack(batch.column(c)[k].values) for c in (0, 1))
+                x, y = np.nonzero((root_a[:, None] != root_b[None, :]) & (open_a[:, None] | open_b[None, :]) & (np.minimum(total_a[:, None], total_b[None, :]) >= (threshold - SLACK) * np.maximum(total_a[:, None], total_b[None, :])))
+                # a bound that isn't a number is no proof
+                left = ~(similarity_bound(bins_a[x], total_a[x], bins_b[y], total_b[y]) < threshold - 1e-4)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[left])), jds.take(pa.array(y[left]))], names=["a", "b"])
+
+    return run
+
+
+def left_over(members: DataFrame, links: DataFrame, roots: DataFrame, bags: DataFrame, weights: Weights, threshold: float) -> DataFrame | None:
+    """Distinct pairs ``u < v``, ``meets`` of members that share a bucket's fate and may be similar enough though they aren't connected.
+
+    A member that its leader doesn't match is open. Open members and all others of
+    their buckets are grouped by the shingles of their prefixes; in groups that hold an
+    open one and several components, blocks of members meet.
     """
-    placed = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    heads = placed.where("rep = leader").select("band", "cell", F.col("root").alias("head"))
-    state = placed.join(heads, ["band", "cell"]).withColumn("open", F.col("root") != F.col("head"))
-    counts = state.groupBy("band", "cell").agg(F.count_if("open").alias("n_open"), F.count_if(~F.col("open")).alias("n_other")).where("n_open > 0")
-    blocks_of = lambda c: F.ceil(F.col(c) / WIDE_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", "band"), F.when(F.col("open"), blocks_of("n_open")).otherwise(blocks_of("n_other"))).cast("int")
-    apart = cut_lineage(state.join(counts, ["band", "cell"]))
-    asked = apart.select("rep").distinct()
-    sums = bin_sums(docs.join(asked, docs[id_col].cast("long") == asked["rep"], "left_semi"), weights, id_col, text_col)
+    linked = links.select(F.col("u").alias("leader"), F.col("v").alias("id"), F.lit(True).alias("linked"))
+    unmatched = cut_lineage(members.where("id <> leader and members > 2").join(linked, ["leader", "id"], "left").where("linked is null").select("band", "cell", "id"))
+    if unmatched.isEmpty():
+        return None
+    opened = unmatched.select("id").distinct().withColumn("open", F.lit(True))
+    around = members.join(unmatched.select("band", "cell").distinct(), ["band", "cell"], "left_semi").select("id").distinct()
+    placed = cut_lineage(
+        around.join(opened, "id", "left")
+        .join(roots.withColumnRenamed("node", "id"), "id", "left")
+        .select("id", F.xxhash64(F.coalesce("root", "id")).alias("root"), F.coalesce("open", F.lit(False)).alias("open"))
+    )
+    kind = members.schema["id"].dataType.simpleString()
+    prefixes = cut_lineage(
+        bags.select("id", *_BAG).join(placed.hint("shuffle_hash"), "id").select("id", "root", "open", *_BAG).mapInArrow(_prefixes(weights, threshold), f"shingle long, id {kind}, root long, open boolean").distinct()
+    )
+    groups = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("open").alias("some")).where("some and lo <> hi").select("shingle", "n")
+    inside = cut_lineage(prefixes.join(groups.hint("merge"), "shingle"))
+    sums = bags.select("id", *_BAG).join(inside.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(_bin_sums(weights), f"id {kind}, total double, bins binary")
+    blocks_of = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = cut_lineage(
-        apart.join(sums, "rep")
-        # blocks of open members come first
-        .withColumn("block", F.when(F.col("open"), own).otherwise(own + blocks_of("n_open")))
-        .groupBy("band", "cell", "block")
-        .agg(F.first(blocks_of("n_open")).alias("opens"), F.first(blocks_of("n_open") + blocks_of("n_other")).alias("all"), F.collect_list(F.struct("rep", "root", "total", "bins")).alias("group"))
+        inside.join(sums, "id")
+        .groupBy("shingle", blocks_of.alias("blocks"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("block"))
+        .agg(F.collect_list(F.struct("id", "root", "open", "total", "bins")).alias("group"))
     )
-    asking = blocks.where("block < opens").select("band", "cell", F.col("group").alias("asked"), F.explode(F.sequence("block", F.col("all") - 1)).alias("block"))
-    return asking.join(blocks.select("band", "cell", "block", "group").hint("shuffle_hash"), ["band", "cell", "block"]).select("asked", "group").mapInArrow(_possible(threshold), "u long, v long").distinct()
+    asking = blocks.select("shingle", F.col("group").alias("asked"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    pairs = asking.join(blocks.select("shingle", "block", "group"), ["shingle", "block"]).select("asked", "group").mapInArrow(_apart(threshold), f"a {kind}, b {kind}")
+    apart = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    return apart.join(apart.groupBy("u").agg(F.count(F.lit(1)).alias("meets")), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -382,50 +464,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order, ``class_id`` the smallest of all that verified links connect; the document
     with that identifier is ``kept``. Texts without words and rows without an
     identifier have no duplicates: they are classes of their own. Repeated rows are
-    copies; rows that share an identifier count as one document. An empty table gives
-    an empty result, other columns are ignored.
+    copies; rows that share an identifier count as one document. Identifiers are whole
+    numbers or strings. An empty table gives an empty result, other columns are ignored.
     """
-    weights = document_frequencies(docs, text_col)
-    signed = cut_lineage(signatures(docs, weights, id_col, text_col))
-    reps = cut_lineage(signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "samples"), "doc_id").alias("s")))
-    cells = reps.select("rep", F.posexplode("s.bands").alias("band", "cell"))
-    shared = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("leader")).where("members > 1")
-    members = cut_lineage(cells.join(shared, ["band", "cell"]).select("band", "cell", "rep", "leader", "members"))
-    star = members.where("rep <> leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct()
-    links = cut_lineage(verified(star, docs, weights, threshold, id_col, text_col))
-
-    # members that their leader doesn't match look for others in the bucket
-    linked = links.select(F.col("u").alias("leader"), F.col("v").alias("rep"), F.lit(True).alias("linked"))
-    state = members.join(linked, ["leader", "rep"], "left").withColumn("open", (F.col("rep") != F.col("leader")) & F.col("linked").isNull())
-    unsettled = state.where("open and members > 2").select("band", "cell").distinct()
-    blocks = (
-        state.join(unsettled, ["band", "cell"])
-        .join(reps.select("rep", F.col("s.samples").alias("samples")), "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("members") / BLOCK_MEMBERS)))
-        .groupBy("band", "cell", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("rep", "open", "samples"))).alias("group"))
-        .select("group")
-    )
-    second = cut_lineage(blocks.mapInArrow(_closest, "u long, v long").distinct().join(star, ["u", "v"], "left_anti"))
-    found = cut_lineage(links.select("u", "v").unionByName(verified(second, docs, weights, threshold, id_col, text_col).select("u", "v")))
-
-    # pairs of a bucket that are still apart
-    roots = components(found)
-    third = cut_lineage(left_over(members, docs, weights, roots, threshold, id_col, text_col).join(star, ["u", "v"], "left_anti").join(second, ["u", "v"], "left_anti"))
-    if not third.isEmpty():
-        roots = components(found.unionByName(verified(third, docs, weights, threshold, id_col, text_col).select("u", "v")))
-    copies = signed.select("doc_id", "key_a", "key_b").join(reps.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select("doc_id", "rep")
+    spark = docs.sparkSession
+    stored, weights = weighted_bags(docs, id_col, text_col)
+    bags = spark.table(stored)
+    signed = bags.select("id", "key_a", "key_b", "bands")
+    reps = cut_lineage(signed.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
+    cells = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "cell"))
+    shared = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader")).where("members > 1")
+    members = cut_lineage(cells.join(shared.hint("merge"), ["band", "cell"]).select("band", "cell", "id", "leader", "members"))
+    star = members.where("id <> leader").groupBy(F.col("leader").alias("u"), F.col("id").alias("v")).agg(F.max("members").alias("meets"))
+    star = cut_lineage(star)
+    links = cut_lineage(verified(star, bags, weights, threshold).select("u", "v"))
+    roots = components(links)
+    apart = left_over(members, links, roots, bags, weights, threshold)
+    if apart is not None:
+        more = verified(apart.join(star, ["u", "v"], "left_anti"), bags, weights, threshold).select("u", "v")
+        roots = components(links.unionByName(more))
+    copies = signed.select(F.col("id").alias("doc_id"), "key_a", "key_b").join(reps.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select("doc_id", "rep")
     # rows that share an identifier take the smallest class
     classed = copies.join(roots, copies["rep"] == roots["node"], "left").groupBy("doc_id").agg(F.min("rep").alias("copy_of"), F.min(F.coalesce("root", "rep")).alias("class_id"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(classed, "doc_id", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    rows = docs.select(F.col(id_col).alias("doc_id")).join(classed, "doc_id", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
     # both sides are written first, so that the join can split the rows of a large class
     rows = cut_lineage(rows)
+    drop_table(spark, stored)
     sizes = cut_lineage(rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_id is not null"))
     return rows.join(sizes, "class_id", "left").select("doc_id", "copy_of", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns.
+
+    Rows without an identifier and texts without words stay; of rows that share the
+    identifier that stays, all stay. An empty table stays empty.
+    """
     found = near_duplicates(docs, id_col, text_col, threshold)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == F.col("_dropped"), "left_anti")
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
