@@ -119,8 +119,9 @@ def test_html_query(spark):
 
 
 def test_minhash(spark, docs, rows, nothing):
-    stored, weights = minhash.weighted_bags(docs)
-    bags = {r.id: (r.bag, r.counts, r.frequency) for r in spark.table(stored).collect()}
+    signed, stored, weights = minhash.weighted_bags(docs)
+    picked = minhash.picked_bags(signed.select("id").distinct(), signed, stored)
+    bags = {r.id: (r.bag, r.counts, r.frequency) for r in spark.table(picked).collect()}
     found = {r.doc_id: r for r in minhash.near_duplicates(docs).collect() if r.doc_id is not None}
     # frequencies, by sets of shingles
     bag = lambda t: Counter(zip(*[(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))[k:] for k in range(5)], strict=False)) or Counter([tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))] if (t or "").strip() else [])
@@ -172,6 +173,13 @@ def test_minhash_one_family(spark):
     assert {i: c for i, c in found.items() if c != i} == {i: of for of, i in pairs}
 
 
+def test_bags_pack():
+    draw = np.random.default_rng(4)
+    for n in [*range(1, 200), 5000]:
+        own = np.unique(draw.integers(0, 1 << 48, n, dtype=np.uint64))
+        assert (minhash.unpack_bag(minhash.pack_bag(own)) == own).all()
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 10), (4, 5), (20, 5), (30, 31), (31, 10)]
     found = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -446,8 +454,8 @@ def test_minhash_in_one_large_bucket(spark, monkeypatch):
     made = minhash.weighted_bags
 
     def one_bucket(*given):
-        name, weights = made(*given)
-        return minhash.bucketed_table(spark.table(name).withColumn("bands", F.array(F.lit(0).cast("long"))), "id", 3), weights
+        signed, *rest = made(*given)
+        return signed.withColumn("bands", F.array(F.lit(0).cast("long"))), *rest
 
     monkeypatch.setattr(minhash, "weighted_bags", one_bucket)
     whole = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}

@@ -5,10 +5,11 @@ sampling draws samples whose chance to agree is the weighted Jaccard similarity;
 are grouped into bands, texts that share a band become candidates, and candidates are
 verified by the weighted Jaccard similarity of their whole bags.
 
-Texts are shingled once. Chunks of bags, dealt out by the identifier, send their distinct
-shingles to ranges of shingles, which add up document frequencies and send them back, so
-every shingle has its true frequency and no table of them is broadcast. Weighted bags are
-kept in a table bucketed by the identifier; joins with it move the candidates, not the bags.
+Texts are shingled once, into a table of bags that is bucketed by chunk: the texts that one
+task read one after another. Chunks send their distinct shingles to ranges of shingles,
+which add up document frequencies and send them back, so every shingle has its true
+frequency, no table of them is broadcast, and the bags themselves don't move. Only bags of
+candidates do; they get a table bucketed by the identifier, which all later joins use.
 
 No group is expanded into its pairs. Texts with the same words are one class and enter
 once, through the smallest identifier. In each band bucket every member is verified
@@ -21,10 +22,12 @@ components.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +37,11 @@ from voxelmill.session import bucketed_table, cut_lineage, drop_table, shuffle_p
 WIDTH, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with a chance of 1 - (1 - 0.8^3)^9 = 0.998.
 BANDS, ROWS = 9, 3
-#: Text in a chunk of bags, and the least when there are fewer chunks than shuffle partitions.
-CHUNK_BYTES, LEAST_CHUNK_BYTES = 8 << 20, 1 << 18
-#: Buckets of the table of bags at most; beyond that a bucket takes several chunks.
+#: Shingles after which a chunk of bags is full.
+CHUNK_SHINGLES = 1 << 20
+#: Text for each range of shingles, and the least when there are fewer ranges than shuffle partitions.
+RANGE_BYTES, LEAST_RANGE_BYTES = 8 << 20, 1 << 18
+#: Buckets of tables at most.
 MOST_BUCKETS = 10_000
 #: Pairs that share one copy of their smaller member's bag.
 PAIRS_PER_COPY = 1024
@@ -76,12 +81,6 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(lo, PIECE_ROWS)
 
 
-def _binaries(raw: np.ndarray, begins: np.ndarray) -> pa.Array:
-    """The rows of ``raw`` from each begin to the next as one binary."""
-    ends = pa.py_buffer((begins * raw.shape[1]).astype(np.int32))
-    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, ends, pa.py_buffer(np.ascontiguousarray(raw))])
-
-
 def _pack(values: np.ndarray, width: int = _SHINGLE_BYTES) -> np.ndarray:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
 
@@ -93,31 +92,53 @@ def _unpack(content: bytes, width: int = _SHINGLE_BYTES) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def pack_bag(shingles: np.ndarray) -> bytes:
+    """Sorted 48-bit numbers: the lower 40 bits of each as they are, the upper 8 as steps; few numbers as they are."""
+    if len(shingles) < 64:
+        return b"\0" + _pack(shingles).tobytes()
+    steps = np.zeros(len(shingles) + 256, dtype=bool)
+    steps[(shingles >> np.uint64(40)).astype(np.int64) + np.arange(len(shingles))] = True
+    return b"\1" + _pack(shingles, 5).tobytes() + np.packbits(steps).tobytes()
+
+
+def unpack_bag(content: bytes) -> np.ndarray:
+    if not content[0]:
+        return _unpack(content[1:])
+    n = (len(content) - 33) * 8 // 41  # 5 bytes and a bit each, and 256 bits
+    out = _unpack(content[1 : 1 + 5 * n], 5)
+    steps = np.flatnonzero(np.unpackbits(np.frombuffer(content, dtype=np.uint8, offset=1 + 5 * n)))
+    return out | ((steps - np.arange(n)).astype(np.uint64) << np.uint64(40))
+
+
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``id, key_a, key_b, bag, counts`` of texts that have a word; counts are null where every shingle occurs once."""
+    """``id, chunk, key_a, key_b, bag, counts`` of texts that have a word; counts are null where every shingle occurs once."""
+    chunk, held = TaskContext.get().partitionId() << 24, 0
     for batch in _pieces(batches):
         texts = words.as_bytes(batch.column(1))
         for lo, hi in words.portions(texts, PORTION_BYTES):
             shingles, counts, begins, keys = _bags(texts[lo:hi])
             some = np.flatnonzero(np.diff(begins))
             often = [counts[begins[k] : begins[k + 1]] for k in some]
+            if held > CHUNK_SHINGLES:
+                chunk, held = chunk + 1, 0
+            held += len(shingles)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(lo, hi - lo).take(pa.array(some)),
+                    pa.array(np.full(len(some), chunk)),
                     pa.array(keys[some, 0]),
                     pa.array(keys[some, 1]),
-                    _binaries(_pack(shingles), begins).take(pa.array(some)),
+                    pa.array([pack_bag(shingles[begins[k] : begins[k + 1]]) for k in some], type=pa.binary()),
                     pa.array([c.astype("<u4").tobytes() if c.max() > 1 else None for c in often], type=pa.binary()),
                 ],
-                names=["id", "key_a", "key_b", "bag", "counts"],
+                names=["id", "chunk", "key_a", "key_b", "bag", "counts"],
             )
 
 
 def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of all bags, one bag after another, and where each bag begins."""
-    bags = table.column("bag").to_pylist()
-    begins = np.concatenate(([0], np.cumsum(np.fromiter(map(len, bags), dtype=np.int64, count=len(bags)) // _SHINGLE_BYTES)))
-    return _unpack(b"".join(bags)), begins
+    bags = [unpack_bag(x) for x in table.column("bag").to_pylist()]
+    return np.concatenate(bags), np.concatenate(([0], np.cumsum([len(x) for x in bags])))
 
 
 def _counts(column, begins: np.ndarray) -> np.ndarray:
@@ -213,7 +234,7 @@ class Sampler:
 
 
 def _sign(weights: Weights, fields: pa.Schema):
-    """Bags of a chunk with the frequencies of their shingles and the bands of their samples."""
+    """For each bag of a chunk the frequencies of its shingles and the bands of its samples."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -242,55 +263,63 @@ def _sign(weights: Weights, fields: pa.Schema):
         # of repeated rows one is enough, and rows without an identifier were only counted
         ids, keys = left.column("id").to_pylist(), left.column("key_a").to_pylist()
         one = {(i, k): at for at, (i, k) in enumerate(zip(ids, keys, strict=True)) if i is not None}
-        made = pa.table(
-            [
-                left.column("id"),
-                left.column("key_a"),
-                left.column("key_b"),
-                pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.reshape(-1).view(np.int64)),
-                left.column("bag"),
-                left.column("counts"),
-                _binaries(frequency.astype("<u4").view(np.uint8).reshape(-1, 4), begins),
-            ],
-            schema=fields,
-        )
+        own = [_narrow(frequency[x:y]) for x, y in itertools.pairwise(begins.tolist())]
+        lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.reshape(-1).view(np.int64))
+        made = pa.table([*(left.column(c) for c in ("id", "chunk", "key_a", "key_b")), lists, pa.array(own, pa.binary())], schema=fields)
         return made.take(pa.array(list(one.values()), pa.int64()))
 
     return run
 
 
-def weighted_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, Weights]:
-    """Name of a table ``id, key_a, key_b, bands, bag, counts, frequency`` of every text that has a word and an identifier, and the weights.
+_KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+
 
-    ``bag`` are the distinct shingles in order, ``counts`` how often each occurs (null: once),
-    ``frequency`` in how many documents; all rows count as documents. The table is
-    bucketed by ``id``; drop it with ``session.drop_table``.
+def weighted_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, Weights]:
+    """``id, chunk, key_a, key_b, bands, frequency`` of every text that has a word and an identifier; the name of the table of bags; the weights.
+
+    The table has ``id, chunk, key_a, key_b, bag, counts``: the distinct shingles in order and
+    how often each occurs (null: once); ``frequency`` says in how many documents. All rows
+    count as documents. Drop the table with ``session.drop_table``.
     """
     spark = docs.sparkSession
-    partitions = shuffle_partitions(spark)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total, size = source.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    size = size or 0
-    buckets = min(MOST_BUCKETS, max(1, -(-size // CHUNK_BYTES), min(partitions, -(-size // LEAST_CHUNK_BYTES))))
-    per_bucket = max(1, -(-size // (CHUNK_BYTES * buckets)))
     kind = source.schema["id"].dataType.simpleString()
-    # the bucket is the one that Spark deals the identifier to
-    bucket = F.pmod(F.when(F.col("id").isNotNull(), F.hash("id")).otherwise(F.hash("key_a")), F.lit(buckets))
-    chunk = bucket.cast("long") * per_bucket + F.pmod(F.xxhash64("key_a"), F.lit(per_bucket))
-    bags = source.mapInArrow(_bag_rows, f"id {kind}, key_a long, key_b long, bag binary, counts binary").withColumn("chunk", chunk)
-    asked = bags.groupBy("chunk").applyInArrow(_ask(buckets * per_bucket), "bucket int, chunk long, n int, first long, gaps binary, texts binary")
+    if kind not in _KINDS:
+        raise ValueError(f"{id_col!r} is {kind}; identifiers are whole numbers or strings")
+    total, size = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ranges = max(1, -(-size // RANGE_BYTES), min(shuffle_partitions(spark), -(-size // LEAST_RANGE_BYTES)))
+    rows = source.mapInArrow(_bag_rows, f"id {kind}, chunk long, key_a long, key_b long, bag binary, counts binary")
+    stored = bucketed_table(rows, "chunk", min(MOST_BUCKETS, ranges))
+    bags, weights = spark.table(stored).groupBy("chunk"), Weights(total)
+    asked = bags.applyInArrow(_ask(ranges), "bucket int, chunk long, n int, first long, gaps binary, texts binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, n int, frequency binary")
-    weights = Weights(total)
-    out = f"id {kind}, key_a long, key_b long, bands array<long>, bag binary, counts binary, frequency binary"
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    fields = pa.schema([("id", id_type), ("key_a", pa.int64()), ("key_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("bag", pa.binary()), ("counts", pa.binary()), ("frequency", pa.binary())])
-    signed = bags.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(_sign(weights, fields), out)
-    return bucketed_table(signed, "id", buckets), weights
+    fields = pa.schema([("id", _KINDS[kind]), ("chunk", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("frequency", pa.binary())])
+    signed = bags.cogroup(answered.groupBy("chunk")).applyInArrow(_sign(weights, fields), f"id {kind}, chunk long, key_a long, key_b long, bands array<long>, frequency binary")
+    return cut_lineage(signed), stored, weights
+
+
+def _pick(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of a chunk the bags that are wanted, with the frequencies of their shingles."""
+    wanted = dict(zip(zip(right.column("id").to_pylist(), right.column("key_a").to_pylist(), strict=True), right.column("frequency").to_pylist(), strict=True))
+    place = {key: at for at, key in enumerate(zip(left.column("id").to_pylist(), left.column("key_a").to_pylist(), strict=True)) if key in wanted}
+    made = left.select(["id", "bag", "counts"]).take(pa.array(list(place.values()), pa.int64()))
+    return made.append_column("frequency", pa.array([wanted[key] for key in place], pa.binary()))
+
+
+def picked_bags(ids: DataFrame, signed: DataFrame, stored: str) -> str:
+    """Name of a table ``id, bag, counts, frequency`` of the distinct ``ids``, bucketed by ``id``."""
+    bags = ids.sparkSession.table(stored)
+    wanted = signed.select("id", "chunk", "key_a", "frequency").join(ids.hint("shuffle_hash"), "id")
+    kind = ids.schema["id"].dataType.simpleString()
+    picked = bags.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(_pick, f"id {kind}, bag binary, counts binary, frequency binary")
+    buckets = min(MOST_BUCKETS, shuffle_partitions(ids.sparkSession))
+    return bucketed_table(picked.repartition(buckets, "id"), "id", buckets)
 
 
 def _decoded(bag: bytes, counts: bytes | None, frequency: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    df = np.frombuffer(frequency, dtype="<u4")
-    return _unpack(bag), weights(1 if counts is None else np.frombuffer(counts, dtype="<u4"), df), df
+    shingles = unpack_bag(bag)
+    df = _widen(frequency, len(shingles)).astype(np.int64)
+    return shingles, weights(1 if counts is None else np.frombuffer(counts, dtype="<u4"), df), df
 
 
 def weighted_jaccard(a: tuple[bytes, bytes | None, bytes], b: tuple[bytes, bytes | None, bytes], weights: Weights) -> float:
@@ -468,15 +497,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     numbers or strings. An empty table gives an empty result, other columns are ignored.
     """
     spark = docs.sparkSession
-    stored, weights = weighted_bags(docs, id_col, text_col)
-    bags = spark.table(stored)
-    signed = bags.select("id", "key_a", "key_b", "bands")
+    signed, stored, weights = weighted_bags(docs, id_col, text_col)
     reps = cut_lineage(signed.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     cells = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "cell"))
     shared = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader")).where("members > 1")
     members = cut_lineage(cells.join(shared.hint("merge"), ["band", "cell"]).select("band", "cell", "id", "leader", "members"))
     star = members.where("id <> leader").groupBy(F.col("leader").alias("u"), F.col("id").alias("v")).agg(F.max("members").alias("meets"))
     star = cut_lineage(star)
+    candidates = picked_bags(members.select("id").distinct(), signed, stored)
+    drop_table(spark, stored)
+    bags = spark.table(candidates)
     links = cut_lineage(verified(star, bags, weights, threshold).select("u", "v"))
     roots = components(links)
     apart = left_over(members, links, roots, bags, weights, threshold)
@@ -489,7 +519,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id")).join(classed, "doc_id", "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of"), F.coalesce("class_id", "doc_id").alias("class_id"))
     # both sides are written first, so that the join can split the rows of a large class
     rows = cut_lineage(rows)
-    drop_table(spark, stored)
+    drop_table(spark, candidates)
     sizes = cut_lineage(rows.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).where("class_id is not null"))
     return rows.join(sizes, "class_id", "left").select("doc_id", "copy_of", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
