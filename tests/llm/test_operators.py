@@ -348,15 +348,32 @@ def test_decontamination(spark, rows, nothing, monkeypatch):
     assert clean[500] == "before ; after" and clean[0] is None and clean[501] == "zz"
     dropped = {r.doc_id for r in decontam.decontaminate(table(spark, [(1, "short item"), (2, "a short item of a long text")]), benchmark).collect()}
     assert dropped == {2} and draw
+    named = spark.createDataFrame([(f"q{i}" if i else None, t) for i, t in items], "item_id string, text string")
+    odd = table(spark, docs).withColumns({"found": F.lit(1), "_found": F.lit("x"), "contamination": F.lit(2)})
+    by_name = decontam.mark_contamination(odd, named, into="marks").collect()
+    assert [[x[1:] for x in r.marks["items"]] for r in by_name] == [sorted(map(str, brute(r.text)[2])) for r in by_name]
+    assert decontam.decontaminate(odd, named).columns == odd.columns and {r.doc_id: r.text for r in decontam.decontaminate(odd, named, max_coverage=1.0).collect()} == clean
     assert decontam.decontaminate(nothing, benchmark).count() == 0 and decontam.decontaminate(table(spark, docs), benchmark.limit(0)).count() == len(docs)
 
 
+def test_equal_hashes_are_not_equal_words():
+    real = words.hash_words
+    matcher = decontam.Matcher([(1, b"one two three")])
+    for text, expected in ((b"one two three", {1}), (b"one two tree", set())):
+        hashes, starts, ends, first = real([text])
+        hit, items = np.zeros(3, dtype=bool), [set()]
+        hashes = real([b"one two three"])[0]  # as if the words of both had these hashes
+        matcher.mark([text], hashes, starts, ends, first, hit, items)
+        assert items == [expected] and hit.all() == bool(expected)
+
+
 def test_bpe(spark, docs, rows, nothing):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     told = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     draw = random.Random(4)
     letters = " \t\n\r\x0b\x1c\x85\xa0　'sdtlmveABC123½²é漢字한글🙂<|endoftext|>$%"
     texts = [t or "" for _, t in rows] + ["".join(draw.choice(letters) for _ in range(draw.randint(0, 80))) for _ in range(3000)] + ["a" * 3000, " " * 2000, "#" * 5000]
+    texts += ["".join(draw.choice(["the", "est", "q", "ing", "zx"]) for _ in range(90_000)), "".join(map(chr, draw.choices(range(0x4E00, 0x9000), k=60_000)))]
     encoder = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert ids.tolist() == told.encode_ordinary(text) and encoder.decode(ids) == text.encode()

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,10 @@ from voxelmill.llm import words
 
 #: Distinct pre-tokens that a worker remembers; then it starts afresh.
 REMEMBERED = 100_000
+#: Characters of texts that a worker encodes at once, one text at least.
+PORTION_CHARS = 1 << 18
+#: A longer pre-token takes its rounds in a list of neighbours with a heap of pairs, since a matrix copies the whole row each round.
+LONG_BYTES = 2048
 #: Rank files are broadcast; a larger one is refused.
 MOST_RANK_BYTES = 64 << 20
 
@@ -80,6 +86,7 @@ class Vocabulary:
     def __init__(self, content: bytes, pattern: str) -> None:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
         self.pairs = PairTable(self.ranks)
+        self.merged: dict[int, int] | None = None
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -120,6 +127,31 @@ class Vocabulary:
                 ranks[fits, side[fits]] = self.pairs(ids[fits, side[fits]], ids[fits, side[fits] + 1])
         return done
 
+    def _merge_long(self, row: bytes) -> np.ndarray:
+        """As ``_merge``, the leftmost pair of minimum rank first, in n log n steps."""
+        if self.merged is None:
+            held = np.flatnonzero(self.pairs.keys != -1)
+            self.merged = dict(zip(self.pairs.keys[held].tolist(), self.pairs.values[held].tolist(), strict=True))
+        rank = self.merged.get
+        ids = self.first[np.frombuffer(row, dtype=np.uint8)].tolist()
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k, (x, y) in enumerate(itertools.pairwise(ids)) if (r := rank(x << 32 | y)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, at = heapq.heappop(heap)
+            to = after[at]
+            if ids[at] < 0 or to >= n or rank(ids[at] << 32 | ids[to]) != r:
+                continue  # one side has been merged since
+            ids[at], ids[to] = r, -1
+            after[at] = far = after[to]
+            if far < n:
+                before[far] = at
+            for left, right in ((before[at], at), (at, far)):
+                if left >= 0 and right < n and (r := rank(ids[left] << 32 | ids[right])) is not None:
+                    heapq.heappush(heap, (r, left))
+        return np.array([x for x in ids if x >= 0], dtype=np.int32)
+
     def encode(self, pre_tokens: list[bytes]) -> list[np.ndarray]:
         out: list = [None] * len(pre_tokens)
         buckets: dict[int, list[int]] = {}
@@ -127,6 +159,8 @@ class Vocabulary:
             rank = self.ranks.get(token)
             if rank is not None:
                 out[k] = np.array([rank], dtype=np.int32)
+            elif len(token) > LONG_BYTES:
+                out[k] = self._merge_long(token)
             else:
                 buckets.setdefault((len(token) - 1).bit_length(), []).append(k)
         for bits, members in buckets.items():
@@ -197,10 +231,9 @@ def _encoder(content, pattern: str) -> Encoder:
 
 def _run(batches: Iterator[pa.RecordBatch], column: int, content, pattern: str, ids_wanted: bool) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(content, pattern)
-    for batch in batches:
+    for batch in words.pieces(batches):
         texts = [t or "" for t in batch.column(column).to_pylist()]
-        sizes = [b"\0" * 0 if not t else t for t in texts]
-        for lo, hi in words.portions(sizes):
+        for lo, hi in words.portions(texts, PORTION_CHARS):
             encoded = encoder.encode(texts[lo:hi])
             columns = [batch.column(k).slice(lo, hi - lo) for k in range(batch.num_columns)]
             digests = [[len(ids) for ids in encoded], [hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest() for ids in encoded], [hashlib.sha256(encoder.decode(ids)).hexdigest() for ids in encoded]]

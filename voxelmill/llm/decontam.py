@@ -114,8 +114,10 @@ class Matcher:
     """An automaton behind the hashed vocabulary of its items."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int = WINDOW_WORDS) -> None:
-        hashes, _, _, first = words.hash_words([text for _, text in items])
-        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
+        hashes, starts, ends, first = words.hash_words([text for _, text in items])
+        self.vocabulary, one, ids = np.unique(hashes, return_index=True, return_inverse=True)
+        owner = np.searchsorted(first, one, side="right") - 1
+        self.words = [words.fold(items[o][1][a:b]) for o, a, b in zip(owner.tolist(), starts[one].tolist(), ends[one].tolist(), strict=True)]
         ids = ids.tolist()
         self.automaton = SuffixAutomaton(((item, ids[first[k] : first[k + 1]]) for k, (item, _) in enumerate(items)), window)
         self.seen = np.zeros(1 << 20, dtype=bool)
@@ -130,8 +132,11 @@ class Matcher:
         out[maybe[known]] = at[known]
         return out
 
-    def mark(self, hashes: np.ndarray, first: np.ndarray, hit: np.ndarray, items: list[set]) -> None:
-        """Set ``hit`` for marked words and add each document's items. Words outside the vocabulary end every match."""
+    def mark(self, texts: list[bytes], hashes: np.ndarray, begin: np.ndarray, end_: np.ndarray, first: np.ndarray, hit: np.ndarray, items: list[set]) -> None:
+        """Set ``hit`` for marked words and add each document's items. Words outside the vocabulary end every match.
+
+        Words meet by their hashes; a window counts if its words are also the same bytes.
+        """
         if not len(self.vocabulary):
             return
         ids = self.ids(hashes)
@@ -146,9 +151,13 @@ class Matcher:
         starts, ends = starts[keep], ends[keep]
         docs = np.searchsorted(first, starts, side="right") - 1
         for start, end, doc in zip(starts.tolist(), ends.tolist(), docs.tolist(), strict=True):
+            sure = start  # words before this one are the same bytes
             for lo, hi, found in self.automaton.scan(ids[start:end].tolist()):
-                hit[start + lo : start + hi] = True
-                items[doc] |= found
+                a, b = start + lo, start + hi
+                if all(self.words[ids[w]] == words.fold(texts[doc][begin[w] : end_[w]]) for w in range(max(a, sure), b)):
+                    hit[a:b] = True
+                    items[doc] |= found
+                    sure = b if a <= sure else sure
 
 
 def _spans(hit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
@@ -158,12 +167,13 @@ def _spans(hit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
 
 
 _SPAN = pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_FOUND = "struct<n_words:bigint,spans:array<struct<first_word:bigint,words:bigint,start:bigint,end:bigint>>,items:array<bigint>>"
+_FOUND = "struct<n_words:bigint,spans:array<struct<first_word:bigint,words:bigint,start:bigint,end:bigint>>,items:array<{}>>"
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch], column: int, matchers: list) -> Iterator[pa.RecordBatch]:
+    """``batches`` with the structs of their last column, marks so far or null, brought up to date."""
     own = [m.value for m in matchers]
-    for batch in batches:
+    for batch in words.pieces(batches):
         texts = words.as_bytes(batch.column(column))
         carried = batch.column(batch.num_columns - 1).to_pylist()
         found = []
@@ -178,16 +188,29 @@ def _scan_batches(batches: Iterator[pa.RecordBatch], column: int, matchers: list
                         a = first[k - lo] + span["first_word"]
                         hit[a : a + span["words"]] = True
             for matcher in own:
-                matcher.mark(hashes, first, hit, items)
+                matcher.mark(texts[lo:hi], hashes, starts, ends, first, hit, items)
             busy = np.add.reduceat(np.concatenate((hit, [False])), first[:-1]) * (np.diff(first) > 0) if hi > lo else ()
             for k in range(hi - lo):
                 a, b = first[k], first[k + 1]
                 found.append({"n_words": int(b - a), "spans": _spans(hit[a:b], starts[a:b], ends[a:b]) if busy[k] else [], "items": sorted(x for x in items[k] if x is not None)})
-        kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.int64()))])
-        columns = [batch.column(k) for k in range(batch.num_columns - 1)] + [pa.array(found, type=kind)]
+        columns = [batch.column(k) for k in range(batch.num_columns - 1)] + [pa.array(found, type=batch.schema.types[-1])]
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
+def _matchers(benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> Iterator[list]:
+    """Broadcast automata of the benchmark's blocks, as many at a time as one pass holds."""
+    texts = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(bytes_) // (BLOCK_WORDS * 6)))
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    for begin in range(0, blocks, BLOCKS_PER_PASS):
+        matchers = []
+        for block in range(begin, min(blocks, begin + BLOCKS_PER_PASS)):
+            rows = dealt.where(F.col("block") == block).select("item", "text").collect()
+            matchers.append(benchmark.sparkSession.sparkContext.broadcast(Matcher([(r["item"], r["text"].encode()) for r in rows], window)))
+        yield matchers
+
+
 def mark_contamination(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, into: str = "contamination"
 ) -> DataFrame:
@@ -196,27 +219,19 @@ def mark_contamination(
     A span has the index of its first word, its number of words, and its first and
     last byte + 1 in the UTF-8 text. Null texts have no words; an item without words
     matches nothing; a null item_id marks words but is not listed; repeated items are
-    one; all columns of ``docs`` stay. Words are compared by 64-bit hashes. A column
-    called ``into`` must not exist yet. An empty benchmark marks nothing.
+    one; all columns of ``docs`` stay. Items keep the type of their identifiers, which
+    are whole numbers or strings. A column called ``into`` must not exist yet. An empty
+    benchmark marks nothing.
     """
     if into in docs.columns:
         raise ValueError(f"column {into!r} exists already; name another with into=")
-    spark = docs.sparkSession
-    texts = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(bytes_) // (BLOCK_WORDS * 6)))
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    out = docs.withColumn(into, F.lit(None).cast(_FOUND))
+    out = docs.withColumn(into, F.lit(None).cast(_FOUND.format(benchmark.schema[item_col].dataType.simpleString())))
     schema = out.schema
     column = docs.columns.index(text_col)
-    for begin in range(0, blocks, BLOCKS_PER_PASS):
-        matchers = []
-        for block in range(begin, min(blocks, begin + BLOCKS_PER_PASS)):
-            rows = dealt.where(F.col("block") == block).select("item", "text").collect()
-            matchers.append(spark.sparkContext.broadcast(Matcher([(r["item"], r["text"].encode()) for r in rows], window)))
-        out = out.mapInArrow(lambda batches, m=matchers: _scan_batches(batches, column, m), schema)
-        if begin + BLOCKS_PER_PASS < blocks:
-            out = cut_lineage(out)
+    before = None
+    for matchers in _matchers(benchmark, item_col, item_text_col, window):
+        out = out if before is None else cut_lineage(out)
+        out = before = out.mapInArrow(lambda batches, m=matchers: _scan_batches(batches, column, m), schema)
     return out
 
 
@@ -224,10 +239,14 @@ def hit_words(found: Column) -> Column:
     return F.aggregate(found["spans"], F.lit(0).cast("long"), lambda total, s: total + s["words"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], column: int, least: int, most: float) -> Iterator[pa.RecordBatch]:
+    """Texts without their spans, and without the marks; rows with too many marked words go."""
     for batch in batches:
-        texts, kept = batch.column(column).to_pylist(), []
-        for text, spans in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+        texts, kept, rows = batch.column(column).to_pylist(), [], []
+        for row, (text, found) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+            if sum(span["words"] for span in found["spans"]) > most * found["n_words"]:
+                continue
+            spans = [span for span in found["spans"] if span["words"] >= least]
             if spans:
                 raw, at, pieces = text.encode(), 0, []
                 for span in spans:
@@ -235,22 +254,28 @@ def _cut(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBa
                     at = span["end"]
                 text = (b"".join(pieces) + raw[at:]).decode()
             kept.append(text)
-        columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+            rows.append(row)
+        columns = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(batch.num_columns - 1)]
         columns[column] = pa.array(kept, type=columns[column].type)
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_span_words: int = 1, max_coverage: float = 0.5, **marking) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_span_words: int = 1, max_coverage: float = 0.5, item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
     """Cut marked spans of at least ``min_span_words`` words; drop documents of which more than ``max_coverage`` is marked.
 
     Text outside the spans stays as it is, byte for byte. Columns and documents
-    without marks stay unchanged; a text that is null stays null.
+    without marks stay unchanged, whatever the columns are called; a text that is null
+    stays null; repeated rows are treated alike; an empty table stays empty.
     """
-    found = mark_contamination(docs, benchmark, text_col, into="_found", **marking)
-    coverage = F.when(F.col("_found.n_words") > 0, hit_words(F.col("_found")) / F.col("_found.n_words")).otherwise(0.0)
-    kept = found.where(coverage <= max_coverage).withColumn("_found", F.filter(F.col("_found.spans"), lambda s: s["words"] >= min_span_words))
-    column = docs.columns.index(text_col)
-    return kept.mapInArrow(lambda batches: _cut(batches, column), docs.schema)
+    # columns go by their places, so that no name can clash with the marks
+    marks = _FOUND.format(benchmark.schema[item_col].dataType.simpleString())
+    out = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]).withColumn("found", F.lit(None).cast(marks))
+    schema, column = out.schema, docs.columns.index(text_col)
+    *first, last = _matchers(benchmark, item_col, item_text_col, window)
+    for matchers in first:
+        out = cut_lineage(out.mapInArrow(lambda batches, m=matchers: _scan_batches(batches, column, m), schema))
+    # the last automata and the cut are one pass
+    return out.mapInArrow(lambda batches: _cut(_scan_batches(batches, column, last), column, min_span_words, max_coverage), docs.schema)
 
 
 OP8_SQL = r"""

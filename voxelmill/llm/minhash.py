@@ -47,8 +47,8 @@ MOST_BUCKETS = 10_000
 PAIRS_PER_COPY = 1024
 #: Members of a prefix group that meet at once, and sums of weights that bound a pair's similarity there.
 BLOCK, BINS = 128, 128
-#: Texts that a worker turns into Python objects at once, bytes of them that it shingles at once, and shingles that it samples at once.
-PIECE_ROWS, PORTION_BYTES, PORTION_SHINGLES = 256, 1 << 18, 1 << 16
+#: Bytes of texts that a worker shingles at once, and shingles that it samples at once.
+PORTION_BYTES, PORTION_SHINGLES = 1 << 18, 1 << 16
 #: Rounding of sums of weights.
 SLACK = 1e-6
 
@@ -74,13 +74,6 @@ def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return packed[at] & _MASK, counts, begins, keys.view(np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, PIECE_ROWS):
-            yield batch.slice(lo, PIECE_ROWS)
-
-
 def _pack(values: np.ndarray, width: int = _SHINGLE_BYTES) -> np.ndarray:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
 
@@ -113,7 +106,7 @@ def unpack_bag(content: bytes) -> np.ndarray:
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``id, chunk, key_a, key_b, bag, counts`` of texts that have a word; counts are null where every shingle occurs once."""
     chunk, held = TaskContext.get().partitionId() << 24, 0
-    for batch in _pieces(batches):
+    for batch in words.pieces(batches):
         texts = words.as_bytes(batch.column(1))
         for lo, hi in words.portions(texts, PORTION_BYTES):
             shingles, counts, begins, keys = _bags(texts[lo:hi])
@@ -350,7 +343,7 @@ def verified(edges: DataFrame, bags: DataFrame, weights: Weights, threshold: flo
     both = right.join(one.hint("merge"), "v").select("u", "v", *[f"{c}_{side}" for side in ("u", "v") for c in _BAG])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in words.pieces(batches):
             rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
             values = [weighted_jaccard(r[:3], r[3:], weights) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, type=pa.float64())], names=["u", "v", "similarity"])
@@ -363,7 +356,7 @@ def _prefixes(weights: Weights, threshold: float):
     """Of each bag the shingles that a similar one must share: the rarest, up to more than ``1 - threshold`` of the weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in words.pieces(batches):
             found = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(3, 6)), strict=True):
                 shingles, value, df = _decoded(*row, weights)
@@ -380,7 +373,7 @@ def _bin_sums(weights: Weights):
     """Of each bag the sum of its weights, and sums in bins of shingles, as 16-bit floats, never too small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
+        for batch in words.pieces(batches):
             totals, bins = [], []
             for row in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
                 shingles, value, _ = _decoded(*row, weights)

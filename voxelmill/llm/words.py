@@ -111,6 +111,18 @@ def portions(texts: list[bytes], most: int = PIECE_BYTES) -> Iterator[tuple[int,
         yield lo, len(texts)
 
 
+def fold(text: bytes) -> bytes:
+    """A-Z lowered, separators as null bytes."""
+    return text.translate(_FOLD_BYTES)
+
+
+def pieces(batches: Iterator, rows: int = 256) -> Iterator:
+    """The rows of Arrow batches in small batches, so that few of them are Python objects at once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is the empty text."""
     import pyarrow as pa
