@@ -81,6 +81,29 @@ def test_sharding(spark, docs, rows, nothing):
     assert max(spread) - min(spread) <= 300
 
 
+def test_shards_keep_equal_texts(spark):
+    draw = random.Random(8)
+    texts = [f"text {k} " * draw.randint(1, 30) for k in range(400)]
+    rows = [(i, draw.choice(texts)) for i in range(3000)] + [(None, texts[0])] * 40
+    # one text alone takes a third of the bytes, of rows without an identifier
+    rows += [(None, "hot " * 100)] * 600 + [(4000, None), (4001, "")]
+    named = spark.createDataFrame([(None if i is None else f"n{i}", t, 1) for i, t in rows], "doc_id string, text string, shard int")
+    for docs, shards in ((table(spark, rows), 7), (named, 12)):
+        found = sharding.shard_by_bytes(docs, shards).collect()
+        assert Counter(r.doc_id for r in found) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+        homes, filled, slots = defaultdict(set), Counter(), defaultdict(list)
+        for r in found:
+            homes[r["size"], r.text_crc32].add(r.shard)
+            filled[r.shard] += r["size"]
+            slots[r.shard].append(r.slot)
+        share = sum(filled.values()) / shards
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(filled) == shards
+        assert max(abs(n - share) for n in filled.values()) < share / 16
+        hot = homes.pop((416, 0xFFFFFFFF & __import__("zlib").crc32(b"hot " * 100)))
+        assert len(hot) == -(-600 * 416 // -(-sum(filled.values()) // shards))
+        assert all(len(h) == 1 for h in homes.values())
+
+
 def test_html_against_markup():
     model = html.fit(html.example_pages(300))
     page = "<html><head><title>T</title><script>if (a<b) x()</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='cookie-notice'><p>We use cookies.</p></div><article><h1>A  title&amp;more</h1><p>First <b>bold</b>\n text that goes on. And on.<br>Same block.<p>Second paragraph, which is long enough to read.</article><div class=comments><div class=comment><p>Nice post, thanks for it. I liked it.</p></div></div><footer>&copy; me</footer>"
