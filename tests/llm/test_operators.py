@@ -5,7 +5,9 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxelmill.llm import bpe, decontam, exact, html, minhash, pii, quality, repeats, sharding, token_counts, words
+from tests.llm.pages import PAGES
 from voxelmill.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -119,6 +122,75 @@ def test_html_against_markup():
     assert right / (right + wrong) > 0.95
 
 
+def test_html_of_ordinary_pages():
+    model = html.fit(html.example_pages())
+    got = {name: model.extract(page) for name, (page, _) in PAGES.items()}
+    assert got == {name: text for name, (_, text) in PAGES.items()}
+    many = [f"Paragraph number {k} tells something. It goes on for a while, and ends." for k in range(3000)]
+    assert model.extract("<html><body>" + "".join(f"<p>{t}</p>" for t in many) + "</body></html>") == "\n\n".join(many)
+    began = time.time()
+    html.parse("<b>" * 20_000 + "<p>x" * 20_000)
+    html.parse("<div>" * 20_000 + "x")
+    assert time.time() - began < 10
+
+
+class Article(HTMLParser):
+    """Text blocks inside the article element, without comments: for pages of the table's own template."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.skip, self.blocks, self.now = 0, 0, [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        if text:
+            self.blocks.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        names = dict(attrs).get("class") or ""
+        if self.skip or any(w in names.split() for w in ("comments", "comment", "ad")):
+            self.skip += tag not in ("br", "img", "input", "p", "b", "hr")
+        if tag in ("p", "h1", "h2", "div", "article", "ul", "li", "table", "tr", "td", "section", "footer"):
+            self.cut()
+        if tag == "br":
+            self.now.append(" ")
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.cut()
+        if self.skip and tag not in ("p", "b", "br"):
+            self.skip -= 1
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside > 0 and not self.skip:
+            self.now.append(data)
+
+
+def test_html_query_against_articles(spark):
+    made = {r.page_id: r for r in Q.op2_html(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(made) == len(pages)
+    for page in pages:
+        told = Article()
+        told.feed(page.html)
+        assert made[page.page_id].text == "\n\n".join(told.blocks) and made[page.page_id].n_chars == len(made[page.page_id].text)
+
+
+def test_html_handling(spark):
+    model = html.fit(html.example_pages(200))
+    rows = [(1, None, "x"), (2, "", "y"), (2, "", "y"), (3, "<p>One sentence, and more of it.</p>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, nodes string")
+    made = html.extract_pages(pages, model)
+    assert made.columns == ["page_id", "html", "nodes", "text"]
+    assert Counter((r.page_id, r.text) for r in made.collect()) == Counter({(1, ""): 1, (2, ""): 2, (3, "One sentence, and more of it."): 1})
+    assert html.extract_pages(pages.limit(0), model).count() == 0
+    with pytest.raises(ValueError):
+        html.extract_pages(made, model)
+
+
 def test_message_passing_is_exact():
     model = html.fit(html.example_pages(100))
     nodes = html.parse("<div class=content><p>Some words here.</p><ul><li><a>x</a></li></ul></div><footer>end</footer>")

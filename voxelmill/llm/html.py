@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quoted value ends where a quote ends a value; a quote that nothing closes is a character of the tag, which then ends at its first >.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[\"'])*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: The attribute by which labelled pages mark an element and all below it: 1 content, 0 not.
@@ -28,7 +29,10 @@ _LABELLED = re.compile(LABEL_ATTRIBUTE + r"\s*=\s*[\"']?([01])")
 
 #: Elements whose content is no text of the page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed"}
-HIDDEN = RAW | {"head", "svg", "select", "option", "button", "object", "canvas", "audio", "video", "datalist", "math"}
+HIDDEN = RAW | {"head", "svg", "select", "option", "button", "datalist"}
+#: Hidden elements that the next of these ends, if they are still open.
+_UNCLOSED = {"select", "option", "button", "datalist"}
+_AFTER = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "main", "ul", "ol", "table", "blockquote", "footer"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BLOCK = {
     "html", "body", "div", "p", "article", "section", "main", "nav", "header", "footer", "aside", "form", "fieldset", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr",
@@ -49,6 +53,7 @@ class Node:
     linked: int = 0
     stops: int = 0
     label: int | None = None
+    part: int = 0
     children: list[int] = field(default_factory=list)
 
 
@@ -60,6 +65,8 @@ def parse(page: str) -> list[Node]:
     """Nodes in page order, parents before children; text nodes have ``text``. Broken markup is read as far as it goes."""
     nodes = [Node(-1, "root")]
     stack: list[tuple[str, int, bool]] = [("root", 0, False)]  # tag, node, hidden
+    open_at: dict[str, list[int]] = {}  # places in the stack of open elements of each tag
+    open_blocks: list[int] = []
     pieces: list[str] = []
     linked: list[int] = []
     links = 0
@@ -83,9 +90,16 @@ def parse(page: str) -> list[Node]:
         nonlocal links
         while len(stack) > k:
             tag = stack.pop()[0]
+            open_at[tag].pop()
+            if tag in BLOCK:
+                open_blocks.pop()
             if tag == "a":
                 links -= 1
 
+    def last(tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags, or 0."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     def take(text: str) -> None:
         if text and not stack[-1][2]:
             pieces.append(text)
@@ -106,10 +120,10 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if close:
-            place = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            place = last((tag,))
             if tag in BLOCK:
                 flush()
-            elif place and any(stack[k][0] in BLOCK for k in range(place + 1, len(stack))):
+            elif place and open_blocks and open_blocks[-1] > place:
                 place = 0  # an inline end tag doesn't end blocks
             if place:
                 pop_to(place)
@@ -119,22 +133,22 @@ def parse(page: str) -> list[Node]:
         if tag in BLOCK:
             flush()
             # a paragraph ends where the next block begins; what was inline in it too
-            place = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in BLOCK), 0)
+            if tag in _AFTER and stack[-1][2] and (place := last(_UNCLOSED)):
+                pop_to(min(open_at[t][0] for t in _UNCLOSED if open_at.get(t)))
+            place = open_blocks[-1] if open_blocks else 0
             if place and stack[place][0] == "p" or place and tag[0] == "h" and stack[place][0] in ("h1", "h2", "h3", "h4", "h5", "h6") and tag[1:].isdigit():
                 pop_to(place)
             if tag in _ENDS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in _ENDS[tag]:
-                        pop_to(k)
-                        if tag not in ("tr", "tbody", "tfoot"):
-                            break
-                    elif stack[k][0] in _SCOPE:
+                while (place := last(_ENDS[tag])) > last(_SCOPE):
+                    pop_to(place)
+                    if tag not in ("tr", "tbody", "tfoot"):
                         break
         if tag in VOID:
             if tag in ("br", "img", "wbr"):
                 take(" " if tag != "wbr" else "")
             continue
-        if attributes.endswith("/") and tag not in BLOCK and tag not in HIDDEN:
+        # <a href=/> isn't closed, its value is a slash
+        if attributes.endswith("/") and attributes[-2:-1] in ("", " ", '"', "'") and tag not in BLOCK and tag not in HIDDEN:
             continue
         hidden = stack[-1][2] or tag in HIDDEN
         node = stack_node()
@@ -149,6 +163,9 @@ def parse(page: str) -> list[Node]:
             at = end.end() if end else size
             continue
         links += tag == "a"
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
         stack.append((tag, node, hidden))
     flush()
     for k in range(len(nodes) - 1, 0, -1):
@@ -156,6 +173,9 @@ def parse(page: str) -> list[Node]:
         above.chars += own.chars
         above.linked += own.linked
         above.stops += own.stops
+    for node in nodes:
+        share = node.chars / max(1, nodes[0].chars)
+        node.part = 0 if share < 0.05 else 1 if share < 0.2 else 2 if share < 0.5 else 3
     return nodes
 
 
@@ -165,7 +185,7 @@ def _features(node: Node) -> tuple[str, ...]:
     size = 0 if node.chars == 0 else 1 if node.chars < 20 else 2 if node.chars < 60 else 3 if node.chars < 150 else 4
     own = "text" if node.text is not None else "block"
     stops = "stops" if node.stops else "plain"
-    return (f"{own} {node.tag}", f"{own} links {density}", f"{own} size {size} {stops}", *(f"word {w}" for w in node.words))
+    return (f"{own} {node.tag}", *([f"block part {node.part}"] if node.text is None else []), f"{own} links {density}", f"{own} size {size} {stops}", *(f"word {w}" for w in node.words))
 
 
 @dataclass(frozen=True)
@@ -188,7 +208,7 @@ class PageModel:
         pairs, other = self.pairs, self.pairs["other"]
         for k in range(n - 1, -1, -1):
             node = nodes[k]
-            key = (node.tag, node.words, node.chars if node.chars < 150 else 150, node.stops > 0, node.linked * 10 // node.chars if node.chars else 0, node.text is None, node.linked > 0)
+            key = (node.tag, node.words, node.part, node.chars if node.chars < 150 else 150, node.stops > 0, node.linked * 10 // node.chars if node.chars else 0, node.text is None, node.linked > 0)
             ratio = known.get(key)
             if ratio is None:
                 ratio = known[key] = float(np.exp(np.clip(self.unary(node), -30, 30)))
@@ -282,6 +302,9 @@ _NOT_CONTENT = {
     "comments": ["comments", "comment", "comment-list", "responses", "replies", "discussion", "reader-comments", "disqus"],
     "share": ["share", "social", "sharing", "follow", "social-links", "tools"],
 }
+#: Share of example pages that are an article and little else.
+PLAIN = 0.4
+TINY = 0.1
 _CONTENT = ["content", "article", "post", "entry", "entry-content", "post-body", "article-body", "story", "main", "main-content", "text", "body"]
 
 
@@ -307,6 +330,21 @@ def example_pages(count: int = 600, seed: int = 7) -> list[str]:
         attribute = "" if tag != "div" and draw.random() < 0.5 else f' {draw.choice(["class", "class", "id"])}="{name}"'
         return f'<{tag}{attribute} {LABEL_ATTRIBUTE}="{label}">{inner}</{tag}>'
 
+    def plain() -> str:
+        """An article and little else: short or long, with or without wrappers, names and paragraphs."""
+        listed = lambda: "<ul>" + "".join(f"<li>{words(1, 8)}</li>" for _ in range(draw.randint(2, 6))) + "</ul>"
+        blocks = [draw.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<section><p>{}</p></section>", listed(), "<pre>{}</pre>"]).format(prose(1, draw.choice([1, 2, 6]))) for _ in range(draw.choice([1, 1, 2, 3, 6, 15, 40]))]
+        if draw.random() < 0.5:
+            blocks.insert(0, draw.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>"]).format(words(1, 7)))
+        inner = "".join(blocks) if draw.random() < 0.9 else prose(1, 4)
+        for tag in draw.choice([[], [], [], ["article"], ["article"], ["main"], ["main", "article"], ["div"], ["div", "div"], ["div", "article", "div"], ["section"]]):
+            name = draw.choice(["", "", "", f' class="{words(1, 1)}"', f' id="{words(1, 1)}"', f' class="{draw.choice(_CONTENT)}"'])
+            inner = f"<{tag}{name}>{inner}</{tag}>"
+        inner = f'<div {LABEL_ATTRIBUTE}="1">{inner}</div>' if draw.random() < 0.05 else inner
+        around = [junk(k) if draw.random() < 0.2 else "" for k in ("nav", "header", "footer", "comments")]
+        body = f'<body {LABEL_ATTRIBUTE}="1">{around[0]}{around[1]}{inner}{around[3]}{around[2]}</body>'
+        return draw.choice([f"<!DOCTYPE html><html><head><title>{words(1, 4)}</title></head>{body}</html>", f"<html>{body}</html>", body])
+
     def paragraph() -> str:
         text = prose(1, 6) if draw.random() < 0.75 else draw.choice([words(1, 5), words(2, 12) + ".", words(5, 60), words(20, 120)])
         if draw.random() < 0.2:
@@ -317,7 +355,7 @@ def example_pages(count: int = 600, seed: int = 7) -> list[str]:
 
     def junk(kind: str) -> str:
         if kind == "nav":
-            return named(kind, links(2, 9), ["nav", "nav", "div", "ul"], 0)
+            return named(kind, links(1, 9), ["nav", "nav", "div", "ul"], 0)
         if kind == "header":
             return named(kind, draw.choice([f"<h1>{words(1, 4)}</h1>", f'<a href="/">{words(1, 3)}</a>', f"<p>{words(2, 6)}</p>" + links(2, 5)]), ["header", "header", "div"], 0)
         if kind == "footer":
@@ -337,8 +375,13 @@ def example_pages(count: int = 600, seed: int = 7) -> list[str]:
 
     pages = []
     for _ in range(count):
+        if draw.random() < PLAIN:
+            pages.append(plain())
+            continue
         article = draw.choice([f"<h1>{prose(1, 1)}</h1>", f"<h1>{words(2, 9)}</h1>", f"<h2>{words(2, 9)}</h2>", ""])
-        for _ in range(draw.choice([1, 2, 3, 5, 8, 12])):
+        if draw.random() < TINY:  # tiny articles beside large other parts
+            article = draw.choice(["", f"<h1>{words(1, 2)}.</h1>"]) + draw.choice([f"<p>{words(1, 4)}.</p>", f"<p><b>{words(1, 4)}.<br>", f"<p>{words(1, 6)}</p>"])
+        for _ in range(draw.choice([1, 2, 3, 5, 8, 12]) if len(article) > 60 or not article else 0):
             article += paragraph()
             if draw.random() < 0.04:
                 article += junk(draw.choice(["ad", "aside", "share", "form"]))
