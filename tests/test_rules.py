@@ -121,3 +121,28 @@ def test_window_by_tags(spark):
     found = rows.select("m", "s", "b", "full", window_by_tags(F.col("data"), F.col("m"), F.col("s"), F.col("b")).alias("w")).collect()
     assert {(r.m, r.s, r.b): tuple(r.w) for r in found if r.full} == {k: pytest.approx(v) for k, v in cases.items()}
     assert [tuple(r.w) for r in found if not r.full] == [(0.5, 1.0), (3.5, 1.0)]
+
+
+def test_component_count_against_spreading():
+    draw = np.random.default_rng(5)
+    for share in (0.1, 0.4, 0.6, 0.9):
+        mask = draw.random((17, 13)) < share
+        left, found = set(zip(*np.nonzero(mask), strict=True)), 0
+        while left:
+            found, front = found + 1, [left.pop()]
+            while front:
+                r, c = front.pop()
+                for near in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                    if near in left:
+                        left.remove(near)
+                        front.append(near)
+        assert images.component_count(mask) == found
+
+
+def test_masks_of_images_without_pixels(spark):
+    rows = [(1, "MR", None, 2, 2), (2, "MR", [], 0, 0), (3, "MR", [1.0, 2.0, 3.0], 2, 2), (4, None, [1.0, 2.0, 3.0, 900.0], 2, 2), (5, "US", [1.0, 900.0, 1.0, 900.0], 2, 2), (6, "MR", [1.0, 900.0, 1.0, 900.0], 2, 2)]
+    df = spark.createDataFrame(rows, "image_id int, modality string, data array<double>, n_rows int, n_cols int")
+    found = {r.image_id: r.reasons for r in images.image_quality(df).collect()}
+    assert found[1] == ["no_pixel_data"] and found[2] == ["empty_data"]
+    assert "segmentation_mask" in found[6] and "segmentation_mask" not in found[5]
+    assert {r.image_id: r.low for r in images.low_quality_png(df).collect()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True}

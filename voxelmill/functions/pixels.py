@@ -80,7 +80,7 @@ def quantile(ordered: Column, share: float) -> Column:
 
 
 def share_of(data: Column, test) -> Column:
-    return F.size(F.filter(data, test)) / F.size(data)
+    return F.size(F.filter(data, test)) / F.nullif(F.size(data), F.lit(0))
 
 
 def pixel_statistics(data: Column, modality: Column) -> Column:

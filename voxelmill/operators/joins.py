@@ -56,10 +56,10 @@ def matched_stems(books: DataFrame, images: DataFrame, key: str) -> DataFrame:
 
 def checked(files: DataFrame, checksums: DataFrame) -> DataFrame:
     """Counts of verified and corrupted files among those with a checksum, and the first five corrupted names."""
-    joined = files.join(checksums.select("path", F.col("md5").alias("_md5")), "path").withColumn("_same", F.col("md5") == F.col("_md5"))
-    return joined.agg(
-        F.count_if("_same").alias("verified"), F.count_if(~F.col("_same")).alias("corrupted"), F.concat_ws(",", F.slice(F.array_sort(F.collect_list(F.when(~F.col("_same"), F.col("path")))), 1, 5)).alias("first_corrupted")
-    )
+    joined = files.join(checksums.select("path", F.col("md5").alias("_md5")), "path").select("path", (F.col("md5") == F.col("_md5")).alias("_same"))
+    counts = joined.agg(F.count_if("_same").alias("verified"), F.count_if(~F.col("_same")).alias("corrupted"))
+    five = joined.where(~F.col("_same")).orderBy("path").limit(5)
+    return counts.crossJoin(five.agg(F.concat_ws(",", F.array_sort(F.collect_list("path"))).alias("first_corrupted")))
 
 
 def resolved_thresholds(keys: DataFrame, overrides: DataFrame, defaults: DataFrame, fallback: DataFrame) -> DataFrame:

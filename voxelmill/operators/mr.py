@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from voxelmill.functions import series as S
 from voxelmill.functions.basic import number, rounded_list, rounded_or_na
 from voxelmill.functions.rules import THRESHOLD_NAMES, MrRules
+from voxelmill.operators.barrier import settled
 from voxelmill.operators.ranking import dense_index
+from voxelmill.session import cut_lineage
 
 NUMBERS = {"tr": "repetition_time", "te": "echo_time", "ti": "inversion_time", "b": "b_value", "etl": "echo_train_length"}
 #: Columns that tables may lack; they read as null.
@@ -28,7 +30,8 @@ def atomic_features(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
     name, image = S.lowered(F.col("protocol_name")), S.lowered(F.col("image_type"))
     made = df.withColumns({"protocolName_lower": name, "imageType_lower": image})
     name, image = F.col("protocolName_lower"), F.col("imageType_lower")
-    return made.withColumns(
+    return settled(
+        made,
         {
             "standardOrientation": S.orientation(F.col("iop"), name, rules),
             "standardDimension": F.coalesce(F.col("mr_acquisition_type"), F.lit("nan")),
@@ -36,7 +39,7 @@ def atomic_features(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
             "isContrastEnhanced": F.rlike(name, F.lit(rules.contrast_pattern)),
             "hasMotionCorrection": F.rlike(name, F.lit(rules.motion_pattern)),
             "refinedImageType": S.refined_image_type(image, name),
-        }
+        },
     )
 
 
@@ -66,12 +69,16 @@ def with_thresholds(df: DataFrame, rules: MrRules = S.RULES, into: str = "limit"
 
 
 def classify(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
-    n = {k: number(_column(df, c)) for k, c in NUMBERS.items()}
+    # thresholds are a literal table, so that no join stands between the stages
+    default = F.struct(*[F.lit(v).alias(n) for n, v in zip(THRESHOLD_NAMES, rules.thresholds["default"], strict=True)])
+    own = F.create_map(*[x for strength, values in rules.thresholds.items() for x in (F.lit(strength), F.struct(*[F.lit(v).alias(n) for n, v in zip(THRESHOLD_NAMES, values, strict=True)]))])
+    given = settled(df, {"_number": F.struct(*[number(_column(df, c)).alias(k) for k, c in NUMBERS.items()]), "_limit": F.coalesce(F.try_element_at(own, F.col("standardFieldStrength")), default)})
+    n = {k: F.col("_number")[k] for k in NUMBERS}
     class_ = S.sequence_class(
         F.col("protocolName_lower"), F.col("series_desc"), F.col("scanning_sequence"), F.col("sequence_variant"), F.col("image_type"), F.col("refinedImageType"),
-        F.col("standardDimension"), F.col("hasMotionCorrection"), n["tr"], n["te"], n["ti"], n["b"], n["etl"], F.col("limit"), rules,
+        F.col("standardDimension"), F.col("hasMotionCorrection"), n["tr"], n["te"], n["ti"], n["b"], n["etl"], F.col("_limit"), rules,
     )
-    return with_thresholds(df, rules).withColumn("sequenceClass", class_).drop("limit")
+    return settled(given, {"sequenceClass": class_}).drop("_number", "_limit")
 
 
 def fingerprint(df: DataFrame) -> Column:
@@ -80,10 +87,15 @@ def fingerprint(df: DataFrame) -> Column:
     return F.concat_ws("_", rounded_list(F.col("ipp")), rounded_list(F.col("iop")), F.col("sequenceClass"), *numbers)
 
 
+def with_fingerprint(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
+    """Add ``fingerprint``, null where a series takes no part, and ``seriesTime``."""
+    eligible = df["study_uid"].isNotNull() & ~df["sequenceClass"].isin(*rules.not_dynamic)
+    return settled(df, {"fingerprint": F.when(eligible, fingerprint(df)), "seriesTime": number(F.col("series_time"))})
+
+
 def dynamic_sets(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
     """Add ``fingerprint`` (null where a series takes no part), ``set_size``, ``set_timed``, ``set_first`` and ``set_place``, by time."""
-    eligible = df["study_uid"].isNotNull() & ~df["sequenceClass"].isin(*rules.not_dynamic)
-    made = df.withColumns({"fingerprint": F.when(eligible, fingerprint(df)), "seriesTime": number(F.col("series_time"))})
+    made = with_fingerprint(df, rules)
     of_set = Window.partitionBy("study_uid", "fingerprint")
     return made.withColumns(
         {
@@ -104,9 +116,11 @@ def dynamic_phase() -> Column:
     return F.when(is_dynamic(), F.when(F.col("set_place") == 1, "PRE").otherwise(F.concat(F.lit("POST_"), (F.col("set_place") - 1).cast("string")))).otherwise("")
 
 
-def group_numbers(sets: DataFrame) -> DataFrame:
-    """Number the dynamic sets 1, 2, ... by study, size from large to small, first series."""
-    groups = sets.where(is_dynamic()).groupBy("study_uid", "fingerprint").agg(F.first("set_size").alias("n"), F.first("set_first").alias("first"))
+def group_numbers(series: DataFrame) -> DataFrame:
+    """Number the dynamic sets 1, 2, ... by study, size from large to small, first series; needs ``fingerprint`` and ``seriesTime``."""
+    sized = series.where("fingerprint is not null").groupBy("study_uid", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.count("seriesTime").alias("timed"), F.min("series_key").alias("first"))
+    # the sets are few beside the series: they are written once and then sorted
+    groups = cut_lineage(sized.where("n > 1 and timed > 0").select("study_uid", "fingerprint", "n", "first"))
     return dense_index(groups, [F.col("study_uid"), F.col("n").desc(), F.col("first")], "dynamicGroup").select("study_uid", "fingerprint", "dynamicGroup")
 
 
@@ -134,5 +148,5 @@ def clean_series(df: DataFrame, rules: MrRules = S.RULES, numbered: bool = True)
     phased = sets.withColumn("dynamicPhase", dynamic_phase()).withColumn("isContrastEnhanced", S.enhanced_by_agent(F.col("protocolName_lower"), F.col("contrast_agent")))
     done = propagate(phased)
     if numbered:
-        done = done.join(group_numbers(sets), ["study_uid", "fingerprint"], "left")
+        done = done.join(group_numbers(with_fingerprint(classified, rules)), ["study_uid", "fingerprint"], "left")
     return done.drop("set_size", "set_timed", "set_first", "set_place")

@@ -106,6 +106,14 @@ _add("i07_reversed_zyx", lambda s, d: images(s, d).select("image_id", _hash(P.re
      PX + " SELECT image_id, round(sum(x * ((7 - i % 8) * 8 + (3 - i // 8 % 4) * 2 + (1 - i // 32) + 1)), 3) AS sum FROM px GROUP BY 1")
 _add("i08_stacked", lambda s, d: images(s, d).groupBy("label").agg(F.flatten(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("image_id")).alias("z"), "data"))), 1, 5), lambda v: v["data"])).alias("data")).select("label", _hash(F.col("data"))),
      PX + ", o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY image_id DESC) - 1 AS z FROM im), u AS (SELECT label, z, unnest(data) AS x, generate_subscripts(data, 1) AS i FROM o WHERE z < 5) SELECT label, round(sum(x * (z * 64 + i)), 3) AS sum FROM u GROUP BY 1")
+# five images are a series; its slices are stacked by z
+_add(
+    "i08_series_stacks",
+    lambda s, d: images(s, d).groupBy(F.floor(F.col("image_id") / 5).alias("series")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("image_id")).alias("z"), "data"))), lambda v: v["data"])).alias("data")).select("series", _hash(F.col("data"))),
+    PX + """, o AS (SELECT *, image_id // 5 AS series, row_number() OVER (PARTITION BY image_id // 5 ORDER BY image_id DESC) - 1 AS z FROM im),
+  u AS (SELECT series, z, unnest(data) AS x, generate_subscripts(data, 1) AS i FROM o)
+  SELECT series, round(sum(x * (z * 64 + i)), 3) AS sum FROM u GROUP BY 1""",
+)
 _add("i20_transposed", lambda s, d: images(s, d).select("image_id", _hash(P.transposed(F.col("data"), F.lit(4), F.lit(16)))), PX + " SELECT image_id, round(sum(x * (i % 16 * 4 + i // 16 + 1)), 3) AS sum FROM px GROUP BY 1")
 _add("i22_a27_stretched", lambda s, d: images(s, d).select("image_id", _hash(F.transform(P.stretched(F.col("data")), lambda x: x.cast("double")))),
      PX + ", m AS (SELECT image_id, min(x) AS lo, max(x) AS hi FROM px GROUP BY 1) SELECT image_id, round(sum(floor((x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * 4095) * (i + 1)), 3) AS sum FROM px JOIN m USING (image_id) GROUP BY 1")
@@ -132,3 +140,46 @@ _add("f29_quality_cell", lambda s, d: _judged(s, d).select("image_id", P.quality
      QC + " SELECT image_id, CASE WHEN image_id % 3 > 0 THEN (len(reasons) > 0)::INT ELSE (image_id % 2)::INT END AS value, image_id % 3 > 0 OR image_id % 2 = 0 AS told FROM qc")
 _FLAT = "CASE WHEN len(o) = 6 THEN [-o[1]*0.7, -o[4]*0.5, -(o[2]*o[6]-o[3]*o[5]), -p[1], -o[2]*0.7, -o[5]*0.5, -(o[3]*o[4]-o[1]*o[6]), -p[2], o[3]*0.7, o[6]*0.5, o[1]*o[5]-o[2]*o[4], p[3], 0, 0, 0, 1] ELSE [0, 0.5, 0, 0, 0.7, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1]::DOUBLE[] END"
 _add("i04_flat_affine", lambda s, d: X.series(s, d).select("series_key", _hash(P.flat_affine(F.col("iop"), F.col("ipp"), F.lit(0.7), F.lit(0.5)))), FX + f" SELECT series_key, round(list_sum(list_transform({_FLAT}, lambda x, i: x * i)), 3) AS sum FROM v")
+
+
+def _bytes(s, d):
+    """The images stretched to 8 bits, every eighth value and all above 200 white."""
+    white = lambda x: F.when((x > 200) | (x % 8 == 0), 255).otherwise(x)
+    low, high = F.array_min("data"), F.array_max("data")
+    return images(s, d).withColumn("data", F.transform("data", lambda x: white(F.floor((x - low) * 255 / (high - low)).cast("int"))))
+
+
+def _regions(pixels: str, mask: str) -> str:
+    """Number of 4-connected regions of pixels that ``mask`` picks, by growing each pixel's region to its smallest pixel."""
+    return f"""mk AS (SELECT image_id, i FROM {pixels} WHERE {mask}),
+  ed AS (SELECT a.image_id, a.i AS a, b.i AS b FROM mk a JOIN mk b ON a.image_id = b.image_id AND (abs(a.i - b.i) = 8 OR abs(a.i - b.i) = 1 AND a.i // 8 = b.i // 8)),
+  rc(image_id, a, b) AS (SELECT image_id, i, i FROM mk UNION SELECT rc.image_id, rc.a, ed.b FROM rc JOIN ed ON rc.image_id = ed.image_id AND rc.b = ed.a),
+  cc AS (SELECT image_id, count(*) FILTER (a = m) AS n FROM (SELECT image_id, a, min(b) AS m FROM rc GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_RANGE = "rg AS (SELECT image_id, min(x) AS lo, max(x) AS hi FROM px GROUP BY 1), pr AS (SELECT px.*, lo, hi FROM px JOIN rg USING (image_id))"
+_MASKED = f"""{_RANGE}, br AS (SELECT image_id, any_value(modality) AS m, any_value(hi > lo) AS wide, avg((x > hi - 0.05 * (hi - lo))::INT) AS share FROM pr GROUP BY 1),
+  {_regions("pr", "x > hi - 0.01 * (hi - lo)")},
+  mq AS (SELECT image_id, coalesce(m <> 'US' AND wide AND share > 0.05 AND n <= 10, false) AS masked FROM br LEFT JOIN cc USING (image_id))"""
+_RECURSIVE = PX.replace("WITH", "WITH RECURSIVE", 1)
+_add(
+    "a09_components",
+    lambda s, d: I.with_components(images(s, d), share=0.3).select("image_id", "components"),
+    f"{_RECURSIVE}, {_RANGE}, {_regions('pr', 'x > hi - 0.3 * (hi - lo)')} SELECT image_id, n::INT AS components FROM cc",
+)
+_add("i10_segmentation", lambda s, d: I.segmentation_mask(images(s, d)).select("image_id", "masked"), f"{_RECURSIVE}, {_MASKED} SELECT image_id, masked FROM mq")
+_add(
+    "i09_f30_quality_with_masks",
+    lambda s, d: I.image_quality(images(s, d)).select("image_id", F.array_join("reasons", ",").alias("reasons"), "low"),
+    f"""{_RECURSIVE}, qc AS (SELECT image_id, {_RULES} AS reasons FROM st JOIN tl USING (image_id) JOIN bd USING (image_id)), {_MASKED},
+  al AS (SELECT image_id, CASE WHEN masked THEN list_append(reasons, 'segmentation_mask') ELSE reasons END AS r FROM qc JOIN mq USING (image_id))
+  SELECT image_id, array_to_string(r, ',') AS reasons, len(r) > 0 AS low FROM al""",
+)
+_add(
+    "i23_low_quality_png",
+    lambda s, d: I.low_quality_png(_bytes(s, d)).select("image_id", "low"),
+    f"""{_RECURSIVE}, {_RANGE}, b0 AS (SELECT image_id, i, floor((x - lo) * 255 / (hi - lo))::INT AS v FROM pr),
+  b8 AS (SELECT image_id, i, CASE WHEN v > 200 OR v % 8 = 0 THEN 255 ELSE v END AS v FROM b0),
+  w AS (SELECT image_id, avg((v > 250)::INT) AS share FROM b8 GROUP BY 1), {_regions("b8", "v = 255")}
+  SELECT image_id, coalesce(share > 0.05 AND n <= 10, false) AS low FROM w LEFT JOIN cc USING (image_id)""",
+)

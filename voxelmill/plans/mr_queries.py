@@ -125,10 +125,10 @@ _add("f35_slice_thickness", lambda s, d: X.series(s, d).select("series_key", S.s
 _add("j12_thresholds", lambda s, d: mr.with_thresholds(mr.hardware_features(X.mr_series(s, d))).select("series_key", "limit.t1_tr_max", "limit.flair_ti_min", "limit.stir_ti_max"),
      f"WITH {CLASSED} SELECT series_key, a::DOUBLE AS t1_tr_max, g::DOUBLE AS flair_ti_min, h::DOUBLE AS stir_ti_max FROM c0")
 _add("p08_dynamic_eligible", lambda s, d: _classified(s, d).where(~F.col("sequenceClass").isin(*S.RULES.not_dynamic)).select("series_key"), f"WITH {CLASSED} SELECT series_key FROM cls WHERE sc NOT IN {_EXCL}")
-_add("a03_fingerprint_counts", lambda s, d: mr.dynamic_sets(_classified(s, d)).where("fingerprint is not null").groupBy("study_uid", "fingerprint").count().where("count > 1").select("study_uid", "fingerprint", F.col("count").alias("n")),
+_add("a03_fingerprint_counts", lambda s, d: mr.with_fingerprint(_classified(s, d)).where("fingerprint is not null").groupBy("study_uid", "fingerprint").count().where("count > 1").select("study_uid", "fingerprint", F.col("count").alias("n")),
      f"WITH {DYNAMIC} SELECT study_uid, fp AS fingerprint, count(*) AS n FROM dyn WHERE fp IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 _add("w01_dynamic_phase", lambda s, d: mr.dynamic_sets(_classified(s, d)).select("series_key", mr.dynamic_phase().alias("phase")), f"WITH {DYNAMIC} SELECT series_key, phase FROM dyn")
-_add("w02_dynamic_group", lambda s, d: mr.group_numbers(mr.dynamic_sets(_classified(s, d))),
+_add("w02_dynamic_group", lambda s, d: mr.group_numbers(mr.with_fingerprint(_classified(s, d))),
      f"WITH {DYNAMIC}, g AS (SELECT study_uid, fp, any_value(n_set) AS n, any_value(first_key) AS k FROM dyn WHERE isdyn GROUP BY ALL) SELECT study_uid, fp AS fingerprint, row_number() OVER (ORDER BY study_uid, n DESC, k) AS \"dynamicGroup\" FROM g")
 _add("w03_propagation", lambda s, d: mr.clean_series(X.mr_series(s, d), numbered=False).select("series_key", F.col("dynamicPhase").alias("phase"), F.col("isContrastEnhanced").alias("enhanced")),
      f"WITH {FINAL} SELECT series_key, CASE WHEN late THEN 'POST_PROPAGATED' ELSE phase END AS phase, ce OR late AS enhanced FROM e2")
