@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 def number(text: Column) -> Column:
     """The text as a double; null if it is none, or not a number. Comparisons with null are not true, as is wanted."""
-    value = text.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    # texts that can't be numbers are sorted out first: a failing cast costs a caught exception
+    value = F.when(F.rlike(text.cast("string"), F.lit("[0-9]|[iI][nN][fF]")), text.try_cast("double"))
+    return F.nanvl(value, F.lit(None).cast("double"))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def contains_any(text: Column, parts: list[str] | tuple[str, ...]) -> Column:
@@ -31,8 +37,9 @@ def parts_of(text: Column) -> Column:
 
 def rounded_list(text: Column, decimals: int = 2) -> Column:
     """List literals rounded half to even: ``NA`` for null, ``INVALID`` for what is no list. No negative zeros."""
-    values = F.transform(number_list(text), lambda v: F.bround(v, decimals) + F.lit(0.0))
-    return F.when(text.isNull(), "NA").when(values.isNull() | F.exists(values, lambda v: v.isNull()), "INVALID").otherwise(values.cast("string"))
+    rounded = F.transform(number_list(text), lambda v: F.bround(v, decimals) + F.lit(0.0))
+    told = let(rounded, lambda values: F.when(values.isNull() | F.exists(values, lambda v: v.isNull()), "INVALID").otherwise(values.cast("string")))
+    return F.when(text.isNull(), "NA").otherwise(told)
 
 
 def rounded_or_na(value: Column, decimals: int = 1) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxelmill.functions.basic import number_list
+from voxelmill.functions.basic import let, number_list
 
 #: More pixels than this are thinned to every k-th.
 MOST_PIXELS = 200_000
@@ -43,11 +43,6 @@ REASONS = {
 }
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def finite(data: Column) -> Column:
     return F.filter(data, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxelmill.functions.basic import contains_any, number, number_list, parts_of
+from voxelmill.functions.basic import contains_any, let, number, number_list, parts_of
 from voxelmill.functions.rules import DESCRIPTION_RULES, MANUFACTURERS, NAME_RULES, PLANE_SPELLINGS, SUFFIX_WORDS, MrRules
 
 RULES = MrRules()
@@ -18,17 +18,24 @@ def lowered(text: Column) -> Column:
 
 def normal_of(orientation: Column) -> Column:
     """Cross product of the row and column direction in a six-number list; null for other lists."""
-    v = number_list(orientation)
-    at = lambda k: F.get(v, F.lit(k))
-    cross = F.array(at(1) * at(5) - at(2) * at(4), at(2) * at(3) - at(0) * at(5), at(0) * at(4) - at(1) * at(3))
-    return F.when((F.size(v) == 6) & ~F.exists(v, lambda x: x.isNull()), cross)
+
+    def cross(v: Column) -> Column:
+        at = lambda k: F.get(v, F.lit(k))
+        made = F.array(at(1) * at(5) - at(2) * at(4), at(2) * at(3) - at(0) * at(5), at(0) * at(4) - at(1) * at(3))
+        return F.when((F.size(v) == 6) & ~F.exists(v, lambda x: x.isNull()), made)
+
+    return let(number_list(orientation), cross)
 
 
 def plane_of(normal: Column, ratio: float = RULES.oblique_ratio) -> Column:
     """SAG, COR or AX by the largest part of the normal, OBL if none dominates; null for a null normal."""
-    x, y, z = (F.abs(F.get(normal, F.lit(k))) for k in range(3))
-    largest = F.greatest(x, y, z)
-    return F.when(normal.isNull(), None).when(largest * largest < F.lit(ratio) * (x * x + y * y + z * z), "OBL").when(x == largest, "SAG").when(y == largest, "COR").otherwise("AX")
+
+    def named(n: Column) -> Column:
+        x, y, z = (F.get(n, F.lit(k)) for k in range(3))
+        largest = F.array_max(n)
+        return F.when(largest * largest < F.lit(ratio) * (x * x + y * y + z * z), "OBL").when(x == largest, "SAG").when(y == largest, "COR").when(z == largest, "AX")
+
+    return let(F.transform(normal, F.abs), named)
 
 
 def plane_by_name(name: Column, words: dict[str, tuple[str, ...]] | None = None) -> Column:

@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.functions import series as S
-from voxelmill.functions.basic import number, rounded_list, rounded_or_na
+from voxelmill.functions.basic import let, number, rounded_list, rounded_or_na
 from voxelmill.functions.rules import THRESHOLD_NAMES, MrRules
-from voxelmill.operators.barrier import settled
 from voxelmill.operators.ranking import dense_index
 from voxelmill.session import cut_lineage
 
@@ -30,8 +29,7 @@ def atomic_features(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
     name, image = S.lowered(F.col("protocol_name")), S.lowered(F.col("image_type"))
     made = df.withColumns({"protocolName_lower": name, "imageType_lower": image})
     name, image = F.col("protocolName_lower"), F.col("imageType_lower")
-    return settled(
-        made,
+    return made.withColumns(
         {
             "standardOrientation": S.orientation(F.col("iop"), name, rules),
             "standardDimension": F.coalesce(F.col("mr_acquisition_type"), F.lit("nan")),
@@ -39,7 +37,7 @@ def atomic_features(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
             "isContrastEnhanced": F.rlike(name, F.lit(rules.contrast_pattern)),
             "hasMotionCorrection": F.rlike(name, F.lit(rules.motion_pattern)),
             "refinedImageType": S.refined_image_type(image, name),
-        },
+        }
     )
 
 
@@ -69,16 +67,12 @@ def with_thresholds(df: DataFrame, rules: MrRules = S.RULES, into: str = "limit"
 
 
 def classify(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
-    # thresholds are a literal table, so that no join stands between the stages
-    default = F.struct(*[F.lit(v).alias(n) for n, v in zip(THRESHOLD_NAMES, rules.thresholds["default"], strict=True)])
-    own = F.create_map(*[x for strength, values in rules.thresholds.items() for x in (F.lit(strength), F.struct(*[F.lit(v).alias(n) for n, v in zip(THRESHOLD_NAMES, values, strict=True)]))])
-    given = settled(df, {"_number": F.struct(*[number(_column(df, c)).alias(k) for k, c in NUMBERS.items()]), "_limit": F.coalesce(F.try_element_at(own, F.col("standardFieldStrength")), default)})
-    n = {k: F.col("_number")[k] for k in NUMBERS}
-    class_ = S.sequence_class(
-        F.col("protocolName_lower"), F.col("series_desc"), F.col("scanning_sequence"), F.col("sequence_variant"), F.col("image_type"), F.col("refinedImageType"),
-        F.col("standardDimension"), F.col("hasMotionCorrection"), n["tr"], n["te"], n["ti"], n["b"], n["etl"], F.col("_limit"), rules,
-    )
-    return settled(given, {"sequenceClass": class_}).drop("_number", "_limit")
+    texts = ("protocolName_lower", "series_desc", "scanning_sequence", "sequence_variant", "image_type", "refinedImageType", "standardDimension", "hasMotionCorrection")
+    numbers = {k: number(_column(df, c)) for k, c in NUMBERS.items()}
+    # inside a lambda: as generated code the rules would be one method too long for the JVM's compiler
+    row = F.struct(*texts, *[c.alias(k) for k, c in numbers.items()], "limit")
+    class_ = let(row, lambda r: S.sequence_class(*[r[t] for t in texts], *[r[k] for k in numbers], r["limit"], rules))
+    return with_thresholds(df, rules).withColumn("sequenceClass", class_).drop("limit")
 
 
 def fingerprint(df: DataFrame) -> Column:
@@ -90,7 +84,7 @@ def fingerprint(df: DataFrame) -> Column:
 def with_fingerprint(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
     """Add ``fingerprint``, null where a series takes no part, and ``seriesTime``."""
     eligible = df["study_uid"].isNotNull() & ~df["sequenceClass"].isin(*rules.not_dynamic)
-    return settled(df, {"fingerprint": F.when(eligible, fingerprint(df)), "seriesTime": number(F.col("series_time"))})
+    return df.withColumns({"fingerprint": F.when(eligible, fingerprint(df)), "seriesTime": number(F.col("series_time"))})
 
 
 def dynamic_sets(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
