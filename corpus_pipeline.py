@@ -23,29 +23,46 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least one half, by a model fitted on the labelled ones."""
+    """Documents whose quality score is at least one half, by a model fitted on the labelled ones.
+
+    Null and empty texts have a score as well; repeated rows are scored alike; an empty
+    table stays empty; all columns stay, whatever they are called.
+    """
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, into="_score").where("_score >= 0.5").select(*docs.columns)
+    score = "score"
+    while score in docs.columns:
+        score += "_"
+    return quality.with_score(docs, model, into=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal normalised texts the one with the smallest doc_id."""
+    """Of equal normalised texts the one with the smallest doc_id.
+
+    A null text equals an empty one; of repeated rows one stays; a row without doc_id
+    stays only if its whole group has none.
+    """
     return exact.keep_first(docs)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the one with the smallest doc_id."""
+    """Of each group of near-duplicates the one with the smallest doc_id.
+
+    Texts without words and rows without doc_id stay.
+    """
     return minhash.keep_one(docs)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of the benchmark; documents that are mostly benchmark go."""
+    """Texts without passages of the benchmark; documents that are mostly benchmark go.
+
+    Null texts stay null; ``n_chars`` is counted anew; all columns stay.
+    """
     cut = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and digests of the ids and of the text decoded from them."""
+    """Token ids of every text, and digests of the ids and of the text decoded from them; a null text has none."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, id_cols=["doc_id", "lang", "source"])
 
