@@ -9,6 +9,7 @@ texts in a shard, so that all shards get the same share of bytes.
 from __future__ import annotations
 
 import heapq
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,7 +145,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
 
     # bytes and rows before every record: of all records for heavy groups, of the others among themselves
     placed, room = _place(sorted(heavy.items()), all_bytes, shards)
-    sizes = spark.createDataFrame([(h, size, k, shard) for h, k, size, shard in placed], "h string, piece_bytes long, piece int, shard int")
+    told = json.dumps([{"h": h, "piece_bytes": size, "piece": k, "shard": shard} for h, k, size, shard in placed])
+    pieces = F.from_json(F.lit(told), "array<struct<h:string,piece_bytes:long,piece:int,shard:int>>")
+    sizes = spark.range(1).select(F.explode(pieces).alias("p")).select("p.*")  # without Python workers
     is_heavy = sizes.where("piece = 0").select("h", "piece_bytes")
     ranged = records.join(F.broadcast(is_heavy), "h", "left").withColumn("range", _range_of(key, bounds)).withColumn("light", F.col("piece_bytes").isNull())
     counted = ranged.select("*", F.when(F.col("light"), F.col("size")).otherwise(0).alias("b"), F.col("light").cast("long").alias("n"))
