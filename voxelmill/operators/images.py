@@ -41,19 +41,6 @@ def component_count(mask: np.ndarray) -> int:
                 root[max(x, y)] = min(x, y)
                 count -= 1
     return count
-    rows, cols = mask.shape
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(rows, cols), 0)
-    while True:
-        around = np.where(mask, label, mask.size + 1)
-        least = around.copy()
-        least[1:] = np.minimum(least[1:], around[:-1])
-        least[:-1] = np.minimum(least[:-1], around[1:])
-        least[:, 1:] = np.minimum(least[:, 1:], around[:, :-1])
-        least[:, :-1] = np.minimum(least[:, :-1], around[:, 1:])
-        new = np.where(mask, least, 0)
-        if (new == label).all():
-            return len(np.unique(new[mask]))
-        label = new
 
 
 def with_components(images: DataFrame, into: str = "components", share: float = 0.01) -> DataFrame:
