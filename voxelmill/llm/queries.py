@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelmill.llm import bpe, decontam, exact, html, minhash, pii, quality, repeats, sharding, token_counts
+from voxelmill.llm import alignment, bpe, decontam, exact, html, minhash, pii, quality, repeats, secrets, sharding, token_counts, variants
 from voxelmill.session import read_table
 
 
@@ -80,6 +80,34 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("pseudonymised").alias("text"), (F.size("pii_counts") > 0).alias("changed"), *counts)
 
 
+#: Every so manieth run of letters, by checksum, loses a code point.
+TYPO_EVERY = 199
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(variants.runs(F.col("text"), "A-Za-z\u00C0-\u00FF", 6)).alias("run"))
+    check = F.crc32(F.concat_ws(":", "id", "run").cast("binary"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = found.withColumn("h", check).select(F.when(F.col("h") % TYPO_EVERY == 0, cut).otherwise(F.col("run")).alias("word"))
+    return variants.group_variants(variants.count_words(words, least_chars=6, least_count=5)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.measure(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.scan(docs, owner=F.col("source"), repository=F.col("doc_id"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
+    judged = [F.size(F.filter("spans", lambda s, v=told: s["verdict"] == v)).cast("long").alias(f"n_{told}") for told in ("live", "example")]
+    return found.select("doc_id", *counts, *judged, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
