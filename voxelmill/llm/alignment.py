@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,39 +77,57 @@ class Pieces:
         return self._processor.encode(text)
 
 
-def align(ids_a: np.ndarray, ids_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Group of every token of either side, and the places of the two tokens of every link.
+def align(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of tokens of either side up to the end of each group, and the places of the two tokens of every link.
 
     Both sides spell the same bytes. A group ends where tokens of both sides end; each
     stretch between neighbouring token ends of either side is what two tokens share, so
-    it is one link.
+    it is one link. Ends are marked on the bytes themselves, so that nothing is sorted.
     """
     ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    stretches = np.union1d(ends_a, ends_b)
-    return np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), np.searchsorted(ends_a, stretches), np.searchsorted(ends_b, stretches)
-
-
-def spelled(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, names_a: list[str], names_b: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group. ``names`` hold the ids with the mark behind them, inside a group and at its end."""
-    last = lambda group: np.append(group[1:] != group[:-1], True)
-    code = np.concatenate((ids_a * 2 + last(group_a), ids_b * 2 + last(group_b) + len(names_a)))
-    order = np.argsort(np.concatenate((group_a * 2, group_b * 2 + 1)), kind="stable")
-    names = names_a + names_b
-    return "".join([names[k] for k in code[order].tolist()])[:-1]
+    marks = np.zeros(int(ends_a[-1]) + 1, dtype=np.uint8)
+    marks[ends_a] = 1
+    marks[ends_b] += 2
+    marks = marks[np.flatnonzero(marks)].astype(np.int64)
+    ended_a, ended_b = np.cumsum(marks & 1), np.cumsum(marks >> 1)
+    cuts = np.flatnonzero(marks == 3)
+    # the token that a stretch belongs to is the first that hasn't ended before it
+    return ended_a[cuts], ended_b[cuts], ended_a - (marks & 1), ended_b - (marks >> 1)
+
+
+def spelled(ids_a: np.ndarray, ids_b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray, names: list[str], offset: int) -> str:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group.
+
+    ``names`` hold each id with the mark behind it, inside a group and at its end, those
+    of the second side from ``offset`` on. A token stands behind those of its own side
+    and those of the other side's groups that come first.
+    """
+    code_a, code_b = ids_a * 2, ids_b * 2 + offset
+    code_a[upto_a - 1] += 1
+    code_b[upto_b - 1] += 1
+    code = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+    code[np.arange(len(ids_a)) + np.repeat(upto_b - np.diff(upto_b, prepend=0), np.diff(upto_a, prepend=0))] = code_a
+    code[np.arange(len(ids_b)) + np.repeat(upto_a, np.diff(upto_b, prepend=0))] = code_b
+    return "".join([names[k] for k in code.tolist()])[:-1]
 
 
 def _names(size: int, end: str) -> list[str]:
     return [f"{k}{mark}" for k in range(size) for mark in (",", end)]
 
 
+@lru_cache(maxsize=1)
+def _aligner(vocabulary: str, pattern: str, model: bytes) -> _Aligner:
+    """One for all tasks of a Python worker."""
+    return _Aligner(vocabulary, pattern, model)
+
+
 class _Aligner:
-    """Both tokenizers with their tables, made once a task."""
+    """Both tokenizers with their tables."""
 
     def __init__(self, vocabulary: str, pattern: str, model: bytes) -> None:
         self.a, self.b = ByteLevel(vocabulary, pattern), Pieces(model)
         self.size_a, self.size_b = (np.array([len(t) for t in side.table], dtype=np.int64) for side in (self.a, self.b))
-        self.names_a, self.names_b = _names(len(self.a.table), "|"), _names(len(self.b.table), ";")
+        self.names, self.offset = _names(len(self.a.table), "|") + _names(len(self.b.table), ";"), 2 * len(self.a.table)
 
     def measure(self, text: str | None) -> tuple[list, np.ndarray, np.ndarray]:
         """The text's own measures, its distinct packed pairs and how often it has each."""
@@ -122,10 +141,10 @@ class _Aligner:
         a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
         # tokens without bytes have no end of their own
         a, b = a[self.size_a[a] > 0], b[self.size_b[b] > 0]
-        group_a, group_b, link_a, link_b = align(a, b, self.size_a[a], self.size_b[b])
-        groups = spelled(a, b, group_a, group_b, self.names_a, self.names_b)
+        upto_a, upto_b, link_a, link_b = align(self.size_a[a], self.size_b[b])
+        groups = spelled(a, b, upto_a, upto_b, self.names, self.offset)
         pairs, times = np.unique((a[link_a] << B_BITS) | b[link_b], return_counts=True)
-        return [len(a), len(b), int(group_a[-1]) + 1, len(link_a), hashlib.sha256(groups.encode()).hexdigest()], pairs, times
+        return [len(a), len(b), len(upto_a), len(link_a), hashlib.sha256(groups.encode()).hexdigest()], pairs, times
 
 
 def aligned_texts(docs: DataFrame, vocabulary_file: str, pattern: str, model_file: str, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -146,16 +165,18 @@ def aligned_texts(docs: DataFrame, vocabulary_file: str, pattern: str, model_fil
         from pyspark import TaskContext
 
         kind = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
-        aligner, schema = _Aligner(*content.value), pa.schema([(n, kind[k]) for n, k in map(str.split, _SCHEMA.split(", "))])
+        aligner, schema = _aligner(*content.value), pa.schema([(n, kind[k]) for n, k in map(str.split, _SCHEMA.split(", "))])
         task, number, size = TaskContext.get().partitionId(), 0, 0
         asked: list[np.ndarray] = []
         weights: list[np.ndarray] = []
 
         def condensed() -> tuple[np.ndarray, np.ndarray]:
-            keys, place = np.unique(np.concatenate(asked), return_inverse=True)
-            sums = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(sums, place, np.concatenate(weights))
-            return keys, sums
+            keys = np.concatenate(asked)
+            # runs that are in order already are only merged
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            return keys[first], np.add.reduceat(np.concatenate(weights)[order], first) if len(first) else keys
 
         def question() -> pa.RecordBatch:
             keys, sums = condensed()
