@@ -5,8 +5,10 @@ import struct
 import zipfile
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from voxelmill.sources import dicom, volumes
+from voxelmill.sources import dicom, formats, volumes
 
 
 def test_dicom_round_trip(spark, tmp_path):
@@ -19,10 +21,67 @@ def test_dicom_round_trip(spark, tmp_path):
     assert found["b.dcm"].status == "not_dicom"
 
 
-def test_dicom_writer(spark, tmp_path):
-    rows = spark.createDataFrame([("x.dcm", {"Modality": "CT", "Rows": "1", "Columns": "2", "BitsAllocated": "16", "PixelRepresentation": "0"}, [7.0, 9.0])], "name string, tags map<string,string>, data array<double>")
-    assert dicom.write(rows, str(tmp_path / "out")).count() == 1
-    assert dicom.read(spark, str(tmp_path / "out"), pixels=True).first().data == [7.0, 9.0]
+def test_dicom_files(spark, tmp_path):
+    formats.register(spark)
+    rows = spark.createDataFrame([(f"x{k}.dcm", {"Modality": "CT", "Rows": "1", "Columns": "2", "BitsAllocated": "16", "PixelRepresentation": "0"}, [7.0 + k, 9.0]) for k in range(40)], "name string, tags map<string,string>, data array<double>")
+    out = f"file://{tmp_path}/out"
+    rows.repartition(4).write.format("dicom").mode("append").save(out)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"x{k}.dcm" for k in range(40))
+    (tmp_path / "out" / "broken.dcm").write_bytes(b"DICM")
+    (tmp_path / "out" / "cut.dcm").write_bytes(dicom.build({"Modality": "CT", "PatientID": "p"})[:-4])
+    (tmp_path / "out" / "_hidden.dcm").write_bytes(b"x")
+    found = {r.path.rsplit("/", 1)[1]: r for r in spark.read.format("dicom").option("pixels", "true").option("taskBytes", "2000").load(out).collect()}
+    assert len(found) == 42 and found["x5.dcm"].data == [12.0, 9.0] and found["x5.dcm"].n_cols == 2
+    assert found["broken.dcm"].status == "not_dicom" and found["cut.dcm"].status == "truncated"
+    heads = spark.read.format("dicom").option("tags", "Modality").load(out)
+    assert "data" not in heads.columns and {r.path.rsplit("/", 1)[1]: r.tags.get("Modality") for r in heads.collect()}["x7.dcm"] == "CT"
+    rows.limit(1).write.format("dicom").mode("overwrite").save(out)
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("_")] == ["x0.dcm"]
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("dicom").load(str(tmp_path / "none")).count() == 0
+
+
+def test_head_is_enough(tmp_path, monkeypatch):
+    """Without pixels only the head of a file is read, doubled until the pixels are in sight."""
+    monkeypatch.setattr(formats, "HEAD_BYTES", 64)
+    (tmp_path / "a.dcm").write_bytes(dicom.build({"Modality": "MR", "Rows": "300", "Columns": "300", "PatientID": "p" * 60}, np.zeros(90000, dtype="u2")))
+    read = []
+
+    class File:
+        def __init__(self, path):
+            self.data = open(path, "rb").read()
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read_at(self, n, at):
+            read.append(n)
+            return self.data[at : at + n]
+
+    class Store:
+        open_input_file = staticmethod(File)
+
+    source = formats.DicomSource({"path": str(tmp_path)})
+    size = (tmp_path / "a.dcm").stat().st_size
+    row = source.row(Store, str(tmp_path / "a.dcm"), size)
+    assert row["n_rows"] == 300 and row["status"] == "ok" and max(read) <= 1024 < size
+    assert formats.plan([("a", 5), ("b", 6), ("c", 50), ("d", 1)], 12, lambda n: n) == [[("a", 5), ("b", 6)], [("c", 50)], [("d", 1)]]
+
+
+def test_failed_job_leaves_no_file(spark, tmp_path):
+    formats.register(spark)
+    rows = spark.range(8).selectExpr("concat('v', id, '.npz') as name", "array(2, 2) as shape", "cast(null as array<double>) as affine", "if(id = 6, array(1d), array(1d, 2d, 3d, 4d)) as data").repartition(4)
+    with pytest.raises(Exception, match="reshape"):
+        rows.write.format("npz").mode("append").save(str(tmp_path / "out"))
+    assert list((tmp_path / "out").iterdir()) == []
+    with pytest.raises(Exception, match="same file name"):
+        rows.where("name <> 'v6.npz'").withColumn("name", F.lit("a.npz")).write.format("npz").mode("append").save(str(tmp_path / "out"))
+    assert list((tmp_path / "out").iterdir()) == []
+    rows.where("name <> 'v6.npz'").write.format("npz").mode("append").save(str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").iterdir())) == 7
 
 
 def test_volumes(spark, tmp_path):

@@ -45,6 +45,31 @@ def not_in_use(items: DataFrame, active: DataFrame, name: str, task: str) -> Dat
     return items.join(active.select(F.col(task).cast("string").alias("_task")).distinct(), F.split_part(F.col(name), F.lit("_"), F.lit(1)) == F.col("_task"), "left_anti")
 
 
+def not_named(items: DataFrame, active: DataFrame, name: str, task: str) -> DataFrame:
+    """Items whose name holds no active task's identifier anywhere.
+
+    The parts of a name that are as long as some identifier meet the identifiers in an
+    equi-join, so that no item is compared with every task. The lengths are collected:
+    there are no more of them than the longest name has characters. An empty identifier
+    is in every name, a null one in none; items without a name stay.
+    """
+    tasks = active.select(F.col(task).cast("string").alias("_task")).where(F.col("_task").isNotNull()).distinct()
+    longest = items.agg(F.max(F.length(name))).first()[0] or 0
+    sizes = [r[0] for r in tasks.select(F.length("_task").alias("n")).where(F.col("n") <= longest).distinct().collect()]
+    if not sizes:
+        return items
+    def parts_of(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(name) - max(n, 1) + 1), lambda p: F.substring(F.col(name), p, F.lit(n)))
+        return F.when(F.length(name) >= max(n, 1), cut).otherwise(F.array().cast("array<string>"))
+
+    parts = [parts_of(n) for n in sorted(sizes)]
+    if 0 in sizes:
+        parts.append(F.array(F.lit("")))
+    named = items.select(name).distinct().select(F.col(name).alias("_name"), F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("_task"))
+    used = named.join(tasks, "_task", "left_semi").select("_name").distinct()
+    return items.join(used, F.col(name) == F.col("_name"), "left_anti")
+
+
 def matched_stems(books: DataFrame, images: DataFrame, key: str) -> DataFrame:
     """For each image the workbook of the same stem, else the first, by stem, where one stem holds the other, inside ``key``."""
     exact = images.join(books.select(key, F.col("stem").alias("book")), (images[key] == books[key]) & (images["stem"] == F.col("book")), "left").drop(books[key])

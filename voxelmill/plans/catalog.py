@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelmill.operators import mr
-from voxelmill.plans import fixtures, image_queries, mr_queries, stream_queries, table_queries
+from voxelmill.plans import fixtures, image_queries, mr_queries, stream_queries, table_queries, volume_queries
 
-MODULES = [mr_queries, table_queries, image_queries, stream_queries]
+MODULES = [mr_queries, table_queries, image_queries, stream_queries, volume_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -101,8 +101,12 @@ def _elements(data: bytes, at: int, explicit: bool) -> Iterator[tuple[tuple[int,
         yield None, b"", len(data), len(data)
 
 
-def parse(data: bytes, wanted: list[str] | None = None, pixels: bool = False) -> dict:
-    """Tags as text by keyword, and the pixel values if asked for; ``status`` tells what went wrong."""
+def parse(data: bytes, wanted: list[str] | None = None, pixels: bool = False, header: bool = False) -> dict:
+    """Tags as text by keyword, and the pixel values if asked for; ``status`` tells what went wrong.
+
+    With ``header`` the walk ends where the pixels begin, so that the head of a file is
+    enough; ``at_pixels`` tells whether it got there.
+    """
     if data[128:132] == b"DICM":
         at, syntax = 132, _EXPLICIT
         for tag, _, begin, end in _elements(data, 132, True):
@@ -117,12 +121,15 @@ def parse(data: bytes, wanted: list[str] | None = None, pixels: bool = False) ->
         return {"tags": {}, "data": None, "status": "not_dicom"}
     if syntax in _OTHER_BYTES:
         return {"tags": {}, "data": None, "status": "unsupported_format"}
-    tags, values, status = {}, None, "ok"
+    tags, values, status, at_pixels = {}, None, "ok", False
     for tag, _, begin, end in _elements(data, at, syntax != _IMPLICIT):
         if tag is None:
             status = "truncated" if status == "ok" else status
             break
         if tag == _PIXELS:
+            if header:
+                at_pixels = True
+                break
             if pixels:
                 size = {"8": 1, "16": 2, "32": 4}.get(tags.get("BitsAllocated", "16"))
                 if end < 0 or size is None or syntax not in (_IMPLICIT, _EXPLICIT):
@@ -142,7 +149,7 @@ def parse(data: bytes, wanted: list[str] | None = None, pixels: bool = False) ->
     if wanted is not None:
         keep = {"Rows", "Columns", *wanted}
         tags = {k: v for k, v in tags.items() if k in keep}
-    return {"tags": tags, "data": values, "status": status}
+    return {"tags": tags, "data": values, "status": status, "at_pixels": at_pixels}
 
 
 def build(tags: dict[str, str], values=None) -> bytes:
@@ -178,25 +185,3 @@ def read(spark: SparkSession, path: str, tags: list[str] | None = None, pixels:
             yield pd.DataFrame(made, columns=["path", "length", "tags", "n_rows", "n_cols", "data", "status"])
 
     return files.mapInPandas(rows, _SCHEMA)
-
-
-def write(slices: DataFrame, folder: str) -> DataFrame:
-    """Write one file for each row of ``name, tags, data``; returns the names and sizes. ``folder`` must be shared by all executors."""
-
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        import numpy as np
-
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            sizes = []
-            for name, tags, data in zip(batch["name"], batch["tags"], batch["data"], strict=True):
-                content = build(dict(tags), np.asarray(data))
-                with open(f"{folder}/.{name}.part", "wb") as file:
-                    file.write(content)
-                os.replace(f"{folder}/.{name}.part", f"{folder}/{name}")
-                sizes.append(len(content))
-            yield pd.DataFrame({"name": batch["name"], "length": sizes})
-
-    return slices.select("name", "tags", "data").mapInPandas(put, "name string, length long")

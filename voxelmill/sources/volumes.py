@@ -65,6 +65,13 @@ def parse_npz(content: bytes) -> dict:
     return {"shape": list(values.shape), "affine": None, "data": values.astype("float32").ravel(), "status": "ok"}
 
 
+def build_npz(values: np.ndarray) -> bytes:
+    """A packed NPZ file with one array of floats called ``data``."""
+    out = io.BytesIO()
+    np.savez_compressed(out, data=values.astype("float32"))
+    return out.getvalue()
+
+
 def canonical(values: np.ndarray, affine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Axes in the order and direction of right, anterior, superior, and the matrix that goes with it."""
     linear = affine[:3, :3]
