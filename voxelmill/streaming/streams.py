@@ -12,7 +12,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import Row
 
 from voxelmill.session import shared_folder
 
@@ -28,11 +30,16 @@ def file_stream(spark: SparkSession, path: str, files_at_once: int = 4) -> DataF
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and read what it wrote, in the folder that the cluster shares."""
+    """Run a stream over all that is there and read what it wrote, in the folder that the cluster shares.
+
+    In mode ``batches`` every batch goes to the place that its number names.
+    """
     folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer = stream.writeStream.outputMode("append" if mode == "batches" else mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/rows").start()
+    elif mode == "batches":
+        query = writer.foreachBatch(numbered_sink(f"{folder}/rows")).start()
     else:
         query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     query.awaitTermination()
@@ -87,6 +94,130 @@ def throttled(events: DataFrame, key: str, at: str, seconds: float = 0.5, late:
     return timed.groupBy("key").applyInPandasWithState(run, "key long, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: The state store that timers need.
+TIMER_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FlowGate(StatefulProcessor):
+    """Holds a key back from the high mark until its level is down at the low one, and tells when it falls silent.
+
+    State of a key: whether it is held, the moment of its last row (microseconds), and
+    whether its silence has been told.
+    """
+
+    def __init__(self, high: float, low: float, idle_ms: int, event_time: bool) -> None:
+        self.high, self.low, self.idle_ms, self.event_time = high, low, idle_ms, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gate", "held boolean, last long, told boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held, last, told = self.state.get() if self.state.exists() else (False, None, True)
+        for row in sorted(rows, key=lambda r: (r.at, r.level)):
+            if self.event_time and not told and row.at - last > self.idle_ms * 1000:
+                yield Row(key=key[0], at=last + self.idle_ms * 1000, level=None, signal="idle")
+            if row.level >= self.high:
+                signal, held = "wait" if held else "pause", True
+            elif row.level <= self.low:
+                signal, held = "resume" if held else "go", False
+            else:
+                signal = "wait" if held else "go"
+            last, told = row.at if last is None else max(last, row.at), False
+            yield Row(key=key[0], at=row.at, level=row.level, signal=signal)
+        self.state.update((held, last, told))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        begin = -(-last // 1000) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        self.handle.registerTimer(max(begin + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1 if self.event_time else 0))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        held, last, told = self.state.get()
+        if not told:
+            self.state.update((held, last, True))
+            yield Row(key=key[0], at=last + self.idle_ms * 1000, level=None, signal="idle")
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(stream: DataFrame, by: str, processor: StatefulProcessor, schema: str, event_time: bool) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", TIMER_STORE)
+    return stream.groupBy(by).transformWithState(processor, schema, "append", "eventTime" if event_time else "processingTime")
+
+
+def flow_control(levels: DataFrame, key: str, at: str, level: str, high: float = 45.0, low: float = 40.0, idle_seconds: float = 300.0, event_time: bool = True, late: str = "0 seconds") -> DataFrame:
+    """What a producer is told at each row of its level: ``key, at, level, signal``.
+
+    ``pause`` at the high mark, ``wait`` until the level is at the low mark, ``resume``
+    there, else ``go``. A key that is silent for ``idle_seconds`` gets one row ``idle``
+    at that moment and no other until it speaks again: by the watermark, so that a
+    rerun tells the same, or by the clock, for a watchdog. ``at`` is in microseconds; rows
+    of one moment count in the order of their levels.
+    """
+    stream = levels.withWatermark(at, late) if event_time else levels
+    told = stream.select(F.col(key).cast("string").alias("key"), F.unix_micros(at).alias("at"), F.col(level).cast("double").alias("level"), F.col(at).alias("moment"))
+    return _timed(told, "key", FlowGate(high, low, int(idle_seconds * 1000), event_time), "key string, at long, level double, signal string", event_time)
+
+
+class TaskUpdates(StatefulProcessor):
+    """The last log lines of a task, told at most once in so many microseconds unless a row is forced."""
+
+    def __init__(self, lines: int, every: int, forget_ms: int) -> None:
+        self.lines, self.every, self.forget_ms = lines, every, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.logs = handle.getListState("logs", "message string")
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        logs = [r[0] for r in self.logs.get()] if self.logs.exists() else []
+        last = self.last.get()[0] if self.last.exists() else None
+        at = 0
+        for row in sorted(rows, key=lambda r: (r.at, r.message)):
+            logs, at = [*logs, row.message][-self.lines :], row.at
+            due = last is None or at - last >= self.every
+            if row.forced or due:
+                # a forced row doesn't put off the next one
+                last = last if row.forced else at
+                yield Row(key=key[0], at=at, status=row.status, logs=logs)
+        self.logs.put([(line,) for line in logs])
+        if last is not None:
+            self.last.update((last,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(at // 1000 + self.forget_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.logs.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def task_updates(events: DataFrame, key: str, at: str, message: str, status: str, forced: str, lines: int = 5, seconds: float = 0.5, forget_seconds: float = 86400.0, late: str = "0 seconds") -> DataFrame:
+    """Updates of each task with its last ``lines`` log lines: ``key, at, status, logs``.
+
+    A row is told if it is forced or ``seconds`` after the last unforced one that was.
+    The lines of a task that has been silent for ``forget_seconds`` are dropped.
+    """
+    told = events.withWatermark(at, late).select(F.col(key).cast("string").alias("key"), F.unix_micros(at).alias("at"), F.col(message).alias("message"), F.col(status).alias("status"), F.col(forced).alias("forced"), F.col(at).alias("moment"))
+    processor = TaskUpdates(lines, int(seconds * 1_000_000), int(forget_seconds * 1000))
+    return _timed(told, "key", processor, "key string, at long, status string, logs array<string>", True)
+
+
+def numbered_sink(folder: str):
+    """A function for ``foreachBatch`` that puts each batch in the place its number names: one that is run again replaces itself."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return put
+
+
 def window_counts(events: DataFrame, at: str, width: str, slide: str | None = None, by: list[str] | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts in tumbling or sliding windows; a window is told once no late row can change it."""
     window = F.window(at, width, slide) if slide else F.window(at, width)
