@@ -103,8 +103,9 @@ def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = secrets.scan(docs, owner=F.col("source"), repository=F.col("doc_id"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
-    judged = [F.size(F.filter("spans", lambda s, v=told: s["verdict"] == v)).cast("long").alias(f"n_{told}") for told in ("live", "example")]
+    count = lambda field, value: F.size(F.filter("spans", lambda s: s[field] == value)).cast("long").alias(f"n_{value}")
+    counts = [count("kind", kind) for kind in secrets.KINDS]
+    judged = [count("verdict", told) for told in ("live", "example")]
     return found.select("doc_id", *counts, *judged, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
