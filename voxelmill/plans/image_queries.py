@@ -131,7 +131,15 @@ def _affine(s, d):
 _add("i03_affine", lambda s, d: _affine(s, d).select("series_key", _hash(F.col("m"))), FX + f" SELECT series_key, round(list_sum(list_transform({_AFF}, lambda x, i: x * i)), 3) AS sum FROM v")
 _add("f46_voxel_sizes", lambda s, d: _affine(s, d).select("series_key", *[F.round(F.get(P.voxel_sizes(F.col("m")), F.lit(k)), 9).alias(n) for k, n in enumerate("xyz")]),
      FX + f", a AS (SELECT series_key, {_AFF} AS m FROM v) SELECT series_key, round(sqrt(m[1]*m[1]+m[5]*m[5]+m[9]*m[9]), 9) AS x, round(sqrt(m[2]*m[2]+m[6]*m[6]+m[10]*m[10]), 9) AS y, round(sqrt(m[3]*m[3]+m[7]*m[7]+m[11]*m[11]), 9) AS z FROM a")
-_add("i05_axis_matrix", lambda s, d: _affine(s, d).select("series_key", F.transform(P.axis_matrix(F.col("m")), lambda x: F.round(x, 6)).alias("m")).select("series_key", _hash(F.col("m"))))
+_add(
+    "i05_axis_matrix",
+    lambda s, d: _affine(s, d).select("series_key", F.transform(P.axis_matrix(F.col("m")), lambda x: F.round(x, 6)).alias("m")).select("series_key", _hash(F.col("m"))),
+    FX + f""", a AS (SELECT series_key, {_AFF} AS m FROM v),
+  c AS (SELECT series_key, m, unnest([0, 1, 2]) AS k FROM a),
+  p AS (SELECT series_key, m, k, [m[k + 1], m[k + 5], m[k + 9]] AS col FROM c),
+  g AS (SELECT series_key, m, k, sqrt(col[1] * col[1] + col[2] * col[2] + col[3] * col[3]) AS size, col[list_position(list_transform(col, lambda x: abs(x)), list_max(list_transform(col, lambda x: abs(x))))] AS top FROM p)
+  SELECT series_key, round(sum(round(CASE WHEN top < 0 THEN -size ELSE size END, 6) * (k * 5 + 1)) + any_value(round(m[4], 6) * 4 + round(m[8], 6) * 8 + round(m[12], 6) * 12 + 16), 3) AS sum FROM g GROUP BY 1""",
+)
 _add("i11_orientation_error", lambda s, d: _affine(s, d).select("series_key", P.orientation_error(F.col("modality"), F.col("series_key") % 2 == 0, F.col("iop").isNotNull(), F.col("m")).alias("error")),
      FX + f", a AS (SELECT *, {_AFF} AS m FROM v) SELECT series_key, modality IN ('DX','DR','CR','RF') AND CASE WHEN series_key % 2 = 0 THEN iop IS NULL ELSE abs(m[2]) > abs(m[6]) END AS error FROM a")
 _add("f21_window_given", lambda s, d: X.series(s, d).select("series_key", P.window_given(F.concat("echo_time", F.lit("\\40")), F.when(F.col("n_files") > 1, F.col("repetition_time")).otherwise("0")).alias("w")).select("series_key", "w.center", "w.width"),

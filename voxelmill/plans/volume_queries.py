@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from voxelmill.functions import volume as V
+from voxelmill.operators import flow as W
 from voxelmill.operators import joins as J
+from voxelmill.plans import fixtures as X
 from voxelmill.plans.image_queries import PX, _hash, images
 from voxelmill.session import read_table, shared_folder
 from voxelmill.sources import formats
@@ -174,3 +176,55 @@ _add(
   a AS (SELECT DISTINCT task FROM m WHERE o_orderstatus = 'O')
   SELECT item, o_orderkey FROM m WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(m.item, a.task))""",
 )
+
+
+def _damaged(s, d):
+    """Images of which some have lost a value, hold none, or hold one that is no number."""
+    data = F.when(F.col("image_id") % 17 == 3, F.slice("data", 1, 63)).when(F.col("image_id") % 17 == 5, F.transform("data", lambda v, i: F.when(i == 9, float("nan")).otherwise(v))).when(F.col("image_id") % 17 != 7, F.col("data"))
+    return images(s, d).withColumn("data", data)
+
+
+_add(
+    "i14_fix_driver",
+    lambda s, d: W.apply_fixes(_damaged(s, d), F.col("image_id") % 2 == 0, F.col("image_id") % 3 == 0).select("image_id", F.array_join("fixes", ",").alias("fixes"), F.array_join("errors", "; ").alias("errors"), F.when(~(F.col("image_id") % 17).isin(3, 5, 7), F.aggregate(F.transform("fixed", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)).alias("sum")).withColumn("sum", F.round("sum", 3)),
+    PX + """, f AS (SELECT image_id, data, image_id % 2 = 0 AS o, image_id % 3 = 0 AS p, CASE image_id % 17 WHEN 3 THEN 'size differs from rows and columns' WHEN 5 THEN 'values that are no numbers' WHEN 7 THEN 'no pixels' END AS wrong FROM im),
+  n AS (SELECT *, list_filter([CASE WHEN o THEN 'orientation_flip_x' END, CASE WHEN p THEN 'photometric_inversion' END], lambda v: v IS NOT NULL) AS asked FROM f),
+  g AS (SELECT px.image_id, CASE WHEN image_id % 2 = 0 THEN i - i % 8 + 7 - i % 8 ELSE i END AS i, CASE WHEN image_id % 3 = 0 THEN max(x) OVER w - (x - min(x) OVER w) ELSE x END AS x FROM px WINDOW w AS (PARTITION BY image_id)),
+  h AS (SELECT image_id, round(sum(x * (i + 1)), 3) AS sum FROM g GROUP BY 1)
+  SELECT n.image_id, CASE WHEN wrong IS NULL THEN array_to_string(asked, ',') ELSE '' END AS fixes, CASE WHEN wrong IS NULL THEN '' ELSE array_to_string(list_transform(asked, lambda a: concat(a, ': ', wrong)), '; ') END AS errors,
+    CASE WHEN wrong IS NULL THEN h.sum END AS sum FROM n JOIN h USING (image_id)""",
+)
+
+
+def _upload_flow(s, d):
+    """Organize, convert and describe what was uploaded, in a folder of the query's own."""
+    stages = [
+        ("organize", lambda rows: rows.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("files"), F.min("l_shipdate").alias("begun"))),
+        ("convert", lambda rows: rows.where("files > 1").withColumn("volume", F.concat_ws("-", "l_orderkey", "l_linenumber"))),
+        ("metadata", lambda rows: rows.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("volumes"), F.sum("files").alias("files"), F.max("volume").alias("last"))),
+    ]
+    return W.run_stages(read_table(s, d, "lineitem"), stages, f"{shared_folder(s)}/flow-{uuid.uuid4().hex}")
+
+
+_add(
+    "t16_t22_upload_flow",
+    _upload_flow,
+    """WITH o AS (SELECT l_orderkey, l_linenumber, count(*) AS files FROM lineitem GROUP BY ALL HAVING count(*) > 1)
+  SELECT l_linenumber, count(*) AS volumes, sum(files)::BIGINT AS files, max(concat_ws('-', l_orderkey, l_linenumber)) AS last FROM o GROUP BY 1""",
+)
+
+
+def _sheets(s, d):
+    """Series by modality as sheets; then the MR sheet is replaced by the cleaned one."""
+    folder = f"{shared_folder(s)}/sheets-{uuid.uuid4().hex}"
+    rows = X.series(s, d).select("series_key", F.col("modality").alias("sheet"), F.col("protocol_name").alias("name"))
+    W.replace_tables(rows, folder)
+    W.replace_tables(rows.where("sheet = 'MR' and series_key % 10 < 4").withColumn("name", F.lower("name")), folder)
+    return s.read.parquet(folder)
+
+
+_add(
+    "k02_replaced_sheet",
+    _sheets,
+    f"WITH fx AS ({X.duck(X.SERIES)}) SELECT series_key, modality AS sheet, CASE WHEN modality = 'MR' THEN lower(protocol_name) ELSE protocol_name END AS name FROM fx WHERE modality <> 'MR' OR series_key % 10 < 4",
+)
