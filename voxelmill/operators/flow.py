@@ -38,17 +38,19 @@ def fingerprint(table: DataFrame) -> str:
     return hashlib.sha256(repr((table.schema.jsonValue(), *told)).encode()).hexdigest()[:32]
 
 
-def run_stages(source: DataFrame, stages: list[Stage], folder: str) -> DataFrame:
+def run_stages(source: DataFrame, stages: list[Stage], folder: str, key: str | None = None) -> DataFrame:
     """Apply the stages one after another, each to what the one before wrote below ``folder``.
 
     A stage is done when Spark's writer has put its mark. A rerun on the same rows with
     the same stages begins at the first stage after the last one done; on other rows it
     begins anew in a place of its own. What a stage read is deleted once the stage is
-    done, so that one stage's rows are kept at a time.
+    done, so that one stage's rows are kept at a time. Stages are known by their names:
+    one that now does something else needs another name or folder. ``key`` takes the
+    place of the rows' fingerprint where the caller knows what the stages read.
     """
     spark = source.sparkSession
     names = [name for name, _ in stages]
-    key = hashlib.sha256(repr((fingerprint(source), names)).encode()).hexdigest()[:32]
+    key = hashlib.sha256(repr((key if key is not None else fingerprint(source), names)).encode()).hexdigest()[:32]
     places = [f"{folder}/{key}/{k}-{re.sub(r'[^A-Za-z0-9]+', '-', name)}" for k, name in enumerate(names)]
     done = max((k for k, place in enumerate(places) if exists(spark, f"{place}/_SUCCESS")), default=-1)
     for k in range(done + 1, len(stages)):
