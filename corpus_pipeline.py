@@ -1,21 +1,21 @@
 """Cleaning pipeline: quality, exact and near dedup, decontamination, tokens.
 
 Every stage takes the documents its predecessor kept and returns those it keeps, with
-the columns of documents; the last returns the encoded texts. Between stages ``run``
-writes Parquet in the cluster's shared folder, so a lost executor repeats one stage at
-most.
+the columns of documents; the last returns the encoded texts. ``run`` writes each stage
+as Parquet in a shared folder, so a lost executor repeats one stage at most and a run
+that died can be taken up again.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.llm import bpe, decontam, exact, minhash, quality
+from voxelmill.operators import flow
 from voxelmill.session import read_table, shared_folder
 
 #: No SQL expresses the classifier, the sampling of near-duplicates or the merges; tests compare with brute force.
@@ -76,15 +76,15 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, over all documents."""
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The stages one after another, over all documents.
 
-    def next_(docs: DataFrame, k: int) -> DataFrame:
-        kept = STAGES[k][1](spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return kept
-        kept.write.parquet(f"{folder}/{k}")
-        return spark.read.parquet(f"{folder}/{k}")
-
-    return reduce(next_, range(len(STAGES)), read_table(spark, sf_dir, "documents"))
+    With a ``folder`` in a shared store a rerun on the same tables begins at the first
+    stage that was not done; the rows of ``documents``, ``labels`` and ``benchmark`` tell
+    whether they are the same. Without one each run has a new folder, of which only the
+    last stage's rows stay.
+    """
+    docs = read_table(spark, sf_dir, "documents")
+    key = uuid.uuid4().hex if folder is None else "-".join(flow.fingerprint(read_table(spark, sf_dir, t)) for t in ("documents", "labels", "benchmark"))
+    stages = [(name, lambda rows, stage=stage: stage(spark, rows, sf_dir)) for name, stage in STAGES]
+    return flow.run_stages(docs, stages, folder or f"{shared_folder(spark)}/corpus", key)
