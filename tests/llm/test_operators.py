@@ -576,3 +576,25 @@ def test_minhash_in_one_large_bucket(spark, monkeypatch):
     u, v = np.triu_indices(len(rows), 1)
     u, v = u[::7], v[::7]
     assert (minhash.similarity_bound(bins[u], totals[u], bins[v], totals[v]) >= similar[u, v] - 1e-4).all()
+
+
+def test_pipeline_is_taken_up_again(spark, tmp_path, monkeypatch):
+    """A run that dies in its last stage; the next one begins there."""
+    whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect()}
+    calls, stages = [], list(corpus_pipeline.STAGES)
+
+    def counted(k):
+        name, stage = stages[k]
+
+        def run(*args):
+            calls.append(k)
+            made = stage(*args)
+            return made.withColumn("lost", F.raise_error(F.lit("lost"))) if k == 4 and calls.count(4) == 1 else made
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(k) for k in range(5)])
+    with pytest.raises(Exception, match="lost"):
+        corpus_pipeline.run(spark, SF, str(tmp_path))
+    assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF, str(tmp_path)).collect()} == whole
+    assert calls == [0, 1, 2, 3, 4, 4]
