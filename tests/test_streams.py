@@ -70,3 +70,15 @@ def test_throttled(spark, tmp_path, seconds):
     stream = batches(spark, tmp_path / "in", [("1", at(k), 0.0) for k in range(5)], [("1", at(k), 0.0) for k in (5, 8)])
     told = S.drain(S.throttled(stream.withColumn("folder", F.col("folder").cast("long")), "folder", "ts", seconds))
     assert sorted(r["at"] // 1_000_000 - 1_700_000_000 for r in told.collect()) == ([0, 1, 2, 3, 4, 5, 8] if seconds == 0 else [0, 2, 4, 8])
+
+
+def test_locks_and_quiet_sessions(spark, tmp_path):
+    first = [("a", at(0), 0.0), ("a", at(100), 0.0), ("b", at(50), 0.0)]
+    second = [("a", at(1000), 0.0), ("a", at(1010), 0.0), ("z", at(9000), 0.0)]
+    third = [("z", at(9001), 0.0)]
+    stream = batches(spark, tmp_path / "in", first, second, third)
+    moment = lambda t: round((t - at(0)).total_seconds())
+    starts = sorted((r.folder, moment(r.ts)) for r in S.drain(S.locked_starts(stream, "folder", "ts", "5 minutes")).collect())
+    assert starts == [("a", 0), ("a", 1000), ("b", 50), ("z", 9000)] or starts == [("a", 0), ("b", 50), ("z", 9000)]
+    quiet = sorted((r.folder, moment(r["first"]), moment(r.until), r.changes) for r in S.drain(S.quiet_sessions(stream, "folder", "ts", "200 seconds")).collect())
+    assert quiet == [("a", 0, 300, 2), ("a", 1000, 1210, 2), ("b", 50, 250, 1)]

@@ -100,15 +100,15 @@ def series_quality(judged: DataFrame, key: str, limit: float = 0.3) -> DataFrame
     return judged.groupBy(key).agg(F.count(F.lit(1)).alias("images"), share.alias("ratio")).withColumn("low", F.col("ratio") > limit)
 
 
-def reason_summary(judged: DataFrame, key: str, top: int = 3) -> DataFrame:
-    """``40% files with issues - Low contrast:4, ...``: the most frequent reasons of each series; of equals the first by code."""
+def reason_summary(judged: DataFrame, key: str, order: str = "image_id", top: int = 3) -> DataFrame:
+    """``40% files with issues - Low contrast:4, ...``: the most frequent reasons of each series; of equals the one that appears first, images taken by ``order``."""
     # one pass: every reason of an image is a row, the first one (or none) counts the image
-    each = judged.select(key, "low", F.posexplode_outer("reasons").alias("at", "reason"))
+    each = judged.select(key, "low", F.col(order).alias("_order"), F.posexplode_outer("reasons").alias("at", "reason"))
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
-    counts = each.groupBy(key, "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("images"), F.count_if(first & F.col("low")).alias("lows"))
+    counts = each.groupBy(key, "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("images"), F.count_if(first & F.col("low")).alias("lows"), F.min(F.struct("_order", "at")).alias("seen"))
     table = F.create_map(*[F.lit(x) for pair in X.REASONS.items() for x in pair])
     text = lambda e: F.concat(F.coalesce(F.try_element_at(table, e["reason"]), e["reason"]), F.lit(":"), (-e["m"]).cast("string"))
-    shown = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct((-F.col("n")).alias("m"), "reason"))))
+    shown = F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct((-F.col("n")).alias("m"), "seen", "reason"))))
     made = counts.groupBy(key).agg(shown.alias("_shown"), (F.sum("lows") / F.sum("images")).alias("_share"))
     told = F.concat(F.format_string("%.0f", F.bround(F.col("_share") * 100, 0)), F.lit("% files with issues - "), F.array_join(F.transform(F.slice("_shown", 1, top), text), ", "))
     return made.select(key, F.when(F.size("_shown") > 0, told).otherwise("Normal").alias("summary"))

@@ -74,9 +74,8 @@ _add("f31_f47_fixed", lambda s, d: _judged(s, d).select("image_id", P.after_fixe
 _add("a10_series_quality", lambda s, d: I.series_quality(_judged(s, d), "modality").select("modality", "images", F.round("ratio", 9).alias("ratio"), "low"), QC + " SELECT modality, count(*) AS images, round(avg((len(reasons) > 0)::INT), 9) AS ratio, avg((len(reasons) > 0)::INT) > 0.3 AS low FROM qc GROUP BY 1")
 _add("a11_reason_counters", lambda s, d: _judged(s, d).agg(*[F.count_if(F.array_contains("reasons", r)).alias(r) for r in ("contrast_low", "grayscale_inverted", "under_exposed")]), QC + " SELECT count(*) FILTER (list_contains(reasons, 'contrast_low')) AS contrast_low, count(*) FILTER (list_contains(reasons, 'grayscale_inverted')) AS grayscale_inverted, count(*) FILTER (list_contains(reasons, 'under_exposed')) AS under_exposed FROM qc")
 _add("a12_reason_summary", lambda s, d: I.reason_summary(_judged(s, d).withColumn("series", F.col("image_id") % 50), "series"),
-     QC + f", e(k, v) AS (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in P.REASONS.items())}), r AS (SELECT image_id % 50 AS series, unnest(reasons) AS k FROM qc), c AS (SELECT series, k, count(*) AS n, row_number() OVER (PARTITION BY series ORDER BY count(*) DESC, k) AS o FROM r GROUP BY 1, 2), l AS (SELECT series, string_agg(concat(v, ':', n), ', ' ORDER BY o) AS t FROM c JOIN e USING (k) WHERE o <= 3 GROUP BY 1), s AS (SELECT image_id % 50 AS series, avg((len(reasons) > 0)::INT) AS a FROM qc GROUP BY 1) SELECT series, CASE WHEN t IS NULL THEN 'Normal' ELSE concat(round_even(a * 100, 0)::INT, '% files with issues - ', t) END AS summary FROM s LEFT JOIN l USING (series)")
+     QC + f", e(k, v) AS (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in P.REASONS.items())}), r AS (SELECT image_id, image_id % 50 AS series, unnest(reasons) AS k, generate_subscripts(reasons, 1) AS at_ FROM qc), c AS (SELECT series, k, count(*) AS n, row_number() OVER (PARTITION BY series ORDER BY count(*) DESC, min(image_id * 100 + at_)) AS o FROM r GROUP BY 1, 2), l AS (SELECT series, string_agg(concat(v, ':', n), ', ' ORDER BY o) AS t FROM c JOIN e USING (k) WHERE o <= 3 GROUP BY 1), s AS (SELECT image_id % 50 AS series, avg((len(reasons) > 0)::INT) AS a FROM qc GROUP BY 1) SELECT series, CASE WHEN t IS NULL THEN 'Normal' ELSE concat(round_even(a * 100, 0)::INT, '% files with issues - ', t) END AS summary FROM s LEFT JOIN l USING (series)")
 _add("j13_thresholds", lambda s, d: images(s, d).select("image_id", P.threshold(F.col("modality"), "dynamic_range_min", {("MR", "dynamic_range_min"): 17.0}).alias("t")), PX + " SELECT image_id, CASE modality WHEN 'MR' THEN 17.0 WHEN 'DX' THEN 10.0 WHEN 'MG' THEN 10.0 ELSE 20.0 END::DOUBLE AS t FROM im")
-_add("a09_i10_components", lambda s, d: I.segmentation_mask(I.with_components(images(s, d), share=0.3)).select("image_id", "components", "masked"))
 _add("w11_thinned", lambda s, d: images(s, d).select("image_id", F.size(P.thinned(F.col("data"), 20)).alias("n"), F.get(P.thinned(F.col("data"), 20), F.lit(1)).alias("second")), PX + " SELECT image_id, 22 AS n, data[4] AS second FROM im")
 
 
@@ -104,8 +103,6 @@ _add("i16_f18_window_by_tags", lambda s, d: images(s, d).select("image_id", P.wi
 _add("i19_i24_p21_middle_slice", lambda s, d: images(s, d).select("image_id", _hash(P.middle_slice(P.first_volume(F.col("data"), F.lit(48)), F.lit(3), F.lit(16)))), PX + " SELECT image_id, round(sum(x * (i - 15)), 3) AS sum FROM px WHERE i BETWEEN 16 AND 31 GROUP BY 1")
 _add("i07_reversed_zyx", lambda s, d: images(s, d).select("image_id", _hash(P.reversed_zyx(F.col("data"), F.lit(2), F.lit(4), F.lit(8)))),
      PX + " SELECT image_id, round(sum(x * ((7 - i % 8) * 8 + (3 - i // 8 % 4) * 2 + (1 - i // 32) + 1)), 3) AS sum FROM px GROUP BY 1")
-_add("i08_stacked", lambda s, d: images(s, d).groupBy("label").agg(F.flatten(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("image_id")).alias("z"), "data"))), 1, 5), lambda v: v["data"])).alias("data")).select("label", _hash(F.col("data"))),
-     PX + ", o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY image_id DESC) - 1 AS z FROM im), u AS (SELECT label, z, unnest(data) AS x, generate_subscripts(data, 1) AS i FROM o WHERE z < 5) SELECT label, round(sum(x * (z * 64 + i)), 3) AS sum FROM u GROUP BY 1")
 # five images are a series; its slices are stacked by z
 _add(
     "i08_series_stacks",
