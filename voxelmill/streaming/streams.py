@@ -51,11 +51,6 @@ def on_batch(stream: DataFrame, handle, checkpoint: str):
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).start()
 
 
-def locked_starts(events: DataFrame, key: str, at: str, lock: str = "5 minutes") -> DataFrame:
-    """The first start of each key; others of the same key within the lock are dropped."""
-    return events.withWatermark(at, lock).dropDuplicatesWithinWatermark([key])
-
-
 def completed_once(events: DataFrame, key: str, at: str, keep: str = "24 hours") -> DataFrame:
     """Finished tasks, each once; identifiers are forgotten after ``keep``, as histories expire."""
     return events.where(F.col("status") == "completed").withWatermark(at, keep).dropDuplicatesWithinWatermark([key])
@@ -146,6 +141,42 @@ def _timed(stream: DataFrame, by: str, processor: StatefulProcessor, schema: str
     return stream.groupBy(by).transformWithState(processor, schema, "append", "eventTime" if event_time else "processingTime")
 
 
+class StartLocks(StatefulProcessor):
+    """Lets a start through if no other of its key was let through within the lock."""
+
+    def __init__(self, lock: int) -> None:
+        self.lock = lock
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        before = last = self.last.get()[0] if self.last.exists() else None
+        for at in sorted(r.at for r in rows):
+            if last is None or at - last >= self.lock:
+                last = at
+                yield Row(key=key[0], at=at)
+        if last != before:
+            self.last.update((last,))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max((last + self.lock) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def locked_starts(events: DataFrame, key: str, at: str, lock_seconds: float = 300.0, late: str = "0 seconds") -> DataFrame:
+    """``key, at`` (microseconds) of the starts that find no lock of their key younger than ``lock_seconds``; one that is turned away renews no lock."""
+    told = events.withWatermark(at, late).select(F.col(key).cast("string").alias("key"), F.unix_micros(at).alias("at"), F.col(at).alias("moment"))
+    return _timed(told, "key", StartLocks(int(lock_seconds * 1_000_000)), "key string, at long", True)
+
+
 def flow_control(levels: DataFrame, key: str, at: str, level: str, high: float = 45.0, low: float = 40.0, idle_seconds: float = 300.0, event_time: bool = True, late: str = "0 seconds") -> DataFrame:
     """What a producer is told at each row of its level: ``key, at, level, signal``.
 
