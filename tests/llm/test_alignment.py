@@ -121,3 +121,11 @@ def test_long_texts(spark, libraries):
         n_a = len(libraries[0].encode(" " + text, add_special_tokens=False).ids)
         assert found[i].n_a in (0, n_a)
     assert found[1].n_groups > 0 and found[2].n_links > 0
+
+
+def test_blanks_that_exhaust_the_pattern(libraries):
+    """More blanks in a row than the library's pattern can take: the same ids by the other one."""
+    first = alignment.ByteLevel(open(A, encoding="utf-8").read(), public_tokenizers.PATTERN)
+    for text in (" " * 1_500_000 + "x", "a" + "\n" * 1_500_000):
+        ids = first.encode(text)
+        assert b"".join([first.table[k] for k in ids]) == b" " + text.encode() and ids == libraries[0].encode(" " + text, add_special_tokens=False).ids
