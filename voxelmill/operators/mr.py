@@ -1,8 +1,8 @@
 """The MR pipeline: features, hardware, class, dynamic phases, enhancement.
 
 Input columns are named as in the series table (``study_uid, series_key, protocol_name,
-series_desc, image_type, ...``). Stages 1 to 3 are projections; stages 4 and 5 share one
-exchange by study.
+series_desc, image_type, ...``). Stages 1 to 3 are projections; stage 4 exchanges by
+dynamic set, stage 5 joins one row a study.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from voxelmill.functions import series as S
 from voxelmill.functions.basic import let, number, rounded_list, rounded_or_na
 from voxelmill.functions.rules import THRESHOLD_NAMES, MrRules
+from voxelmill.operators.barrier import settled
 from voxelmill.operators.ranking import dense_index
 from voxelmill.session import cut_lineage
 
@@ -51,19 +52,11 @@ def hardware_features(df: DataFrame) -> DataFrame:
     )
 
 
-def threshold_table(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
-    """The rules' thresholds as a table: a handful of rows, broadcast when joined."""
-    rows = [(strength, *values) for strength, values in rules.thresholds.items()]
-    return df.sparkSession.createDataFrame(rows, ["strength", *THRESHOLD_NAMES])
-
-
 def with_thresholds(df: DataFrame, rules: MrRules = S.RULES, into: str = "limit") -> DataFrame:
-    """Thresholds of the field strength, or the default row's."""
-    table = threshold_table(df, rules)
-    own = table.select(F.col("strength").alias("_strength"), F.struct(*THRESHOLD_NAMES).alias("_own"))
-    default = F.struct(*[F.lit(v).alias(n) for n, v in zip(THRESHOLD_NAMES, rules.thresholds["default"], strict=True)])
-    joined = df.join(F.broadcast(own), df["standardFieldStrength"] == F.col("_strength"), "left")
-    return joined.withColumn(into, F.coalesce("_own", default)).drop("_strength", "_own")
+    """Thresholds of the field strength, or the default row's: a constant map, no join."""
+    limits = {strength: F.struct(*[F.lit(v).alias(n) for n, v in zip(THRESHOLD_NAMES, values, strict=True)]) for strength, values in rules.thresholds.items()}
+    own = F.try_element_at(F.create_map(*[part for strength, row in limits.items() for part in (F.lit(strength), row)]), F.col("standardFieldStrength"))
+    return df.withColumn(into, F.coalesce(own, limits["default"]))
 
 
 def classify(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
@@ -72,7 +65,8 @@ def classify(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
     # inside a lambda: as generated code the rules would be one method too long for the JVM's compiler
     row = F.struct(*texts, *[c.alias(k) for k, c in numbers.items()], "limit")
     class_ = let(row, lambda r: S.sequence_class(*[r[t] for t in texts], *[r[k] for k in numbers], r["limit"], rules))
-    return with_thresholds(df, rules).withColumn("sequenceClass", class_).drop("limit")
+    # behind a barrier: what asks for the class later must not repeat the rules
+    return settled(with_thresholds(df, rules), {"sequenceClass": class_}).drop("limit")
 
 
 def fingerprint(df: DataFrame) -> Column:
@@ -88,15 +82,22 @@ def with_fingerprint(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
 
 
 def dynamic_sets(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
-    """Add ``fingerprint`` (null where a series takes no part), ``set_size``, ``set_timed``, ``set_first`` and ``set_place``, by time."""
+    """Add ``fingerprint`` (null where a series takes no part), ``set_size``, ``set_timed``, ``set_first`` and ``set_place``, by time.
+
+    A series that takes no part is a set of its own, so that the many that don't, or that
+    have no study, are spread over all tasks.
+    """
     made = with_fingerprint(df, rules)
-    of_set = Window.partitionBy("study_uid", "fingerprint")
+    alone = F.when(F.col("fingerprint").isNull(), F.xxhash64("series_key"))
+    by_time = Window.partitionBy("study_uid", "fingerprint", alone).orderBy(F.col("seriesTime").asc_nulls_last(), "series_key")
+    # one order for all four: a second window without it would sort again
+    of_set = by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return made.withColumns(
         {
             "set_size": F.count(F.lit(1)).over(of_set),
             "set_timed": F.count("seriesTime").over(of_set),
             "set_first": F.min("series_key").over(of_set),
-            "set_place": F.row_number().over(of_set.orderBy(F.col("seriesTime").asc_nulls_last(), "series_key")),
+            "set_place": F.row_number().over(by_time),
         }
     )
 
@@ -113,17 +114,28 @@ def dynamic_phase() -> Column:
 def group_numbers(series: DataFrame) -> DataFrame:
     """Number the dynamic sets 1, 2, ... by study, size from large to small, first series; needs ``fingerprint`` and ``seriesTime``."""
     sized = series.where("fingerprint is not null").groupBy("study_uid", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.count("seriesTime").alias("timed"), F.min("series_key").alias("first"))
+    return _numbered(sized.where("n > 1 and timed > 0").select("study_uid", "fingerprint", "n", "first"))
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
     # the sets are few beside the series: they are written once and then sorted
-    groups = cut_lineage(sized.where("n > 1 and timed > 0").select("study_uid", "fingerprint", "n", "first"))
-    return dense_index(groups, [F.col("study_uid"), F.col("n").desc(), F.col("first")], "dynamicGroup").select("study_uid", "fingerprint", "dynamicGroup")
+    return dense_index(cut_lineage(groups), [F.col("study_uid"), F.col("n").desc(), F.col("first")], "dynamicGroup").select("study_uid", "fingerprint", "dynamicGroup")
+
+
+def latest_enhanced(df: DataFrame) -> DataFrame:
+    """``study_uid, latest``: the time of a study's last series with an agent; a sum of few columns, whatever a study's size."""
+    given = S.enhanced_by_agent(S.lowered(F.col("protocol_name")), F.col("contrast_agent"))
+    return df.where(given & F.col("study_uid").isNotNull()).groupBy("study_uid").agg(F.max(number(F.col("series_time"))).alias("latest"))
 
 
-def propagate(df: DataFrame, class_: str = "sequenceClass") -> DataFrame:
-    """T1 series without a phase that come after the study's latest enhanced one become enhanced too."""
-    latest = F.max(F.when(F.col("isContrastEnhanced"), F.col("seriesTime"))).over(Window.partitionBy("study_uid"))
-    late = F.col("study_uid").isNotNull() & (F.col("dynamicPhase") == "") & F.contains(class_, F.lit("T1")) & (F.col("seriesTime") > F.col("_latest"))
+def propagate(df: DataFrame, latest: DataFrame, class_: str = "sequenceClass") -> DataFrame:
+    """T1 series without a phase that come after the study's ``latest`` enhanced one become enhanced too.
+
+    A join and no window, so that the rows of a very large study can be split.
+    """
+    late = (F.col("dynamicPhase") == "") & F.contains(class_, F.lit("T1")) & (F.col("seriesTime") > F.col("_latest"))
     return (
-        df.withColumn("_latest", latest)
+        df.join(latest.select("study_uid", F.col("latest").alias("_latest")), "study_uid", "left")
         .withColumn("_late", F.coalesce(late, F.lit(False)))
         .withColumn("dynamicPhase", F.when(F.col("_late"), "POST_PROPAGATED").otherwise(F.col("dynamicPhase")))
         .withColumn("isContrastEnhanced", F.col("isContrastEnhanced") | F.col("_late"))
@@ -134,13 +146,15 @@ def propagate(df: DataFrame, class_: str = "sequenceClass") -> DataFrame:
 def clean_series(df: DataFrame, rules: MrRules = S.RULES, numbered: bool = True) -> DataFrame:
     """All stages: the table with its derived columns.
 
-    ``numbered=False`` leaves out the global numbers of dynamic sets, the one part that
-    needs a second exchange; the sets are then told apart by study and fingerprint.
+    The classified table with its sets is written once to the shared folder; the sets,
+    a row each, are read back from it and numbered. ``numbered=False`` leaves the global
+    numbers out and writes nothing; the sets are then told apart by study and fingerprint.
     """
     classified = classify(hardware_features(atomic_features(df, rules)), rules)
     sets = dynamic_sets(classified, rules)
     phased = sets.withColumn("dynamicPhase", dynamic_phase()).withColumn("isContrastEnhanced", S.enhanced_by_agent(F.col("protocolName_lower"), F.col("contrast_agent")))
-    done = propagate(phased)
     if numbered:
-        done = done.join(group_numbers(with_fingerprint(classified, rules)), ["study_uid", "fingerprint"], "left")
-    return done.drop("set_size", "set_timed", "set_first", "set_place")
+        phased = cut_lineage(phased)
+        firsts = phased.where(is_dynamic() & (F.col("set_place") == 1)).select("study_uid", "fingerprint", F.col("set_size").alias("n"), F.col("set_first").alias("first"))
+        phased = phased.join(_numbered(firsts), ["study_uid", "fingerprint"], "left")
+    return propagate(phased, latest_enhanced(df)).drop("set_size", "set_timed", "set_first", "set_place")
