@@ -1,15 +1,17 @@
 """Main-text extraction with a tree-structured graphical model.
 
 Every block element and every run of text between block boundaries is a node of the
-page's tree and is content or not. Potentials of single nodes come from tags, class
-and id words, link density and length; potentials of parent and child from how often
-their states go together. Sum-product messages, first upward, then downward, give
-each block's marginal. All potentials are learned from labelled pages.
+page's tree: a run of text is content or not, a block holds content or doesn't. The
+potential of a single node comes from its own tag, names and direct text, that of
+parent and child from their tags, and no block holds content while nothing in it does.
+Sum-product messages, first upward, then downward, give each node's marginal. All potentials are learned together: the likelihood of the
+states of whole labelled trees is maximised, with the same messages for its slope.
 """
 
 from __future__ import annotations
 
 import html as _html
+import math
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 #: A quoted value ends where a quote ends a value; a quote that nothing closes is a character of the tag, which then ends at its first >.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[\"'])*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_TOKEN = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: The attribute by which labelled pages mark an element and all below it: 1 content, 0 not.
 LABEL_ATTRIBUTE = "data-content"
 _LABELLED = re.compile(LABEL_ATTRIBUTE + r"\s*=\s*[\"']?([01])")
@@ -53,7 +55,7 @@ class Node:
     linked: int = 0
     stops: int = 0
     label: int | None = None
-    part: int = 0
+    within: bool = False
     children: list[int] = field(default_factory=list)
 
 
@@ -154,7 +156,7 @@ def parse(page: str) -> list[Node]:
         node = stack_node()
         if tag in BLOCK:
             label = _LABELLED.search(attributes)
-            words = tuple(sorted({w.lower() for m in _NAMED.finditer(attributes) for w in _TOKEN.findall(m[1] or m[2] or m[3] or "")})) if "=" in attributes else ()
+            words = _names(attributes) if "=" in attributes else ()
             nodes.append(Node(node, tag, words, label=int(label[1]) if label else nodes[node].label))
             nodes[node].children.append(len(nodes) - 1)
             node = len(nodes) - 1
@@ -169,71 +171,108 @@ def parse(page: str) -> list[Node]:
         stack.append((tag, node, hidden))
     flush()
     for k in range(len(nodes) - 1, 0, -1):
-        own, above = nodes[k], nodes[nodes[k].parent]
-        above.chars += own.chars
-        above.linked += own.linked
-        above.stops += own.stops
-    for node in nodes:
-        share = node.chars / max(1, nodes[0].chars)
-        node.part = 0 if share < 0.05 else 1 if share < 0.2 else 2 if share < 0.5 else 3
+        nodes[nodes[k].parent].chars += nodes[k].chars
+    for node in nodes[1:]:
+        above = nodes[node.parent]
+        node.within = above.within or above.tag in ("article", "main")
     return nodes
 
 
+def _names(attributes: str) -> tuple[str, ...]:
+    """Features of the class, id and role: every word, and the parts of those that are made of several."""
+    found = set()
+    for m in _NAMED.finditer(attributes):
+        for word in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _TOKEN.findall(word)]
+            if len(parts) == 1:
+                found.add(f"name {parts[0]}")
+            elif parts:
+                found.add("name " + "-".join(parts))
+                found.update(f"part {p}" for p in parts)
+    return tuple(sorted(found))
+
+
 def _features(node: Node) -> tuple[str, ...]:
+    """Of a block its tag and names, of a text its length, links and stops; neither counts what lies below or above as its own."""
+    place = "within" if node.within else "outside"
+    if node.text is None:
+        return (f"block {node.tag}", f"block {node.tag} {place}", f"block {node.tag} {'named' if node.words else 'bare'}", *node.words)
     share = node.linked / node.chars if node.chars else 0.0
     density = "none" if share == 0 else "some" if share < 0.3 else "much" if share < 0.8 else "all"
-    size = 0 if node.chars == 0 else 1 if node.chars < 20 else 2 if node.chars < 60 else 3 if node.chars < 150 else 4
-    own = "text" if node.text is not None else "block"
-    stops = "stops" if node.stops else "plain"
-    return (f"{own} {node.tag}", *([f"block part {node.part}"] if node.text is None else []), f"{own} links {density}", f"{own} size {size} {stops}", *(f"word {w}" for w in node.words))
+    size = sum(node.chars >= s for s in (20, 60, 150, 400))
+    return (f"text links {density}", f"text links {density} {place}", f"text size {size} {'stops' if node.stops else 'plain'}", f"text sign {'©' in node.text}")
+
+
+def _joints(parent: str, child: str) -> tuple[str, str, str]:
+    return "any", f"under {parent}", f"{parent} > {child}"
 
 
 @dataclass(frozen=True)
 class PageModel:
-    """Log-potentials: of content against not for each feature, and of parent and child states by the parent's kind."""
+    """Log-potentials: of state 1 against 0 for each feature of a node, and of the four joint states for each of a parent and child."""
 
-    bias: dict[str, float]
     weights: dict[str, float]
-    pairs: dict[str, tuple[tuple[float, float], tuple[float, float]]]
+    joint: dict[str, tuple[float, float, float, float]]
 
     def unary(self, node: Node) -> float:
-        return self.bias["text" if node.text is not None else "block"] + sum(self.weights.get(f, 0.0) for f in _features(node))
+        return sum(self.weights.get(f, 0.0) for f in _features(node))
+
+    def pair(self, parent: str, child: str) -> tuple[tuple[float, float], tuple[float, float]]:
+        """Potentials by the parent's state, then the child's."""
+        a, b, c, d = (float(np.exp(sum(v))) for v in zip(*(self.joint.get(f, (0.0,) * 4) for f in _joints(parent, child)), strict=True))
+        return (a, b), (c, d)
 
     def marginals(self, nodes: list[Node], known: dict | None = None) -> list[float]:
-        """Chance of content for every node, by one upward and one downward pass of sum-product messages."""
+        """Chance of state 1 for every node, by one upward and one downward pass of sum-product messages; blocks without text have none."""
         n = len(nodes)
         known = {} if known is None else known
         up0, up1 = [1.0] * n, [1.0] * n  # product of potentials and messages from below
         low, high = [1.0] * n, [1.0] * n  # message to the parent, in its two states
-        pairs, other = self.pairs, self.pairs["other"]
+        barren, none = [0.0] * n, [0.0] * n  # log-chance that this node, and that all below it, are 0 if what is above is 1
+        joint: list = [None] * n
         for k in range(n - 1, -1, -1):
             node = nodes[k]
-            key = (node.tag, node.words, node.part, node.chars if node.chars < 150 else 150, node.stops > 0, node.linked * 10 // node.chars if node.chars else 0, node.text is None, node.linked > 0)
+            if not node.chars:
+                continue
+            if node.text is None:
+                key = (node.tag, node.words, node.within)
+            else:
+                key = (node.chars if node.chars < 400 else 400, node.linked * 10 // node.chars, node.linked > 0, node.stops > 0, node.within, "©" in node.text)
             ratio = known.get(key)
             if ratio is None:
                 ratio = known[key] = float(np.exp(np.clip(self.unary(node), -30, 30)))
             a, b = up0[k], up1[k] * ratio
+            if node.text is None:
+                b *= -math.expm1(none[k])  # not all below are 0
             total = a + b
-            a, b = a / total, b / total
-            up0[k], up1[k] = a, b
+            up0[k], up1[k] = a, b = a / total, b / total
             if k:
-                psi = pairs.get(nodes[node.parent].tag, other)
+                p = node.parent
+                key = (nodes[p].tag, node.tag)
+                psi = known.get(key)
+                if psi is None:
+                    psi = known[key] = self.pair(*key)
+                joint[k] = psi
                 low[k] = a * psi[0][0] + b * psi[0][1]
                 high[k] = a * psi[1][0] + b * psi[1][1]
-                p = node.parent
+                barren[k] = -math.log1p(b * psi[1][1] / max(a * psi[1][0], 1e-300))
+                none[p] += barren[k]
                 up0[p] *= low[k]
                 up1[p] *= high[k]
                 scale = up0[p] + up1[p]
                 up0[p] /= scale
                 up1[p] /= scale
         out = [0.0] * n
-        out[0] = up1[0]
+        out[0] = up1[0] if nodes[0].chars else 0.0
         for k in range(1, n):
+            psi = joint[k]
+            if psi is None:
+                continue
             p = nodes[k].parent
-            psi = pairs.get(nodes[p].tag, other)
             # the parent's belief without this child's message
-            c0, c1 = (1 - out[p]) / max(low[k], 1e-300), out[p] / max(high[k], 1e-300)
-            d0, d1 = c0 * psi[0][0] + c1 * psi[1][0], c0 * psi[0][1] + c1 * psi[1][1]
+            c0, c1 = (1 - out[p]) / max(low[k], 1e-300), out[p] / max(high[k] * -math.expm1(none[p]), 1e-300)
+            others = -math.expm1(min(0.0, none[p] - barren[k]))
+            d0, d1 = c0 * psi[0][0] + c1 * psi[1][0] * others, c0 * psi[0][1] + c1 * psi[1][1]
             a, b = up0[k] * d0, up1[k] * d1
             out[k] = b / (a + b) if a + b else 0.0
         return out
@@ -246,48 +285,102 @@ class PageModel:
         return "\n\n".join(n.text for n, c in zip(nodes, chances, strict=True) if n.text is not None and c >= 0.5)
 
 
-def fit(pages: Iterable[str], steps: int = 400, ridge: float = 0.002) -> PageModel:
+def _sparse(rows: list[tuple[str, ...]], least: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names of the features that at least ``least`` rows have, and the (row, feature) places where they occur."""
+    count: dict[str, int] = {}
+    for row in rows:
+        for f in row:
+            count[f] = count.get(f, 0) + 1
+    names = sorted(f for f, c in count.items() if c >= least)
+    number = {f: i for i, f in enumerate(names)}
+    places = [(k, number[f]) for k, row in enumerate(rows) for f in row if f in number]
+    owner, feature = np.array(places, dtype=np.int64).reshape(-1, 2).T
+    return names, owner, feature
+
+
+def _spread(index: np.ndarray, tables: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the 2 x 2 tables that go to each place."""
+    return np.stack([np.bincount(index, weights=column, minlength=size) for column in tables.reshape(-1, 4).T], axis=1).reshape(size, 2, 2)
+
+
+def fit(pages: Iterable[str], steps: int = 300, ridge: float = 0.05, least: int = 3) -> PageModel:
     """Learn potentials from pages whose elements are marked by ``data-content`` (inherited downward; unmarked: not content).
 
-    A block element's state is that of most of the text below it.
+    A text's state is its label; a block's is 1 if any text below it is content. The
+    states of all trees are observed, so the slope of their likelihood is what was seen
+    minus the marginals that messages give, for single nodes and for pairs alike. It is
+    followed by steps with momentum (Adam); ``ridge`` holds weights near zero, and
+    features that fewer than ``least`` nodes have get none.
     """
-    rows, labels, kinds, joint = [], [], [], {}
+    rows, joints, parent, depth, states = [], [], [], [], []
     for page in pages:
         nodes = parse(page)
-        inside = [0] * len(nodes)
+        place = {}
+        inside = [int(n.text is not None and n.label == 1) for n in nodes]
         for k in range(len(nodes) - 1, 0, -1):
-            node = nodes[k]
-            if node.text is not None:
-                inside[k] = node.chars if node.label == 1 else 0
-            inside[node.parent] += inside[k]
-        states = [int(inside[k] * 2 > max(n.chars, 1)) for k, n in enumerate(nodes)]
+            inside[nodes[k].parent] |= inside[k]
         for k, node in enumerate(nodes):
             if node.chars:
+                place[k] = len(rows)
                 rows.append(_features(node))
-                labels.append(states[k])
-                kinds.append(node.text is None)
-                if k:
-                    for key in (nodes[node.parent].tag, "other"):
-                        joint.setdefault(key, np.full((2, 2), 0.2))[states[node.parent], states[k]] += 1
-    names = {f: i for i, f in enumerate(sorted({f for r in rows for f in r}))}
-    y, block = np.array(labels, dtype=float), np.array(kinds)
-    index = [np.array([names[f] for f in r]) for r in rows]
-    flat, owner = np.concatenate(index), np.repeat(np.arange(len(rows)), [len(r) for r in index])
-    weights, bias = np.zeros(len(names)), np.zeros(2)
-    count = np.bincount(flat, minlength=len(names))
-    for _ in range(steps):
-        z = np.bincount(owner, weights=weights[flat], minlength=len(rows)) + bias[block.astype(int)]
-        error = 1 / (1 + np.exp(-z)) - y
-        slope = np.bincount(flat, weights=error[owner], minlength=len(names))
-        weights -= 2.0 * (slope / np.maximum(count, 1) * 0.5 + ridge * weights)
-        bias -= 0.2 * np.array([error[~block].mean(), error[block].mean()])
-    prior = np.array([max(1e-3, 1 - y.mean()), max(1e-3, y.mean())])
-    pairs = {}
-    for key, table in joint.items():
-        child = table / table.sum(axis=1, keepdims=True)
-        psi = child / prior
-        pairs[key] = tuple(tuple(float(v) for v in row) for row in psi)
-    return PageModel({"text": float(bias[0]), "block": float(bias[1])}, {f: float(weights[i]) for f, i in names.items()}, pairs)
+                states.append(inside[k])
+                joints.append(_joints(nodes[node.parent].tag, node.tag) if k else ())
+                parent.append(place[node.parent] if k else -1)
+                depth.append(depth[parent[-1]] + 1 if k else 0)
+    if not rows:
+        return PageModel({}, {})
+    names, owner, feature = _sparse(rows, least)
+    kinds, joint_owner, joint_feature = _sparse(joints, least)
+    n, y = len(rows), np.array(states)
+    up_to, level = np.array(parent), np.array(depth)
+    levels = [np.flatnonzero(level == d) for d in range(level.max() + 1)]
+    inner = np.flatnonzero(up_to >= 0)
+    seen = np.zeros((n, 2, 2))
+    seen[inner, y[up_to[inner]], y[inner]] = 1
+    blocks = np.array([r[0].startswith("block") for r in rows])
+    some = lambda none: np.log(np.maximum(-np.expm1(np.minimum(none, 0.0)), 1e-300))  # not all of them are 0
+    values = [np.zeros(len(names)), np.zeros((len(kinds), 2, 2))]
+    moments = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
+    for step in range(1, steps + 1):
+        score = np.zeros((n, 2))
+        score[:, 1] = np.bincount(owner, weights=values[0][feature], minlength=n)
+        psi = _spread(joint_owner, values[1][joint_feature], n)
+        message, barren, none = np.zeros((n, 2)), np.zeros(n), np.zeros(n)
+        for at in reversed(levels):
+            held = at[blocks[at]]
+            score[held, 1] += some(none[held])
+            if at is levels[0]:
+                break
+            message[at] = np.logaddexp(*np.moveaxis(score[at][:, None, :] + psi[at], 2, 0))
+            barren[at] = score[at, 0] + psi[at, 1, 0] - message[at, 1]
+            none += np.bincount(up_to[at], weights=barren[at], minlength=n)
+            for state in (0, 1):
+                score[:, state] += np.bincount(up_to[at], weights=message[at, state], minlength=n)
+        belief = np.zeros((n, 2))
+        both = np.zeros((n, 2, 2))
+        for d, at in enumerate(levels):
+            if d:
+                rest = belief[up_to[at]] - message[at]
+                rest[:, 1] -= some(none[up_to[at]])
+                both[at] = rest[:, :, None] + psi[at] + score[at][:, None, :]
+                both[at, 1, 0] += some(none[up_to[at]] - barren[at])
+                belief[at] = np.logaddexp(both[at][:, 0], both[at][:, 1])
+            else:
+                belief[at] = score[at]
+            total = np.logaddexp(belief[at][:, 0], belief[at][:, 1])
+            belief[at] -= total[:, None]
+            both[at] -= total[:, None, None]
+        error = y - np.exp(belief[:, 1])
+        amiss = seen - np.exp(both)
+        amiss[up_to < 0] = 0
+        slope = _spread(joint_feature, amiss[joint_owner], len(kinds))
+        for v, g, (m, s) in zip(values, (np.bincount(feature, weights=error[owner], minlength=len(names)), slope), moments, strict=True):
+            g = g - ridge * v
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            v += 0.15 * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    joint = {f: tuple(float(x) for x in table.ravel()) for f, table in zip(kinds, values[1], strict=True)}
+    return PageModel({f: float(v) for f, v in zip(names, values[0], strict=True)}, joint)
 
 
 #: Names that labelled example pages give their parts. Fixed values.
@@ -327,6 +420,10 @@ def example_pages(count: int = 600, seed: int = 7) -> list[str]:
     def named(kind: str, inner: str, tags: list[str], label: int) -> str:
         names = _CONTENT if kind == "content" else _NOT_CONTENT[kind]
         tag, name = draw.choice(tags), draw.choice(names)
+        if draw.random() < 0.3:  # a name made of several words
+            name = draw.choice([f"{words(1, 1)}-{name}", f"{name}-{words(1, 1)}", f"{words(1, 1)}_{name}", name + words(1, 1).capitalize(), f"{name}-{draw.randint(1, 99)}"])
+        if draw.random() < 0.15:
+            name = f"{words(1, 1)} {name}"
         attribute = "" if tag != "div" and draw.random() < 0.5 else f' {draw.choice(["class", "class", "id"])}="{name}"'
         return f'<{tag}{attribute} {LABEL_ATTRIBUTE}="{label}">{inner}</{tag}>'
 
@@ -345,15 +442,39 @@ def example_pages(count: int = 600, seed: int = 7) -> list[str]:
         body = f'<body {LABEL_ATTRIBUTE}="1">{around[0]}{around[1]}{inner}{around[3]}{around[2]}</body>'
         return draw.choice([f"<!DOCTYPE html><html><head><title>{words(1, 4)}</title></head>{body}</html>", f"<html>{body}</html>", body])
 
+    def misleading() -> str:
+        """Names of content in which a word for something else is a part, as in a page free of adverts."""
+        return draw.choice(["{0}-{1}", "{1}-{0}", "post {0}-{1}", "{1} {0}-{1}"]).format(draw.choice(draw.choice(list(_NOT_CONTENT.values()))), words(1, 1))
+
+    def opening(title: str) -> str:
+        """A title with what articles put beside it: their own header, the writer, a figure with its caption."""
+        byline = draw.choice(["", "", f"<p>{words(2, 5)}</p>", f'<p class="{draw.choice(["byline", "author", "meta", "date", "entry-meta", "post-meta"])}">{words(2, 6)}</p>', f"<address>{words(2, 4)}</address>"])
+        figure = f"<figure><img src=x><figcaption>{draw.choice([words(3, 9), prose(1, 1)])}</figcaption></figure>" if draw.random() < 0.15 else ""
+        name = draw.choice(["", "", f' class="{draw.choice(["entry", "post", "article", "story"])}-header"'])
+        return f"<header{name}>{title}{byline}</header>{figure}" if title and draw.random() < 0.4 else title + byline + figure
+
+    def closing() -> str:
+        """What may end an article: links for further reading, notes, and a footer that is no content."""
+        reading = draw.choice(["", "", "", links(1, 6), f"<h3>{words(1, 3)}</h3>{links(2, 5)}", f"<h3>{words(1, 2)}</h3><p>{prose(1, 2)}</p>", f"<h3>{words(1, 1)}</h3><ol>" + "".join(f"<li>{draw.choice([words(2, 6), prose(1, 1)])}</li>" for _ in range(draw.randint(1, 5))) + "</ol>"])
+        return reading + (f'<footer {LABEL_ATTRIBUTE}="0">{draw.choice([words(1, 5), prose(1, 1), links(1, 3)])}</footer>' if draw.random() < 0.25 else "")
+
+    def around_all(inner: str) -> str:
+        """Pages of some systems put one form around everything."""
+        return f'<form {draw.choice(["id", "name", "class"])}="{draw.choice(["aspnetForm", "form1", "mainForm", "Form", words(1, 1)])}" method=post action="/x">{inner}</form>' if draw.random() < 0.08 else inner
+
     def paragraph() -> str:
         text = prose(1, 6) if draw.random() < 0.75 else draw.choice([words(1, 5), words(2, 12) + ".", words(5, 60), words(20, 120)])
         if draw.random() < 0.2:
             text += f' <a href="/x">{words(1, 3)}</a> {words(1, 6)}.'
         if draw.random() < 0.15:
             return f"<p><b>{text}<br>"
+        if draw.random() < 0.08:
+            return f'<{(t := draw.choice(["p", "p", "div", "section"]))} class="{misleading()}">{text}</{t}>'
         return f"<p>{text}</p>" if draw.random() < 0.85 else draw.choice([f"<blockquote>{text}</blockquote>", f"<ul><li>{text}</li><li>{prose(1, 2)}</li></ul>", f"<h2>{words(2, 6)}</h2><p>{text}</p>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>", f"<pre>{text}</pre>"])
 
     def junk(kind: str) -> str:
+        if kind == "nav" and draw.random() < 0.2:  # a menu without a name
+            return f'<{(t := draw.choice(["div", "div", "p", "center"]))} {LABEL_ATTRIBUTE}="0">{links(2, 8)}</{t}>'
         if kind == "nav":
             return named(kind, links(1, 9), ["nav", "nav", "div", "ul"], 0)
         if kind == "header":
@@ -370,23 +491,27 @@ def example_pages(count: int = 600, seed: int = 7) -> list[str]:
             return named(kind, f"<label>{words(1, 4)}</label><input name=q><p>{prose(1, 1)}</p>", ["form", "form", "div"], 0)
         if kind == "share":
             return named(kind, links(2, 5), ["div", "ul"], 0)
-        replies = "".join(f'<{t} class="{draw.choice(["comment", "comment-body", "reply"])}">' + draw.choice([f"<p>{prose(1, 4)}</p>", f"<b>{words(1, 2)}</b> {prose(1, 3)}"]) + f"</{t}>" for t in [draw.choice(["div", "li", "article"])] * draw.randint(1, 4))
-        return named("comments", f"<h3>{words(1, 2)}</h3>" + replies, ["div", "section", "ol"], 0)
+        reply = lambda t, under="": f'<{t} class="{draw.choice(["comment", "comment-body", "reply", words(1, 1)])}">' + draw.choice([f"<p>{prose(1, 4)}</p>", f"<p>{prose(1, 3)}</p><p>{prose(1, 2)}</p>", f"<b>{words(1, 2)}</b> {prose(1, 3)}"]) + under + f"</{t}>"
+        replies = "".join(reply(t, reply(t) if draw.random() < 0.2 else "") for t in [draw.choice(["div", "li", "article"])] * draw.choice([1, 2, 3, 4, 8, 15]))
+        return named("comments", draw.choice([f"<h3>{words(1, 2)}</h3>", f"<h2>{words(1, 2)}</h2>", ""]) + replies, ["div", "section", "ol"], 0)
 
     pages = []
     for _ in range(count):
         if draw.random() < PLAIN:
             pages.append(plain())
             continue
-        article = draw.choice([f"<h1>{prose(1, 1)}</h1>", f"<h1>{words(2, 9)}</h1>", f"<h2>{words(2, 9)}</h2>", ""])
+        title, article = draw.choice([f"<h1>{prose(1, 1)}</h1>", f"<h1>{words(2, 9)}</h1>", f"<h2>{words(2, 9)}</h2>", ""]), ""
         if draw.random() < TINY:  # tiny articles beside large other parts
-            article = draw.choice(["", f"<h1>{words(1, 2)}.</h1>"]) + draw.choice([f"<p>{words(1, 4)}.</p>", f"<p><b>{words(1, 4)}.<br>", f"<p>{words(1, 6)}</p>"])
-        for _ in range(draw.choice([1, 2, 3, 5, 8, 12]) if len(article) > 60 or not article else 0):
+            title, article = None, draw.choice(["", f"<h1>{words(1, 2)}.</h1>"]) + draw.choice([f"<p>{words(1, 4)}.</p>", f"<p><b>{words(1, 4)}.<br>", f"<p>{words(1, 6)}</p>"])
+        for _ in range(draw.choice([1, 2, 3, 5, 8, 12]) if title is not None else 0):
             article += paragraph()
             if draw.random() < 0.04:
                 article += junk(draw.choice(["ad", "aside", "share", "form"]))
-        if draw.random() < 0.12:
+        article = opening(title) + article + closing() if title is not None else article
+        if draw.random() < 0.2:
             article += junk("comments")
+        if draw.random() < 0.1:
+            article = f'<{(t := draw.choice(["div", "section"]))} class="{misleading()}">{article}</{t}>'
         body = named("content", article, ["article", "article", "article", "main", "div", "div", "section"], 1)
         if draw.random() < 0.4:
             body = f'<{draw.choice(["main", "div", "section"])}>{body}</div>'
@@ -395,8 +520,14 @@ def example_pages(count: int = 600, seed: int = 7) -> list[str]:
         if draw.random() < 0.3:
             before, after = before + after[:2], after[2:]
         page = "".join(before) + body + "".join(after)
+        if draw.random() < 0.05:  # laid out by a table
+            cells = [f'<td {LABEL_ATTRIBUTE}="0">{draw.choice([links(2, 8), "<br>".join(links(1, 1) for _ in range(3)), words(1, 3)])}</td>', f'<td {LABEL_ATTRIBUTE}="1">{article}</td>']
+            page = "".join(before[:1]) + f"<table><tr>{''.join(cells if draw.random() < 0.7 else cells[::-1])}</tr></table>" + "".join(after[:1])
         if draw.random() < 0.3:
             page = f'<div {draw.choice(["class", "id"])}="{draw.choice(["wrapper", "page", "container", "site"])}">{page}</div>'
+        if draw.random() < 0.04:  # no article at all
+            page = "".join(before + after)
+        page = around_all(page)
         pages.append(f"<!DOCTYPE html><html><head><title>{words(1, 4)}</title></head><body>{page}" + draw.choice(["</body></html>", ""]))
     return pages
 
