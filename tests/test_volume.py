@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import volume as V
 from voxelmill.operators import joins as J
+from voxelmill.plans import catalog
 from voxelmill.sources import volumes
 
 
@@ -73,3 +74,10 @@ def test_not_named(spark):
     assert named(["t1", None, "longer than any name"]) == ["", None, "x"]
     assert named([]) == sorted(["a-t1-b", "t12", "x", None, "", "t1", "t1"], key=str)
     assert named([""]) == [None] and named(["t12"]) == ["", None, "a-t1-b", "t1", "t1", "x"]
+
+
+def test_lists_are_parsed_once_a_row(spark):
+    """However many numbers of the matrix are used: parsing is most of the work."""
+    for name in ("i03_affine", "i04_flat_affine", "i05_axis_matrix", "i11_orientation_error", "f46_voxel_sizes"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 2, name

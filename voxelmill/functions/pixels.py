@@ -261,14 +261,22 @@ def first_volume(data: Column, size: Column) -> Column:
 
 def affine(iop: Column, ipp: Column, row_spacing: Column, col_spacing: Column, slice_spacing: Column) -> Column:
     """Sixteen numbers of the matrix from voxels to right-anterior-superior millimetres; the unit matrix without orientation."""
-    v, p = number_list(iop), number_list(ipp)
-    row, col = [F.get(v, F.lit(k)) for k in range(3)], [F.get(v, F.lit(k)) for k in range(3, 6)]
-    normal = [row[(k + 1) % 3] * col[(k + 2) % 3] - row[(k + 2) % 3] * col[(k + 1) % 3] for k in range(3)]
-    sign = (-1.0, -1.0, 1.0)
-    lines = [[sign[k] * col[k] * col_spacing, -sign[k] * row[k] * row_spacing, sign[k] * normal[k] * slice_spacing, sign[k] * F.get(p, F.lit(k))] for k in range(3)]
-    made = F.array(*[x + F.lit(0.0) for line in lines for x in line], *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
     unit = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
-    return F.when((F.size(v) == 6) & (F.size(p) == 3), made).otherwise(unit)
+
+    def made(v: Column, p: Column) -> Column:
+        row, col = [F.get(v, F.lit(k)) for k in range(3)], [F.get(v, F.lit(k)) for k in range(3, 6)]
+        normal = [row[(k + 1) % 3] * col[(k + 2) % 3] - row[(k + 2) % 3] * col[(k + 1) % 3] for k in range(3)]
+        sign = (-1.0, -1.0, 1.0)
+        lines = [[sign[k] * col[k] * col_spacing, -sign[k] * row[k] * row_spacing, sign[k] * normal[k] * slice_spacing, sign[k] * F.get(p, F.lit(k))] for k in range(3)]
+        matrix = F.array(*[x + F.lit(0.0) for line in lines for x in line], *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
+        return F.when((F.size(v) == 6) & (F.size(p) == 3), matrix).otherwise(unit)
+
+    return _of_lists(iop, ipp, made)
+
+
+def _of_lists(iop: Column, ipp: Column, body) -> Column:
+    """``body`` of the two lists, each of which is parsed once a row, however often its numbers are used."""
+    return let(number_list(iop), lambda v: let(number_list(ipp), lambda p: body(v, p)))
 
 
 def voxel_sizes(matrix: Column) -> Column:
@@ -308,14 +316,16 @@ def fit_inside(height: Column, width: Column, to_height: Column, to_width: Colum
 
 def flat_affine(iop: Column, ipp: Column, row_spacing: Column, col_spacing: Column) -> Column:
     """Matrix of a single X-ray image: by its orientation and position, else rows along y and columns along x."""
-    v, p = number_list(iop), number_list(ipp)
-    row, col = [F.get(v, F.lit(k)) for k in range(3)], [F.get(v, F.lit(k)) for k in range(3, 6)]
-    normal = [row[(k + 1) % 3] * col[(k + 2) % 3] - row[(k + 2) % 3] * col[(k + 1) % 3] for k in range(3)]
-    lines = [[s * row[k] * row_spacing, s * col[k] * col_spacing, s * normal[k], s * F.coalesce(F.get(p, F.lit(k)), F.lit(0.0))] for k, s in enumerate((-1.0, -1.0, 1.0))]
     zero, one = F.lit(0.0), F.lit(1.0)
-    made = F.array(*[x + zero for line in lines for x in line], zero, zero, zero, one)
     standard = F.array(zero, col_spacing, zero, zero, row_spacing, zero, zero, zero, zero, zero, one, zero, zero, zero, zero, one)
-    return F.when(F.size(v) == 6, made).otherwise(standard)
+
+    def made(v: Column, p: Column) -> Column:
+        row, col = [F.get(v, F.lit(k)) for k in range(3)], [F.get(v, F.lit(k)) for k in range(3, 6)]
+        normal = [row[(k + 1) % 3] * col[(k + 2) % 3] - row[(k + 2) % 3] * col[(k + 1) % 3] for k in range(3)]
+        lines = [[s * row[k] * row_spacing, s * col[k] * col_spacing, s * normal[k], s * F.coalesce(F.get(p, F.lit(k)), zero)] for k, s in enumerate((-1.0, -1.0, 1.0))]
+        return F.when(F.size(v) == 6, F.array(*[x + zero for line in lines for x in line], zero, zero, zero, one)).otherwise(standard)
+
+    return _of_lists(iop, ipp, made)
 
 
 def quality_cell(reasons: Column, legacy: Column | None = None) -> Column:
