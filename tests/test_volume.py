@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from voxelmill.functions import volume as V
 from voxelmill.operators import joins as J
-from voxelmill.plans import catalog
+from voxelmill.operators import mr
+from voxelmill.plans import catalog, fixtures
 from voxelmill.sources import volumes
 
 
@@ -81,3 +82,22 @@ def test_lists_are_parsed_once_a_row(spark):
     for name in ("i03_affine", "i04_flat_affine", "i05_axis_matrix", "i11_orientation_error", "f46_voxel_sizes"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 2, name
+
+
+def test_clean_series_of_few_columns(spark, monkeypatch):
+    """Only what is asked for is written, the rows stay the same, and the series are made once."""
+    series = fixtures.mr_series(spark, "/root/testdata/sf0.001")
+    some = ["series_key", "sequenceClass", "isContrastEnhanced", "dynamicPhase", "dynamicGroup"]
+    whole = mr.clean_series(series).select(*some).collect()
+    written, cut = [], mr.cut_lineage
+    monkeypatch.setattr(mr, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    made = mr.clean_series(series, columns=some)
+    assert made.columns == some and sorted(made.collect()) == sorted(whole)
+    assert set(written[0]) == {*mr._LAST, *some} - {"dynamicGroup"}
+    assert "lineitem" not in made._jdf.queryExecution().optimizedPlan().toString() and "l_orderkey" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_of_the_class_are_short_code(spark):
+    """The rules of the class run as generated code, in no lambda."""
+    plan = catalog.queries()["f09_sequence_class"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan

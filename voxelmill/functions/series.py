@@ -95,51 +95,49 @@ def model_name(name: Column) -> Column:
     return F.trim(lowered(name))
 
 
-def _family(scanning: Column, variant: Column, name: Column, etl: Column, rules: MrRules) -> Column:
+def family_of(scanning: Column, variant: Column, name: Column, etl: Column, rules: MrRules) -> Column:
     gradient = F.when(F.contains(variant, F.lit("ss")), "GRE_STEADY_STATE").when(F.contains(variant, F.lit("sp")), "GRE_SPOILED").otherwise("GRE")
     spin = F.when(contains_any(name, rules.single_shot_words) | (etl > rules.single_shot_etl), "SE_SingleShot").when(etl > 1, "TSE").otherwise("SE")
     return F.when(F.contains(scanning, F.lit("gr")), gradient).when(F.contains(scanning, F.lit("se")), spin)
 
 
-def sequence_class(
-    name: Column, description: Column, scanning: Column, variant: Column, image_type: Column, refined: Column, dimension: Column, motion: Column,
-    tr: Column, te: Column, ti: Column, b_value: Column, etl: Column, limit: Column, rules: MrRules = RULES,
-) -> Column:
-    """Class of a series: by name, else by physics, else by what the name hints at; then suffixes.
-
-    ``limit`` is a struct of the thresholds that hold for the field strength. ``name`` is
-    in lower case; numbers are null where missing, and then meet no condition.
-    """
-    description_, scanning, variant = (F.lower(F.coalesce(c, F.lit("nan"))) for c in (description, scanning, variant))
-    has = lambda *parts: contains_any(name, parts)
-    family = _family(scanning, variant, name, etl, rules)
-    known = F.coalesce(family, F.lit("UNKNOWN"))
-
-    by_name = F.when(contains_any(name, rules.localizer_words) | (refined == "LOCALIZER"), "LOCALIZER")
+def class_by_name(name: Column, description: Column, refined: Column, rules: MrRules = RULES) -> Column:
+    """The class that words of the name or the description settle, else null."""
+    described = F.lower(F.coalesce(description, F.lit("nan")))
+    out = F.when(contains_any(name, rules.localizer_words) | (refined == "LOCALIZER"), "LOCALIZER")
     for label, parts in NAME_RULES:
-        by_name = by_name.when(contains_any(name, parts), label)
+        out = out.when(contains_any(name, parts), label)
     for label, parts in DESCRIPTION_RULES:
-        by_name = by_name.when(contains_any(description_, parts), label)
+        out = out.when(contains_any(described, parts), label)
+    return out
+
 
+def class_by_physics(name: Column, scanning: Column, family: Column, tr: Column, te: Column, ti: Column, b_value: Column, limit: Column, rules: MrRules = RULES) -> Column:
+    """The class by diffusion weight, inversion and timing, else null; ``scanning`` in lower case."""
     weighted = (
         F.when(family == "SE_SingleShot", "T2_SE_SingleShot")
         .when(te > limit["t2_te_min"], F.concat(F.lit("T2_"), family))
         .when((tr < limit["t1_tr_max"]) & (te < limit["t1_te_max"]), F.concat(F.lit("T1_"), family))
-        .when((tr > limit["t2_tr_min"]) & (te < limit["pd_te_max"]) & has("pd"), F.concat(F.lit("PD_"), family))
+        .when((tr > limit["t2_tr_min"]) & (te < limit["pd_te_max"]) & F.contains(name, F.lit("pd")), F.concat(F.lit("PD_"), family))
     )
     recovery = (ti >= limit["flair_ti_min"]) | ti.between(F.lit(rules.fat_ti[0]), limit["stir_ti_max"])
-    by_physics = (
-        F.when(b_value > rules.dwi_b_min, F.when(has("dti"), "DTI").otherwise("DWI"))
+    return (
+        F.when(b_value > rules.dwi_b_min, F.when(F.contains(name, F.lit("dti")), "DTI").otherwise("DWI"))
         .when(F.contains(scanning, F.lit("ep")) & contains_any(name, rules.fmri_words), "fMRI_BOLD")
         .when(ti >= limit["flair_ti_min"], "T2_FLAIR")
         .when(recovery, "T2_STIR")
         .otherwise(weighted)
     )
 
+
+def class_by_hint(name: Column, dimension: Column, family: Column, rules: MrRules = RULES) -> Column:
+    """The class that the name hints at, else null."""
+    has = lambda *parts: contains_any(name, parts)
+    known = F.coalesce(family, F.lit("UNKNOWN"))
     # an inversion recovery is classified already, so here the family counts as it is
     spin = F.when(contains_any(name, rules.tse_words), "TSE").when(has("se"), "SE")
     t1_plain = F.when(has("mpr") & has("iso") & (dimension == "3D"), "GRE_FLASH3D").otherwise("NAME_BASED")
-    by_hint = (
+    return (
         F.when(has("tse_dark_fluid"), "T2_FLAIR")
         .when(has("t1"), F.concat(F.lit("T1_"), F.coalesce(family, spin, t1_plain)))
         .when(has("pd"), F.concat(F.lit("PD_"), known))
@@ -148,9 +146,26 @@ def sequence_class(
         .when(has("dwi", "diff"), "DWI")
         .when(has("t2"), F.concat(F.lit("T2_"), F.coalesce(family, spin, F.lit("NAME_BASED"))))
     )
-    base = F.coalesce(by_name, by_physics, by_hint)
+
+
+def class_suffix(name: Column, description: Column, image_type: Column, motion: Column, rules: MrRules = RULES) -> Column:
     corrected = F.when(contains_any(name, rules.motion_words) | F.coalesce(motion, F.lit(False)), "_MC").otherwise("")
-    return F.coalesce(F.concat(base, subtype_suffix(name, description, image_type), corrected), F.lit("UNKNOWN"))
+    return F.concat(subtype_suffix(name, description, image_type), corrected)
+
+
+def sequence_class(
+    name: Column, description: Column, scanning: Column, variant: Column, image_type: Column, refined: Column, dimension: Column, motion: Column,
+    tr: Column, te: Column, ti: Column, b_value: Column, etl: Column, limit: Column, rules: MrRules = RULES,
+) -> Column:
+    """Class of a series: by name, else by physics, else by what the name hints at; then suffixes.
+
+    ``limit`` is a struct of the thresholds that hold for the field strength. ``name`` is
+    in lower case; numbers are null where missing, and then meet no condition.
+    """
+    scanning, variant = (F.lower(F.coalesce(c, F.lit("nan"))) for c in (scanning, variant))
+    family = family_of(scanning, variant, name, etl, rules)
+    base = F.coalesce(class_by_name(name, description, refined, rules), class_by_physics(name, scanning, family, tr, te, ti, b_value, limit, rules), class_by_hint(name, dimension, family, rules))
+    return F.coalesce(F.concat(base, class_suffix(name, description, image_type, motion, rules)), F.lit("UNKNOWN"))
 
 
 def agent_given(agent: Column) -> Column:

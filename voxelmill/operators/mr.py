@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.functions import series as S
-from voxelmill.functions.basic import let, number, rounded_list, rounded_or_na
+from voxelmill.functions.basic import number, rounded_list, rounded_or_na
 from voxelmill.functions.rules import THRESHOLD_NAMES, MrRules
 from voxelmill.operators.barrier import settled
 from voxelmill.operators.ranking import dense_index
@@ -60,13 +60,24 @@ def with_thresholds(df: DataFrame, rules: MrRules = S.RULES, into: str = "limit"
 
 
 def classify(df: DataFrame, rules: MrRules = S.RULES) -> DataFrame:
-    texts = ("protocolName_lower", "series_desc", "scanning_sequence", "sequence_variant", "image_type", "refinedImageType", "standardDimension", "hasMotionCorrection")
-    numbers = {k: number(_column(df, c)) for k, c in NUMBERS.items()}
-    # inside a lambda: as generated code the rules would be one method too long for the JVM's compiler
-    row = F.struct(*texts, *[c.alias(k) for k, c in numbers.items()], "limit")
-    class_ = let(row, lambda r: S.sequence_class(*[r[t] for t in texts], *[r[k] for k in numbers], r["limit"], rules))
-    # behind a barrier: what asks for the class later must not repeat the rules
-    return settled(with_thresholds(df, rules), {"sequenceClass": class_}).drop("limit")
+    """Add ``sequenceClass``, as ``series.sequence_class`` has it.
+
+    The parts of the rules stand behind barriers: what asks for the class later must not
+    repeat them, and each is generated code short enough for the JVM's compiler.
+    """
+    name, own = F.col("protocolName_lower"), lambda part: F.col(f"_class.{part}")
+    numbers = F.struct(*[number(_column(df, c)).alias(k) for k, c in NUMBERS.items()])
+    scanning, variant = (F.lower(F.coalesce(c, F.lit("nan"))) for c in ("scanning_sequence", "sequence_variant"))
+    made = settled(with_thresholds(df, rules), {"_class": numbers})
+    named = S.class_by_name(name, F.col("series_desc"), F.col("refinedImageType"), rules)
+    made = settled(made, {"_family": S.family_of(scanning, variant, name, own("etl"), rules), "_named": named})
+    timed = S.class_by_physics(name, scanning, F.col("_family"), *[own(k) for k in ("tr", "te", "ti", "b")], F.col("limit"), rules)
+    made = settled(made, {"_timed": timed})
+    hinted = S.class_by_hint(name, F.col("standardDimension"), F.col("_family"), rules)
+    made = settled(made, {"_hinted": hinted})
+    suffix = S.class_suffix(name, F.col("series_desc"), F.col("image_type"), F.col("hasMotionCorrection"), rules)
+    made = settled(made, {"sequenceClass": F.coalesce(F.concat(F.coalesce("_named", "_timed", "_hinted"), suffix), F.lit("UNKNOWN"))})
+    return made.drop("limit", "_class", "_family", "_named", "_timed", "_hinted")
 
 
 def fingerprint(df: DataFrame) -> Column:
@@ -143,18 +154,30 @@ def propagate(df: DataFrame, latest: DataFrame, class_: str = "sequenceClass") -
     )
 
 
-def clean_series(df: DataFrame, rules: MrRules = S.RULES, numbered: bool = True) -> DataFrame:
-    """All stages: the table with its derived columns.
+#: What the last stages need of a classified series besides the columns that are asked for.
+_LAST = ("study_uid", "series_key", "fingerprint", "seriesTime", "sequenceClass", "dynamicPhase", "isContrastEnhanced", "set_size", "set_timed", "set_first", "set_place")
+
+
+def clean_series(df: DataFrame, rules: MrRules = S.RULES, numbered: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """All stages: the table with its derived columns, or the ``columns`` that are named.
 
     The classified table with its sets is written once to the shared folder; the sets,
-    a row each, are read back from it and numbered. ``numbered=False`` leaves the global
-    numbers out and writes nothing; the sets are then told apart by study and fingerprint.
+    a row each, are read back from it and numbered. Only columns that are asked for are
+    exchanged and written. ``numbered=False`` leaves the global numbers out and writes
+    nothing; the sets are then told apart by study and fingerprint.
     """
     classified = classify(hardware_features(atomic_features(df, rules)), rules)
     sets = dynamic_sets(classified, rules)
     phased = sets.withColumn("dynamicPhase", dynamic_phase()).withColumn("isContrastEnhanced", S.enhanced_by_agent(F.col("protocolName_lower"), F.col("contrast_agent")))
-    if numbered:
+    if not numbered:
+        latest = latest_enhanced(df)
+    else:
+        if columns is not None:
+            phased = phased.select(*[c for c in phased.columns if c in columns or c in _LAST])
         phased = cut_lineage(phased)
+        # from what was written, so that the table isn't made a second time
+        latest = phased.where(F.col("isContrastEnhanced") & F.col("study_uid").isNotNull()).groupBy("study_uid").agg(F.max("seriesTime").alias("latest"))
         firsts = phased.where(is_dynamic() & (F.col("set_place") == 1)).select("study_uid", "fingerprint", F.col("set_size").alias("n"), F.col("set_first").alias("first"))
         phased = phased.join(_numbered(firsts), ["study_uid", "fingerprint"], "left")
-    return propagate(phased, latest_enhanced(df)).drop("set_size", "set_timed", "set_first", "set_place")
+    made = propagate(phased, latest).drop("set_size", "set_timed", "set_first", "set_place")
+    return made if columns is None else made.select(*columns)

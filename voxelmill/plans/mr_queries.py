@@ -134,7 +134,8 @@ _add("w03_propagation", lambda s, d: mr.clean_series(X.mr_series(s, d), numbered
      f"WITH {FINAL} SELECT series_key, CASE WHEN late THEN 'POST_PROPAGATED' ELSE phase END AS phase, ce OR late AS enhanced FROM e2")
 _add("a04_latest_enhanced", lambda s, d: _features(s, d).where(S.enhanced_by_agent(F.col("protocolName_lower"), F.col("contrast_agent"))).groupBy("study_uid").agg(F.max(B.number(F.col("series_time"))).alias("latest")),
      f"WITH {FEATURES} SELECT study_uid, max(st) AS latest FROM feat WHERE starts_with(nm, 't1') AND {_GIVEN} GROUP BY study_uid")
-_add("mr_clean_series", lambda s, d: mr.clean_series(X.mr_series(s, d)).select("series_key", "standardOrientation", "sequenceClass", "standardFieldStrength", "standardManufacturer", "isFatSuppressed", "isContrastEnhanced", "dynamicPhase", "dynamicGroup"),
+_CLEAN = ["series_key", "standardOrientation", "sequenceClass", "standardFieldStrength", "standardManufacturer", "isFatSuppressed", "isContrastEnhanced", "dynamicPhase", "dynamicGroup"]
+_add("mr_clean_series", lambda s, d: mr.clean_series(X.mr_series(s, d), columns=_CLEAN),
      f"""WITH {FINAL}, g AS (SELECT study_uid, fp, row_number() OVER (ORDER BY study_uid, any_value(n_set) DESC, any_value(first_key)) AS gid FROM dyn WHERE isdyn GROUP BY study_uid, fp)
      SELECT series_key, ori AS "standardOrientation", sc AS "sequenceClass", sfs AS "standardFieldStrength", man AS "standardManufacturer", fat AS "isFatSuppressed", ce OR late AS "isContrastEnhanced", CASE WHEN late THEN 'POST_PROPAGATED' ELSE phase END AS "dynamicPhase", gid AS "dynamicGroup"
      FROM e2 LEFT JOIN g USING (study_uid, fp)""")
