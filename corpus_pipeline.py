@@ -49,7 +49,7 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Texts without words and rows without doc_id stay.
     """
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, **minhash.COPIES)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -273,6 +273,42 @@ def test_minhash_one_family(spark):
     assert {i: c for i, c in found.items() if c != i} == {i: of for of, i in pairs}
 
 
+def test_minhash_near_copies_of_a_large_family(spark, tmp_path):
+    """A quarter of all texts are edited copies of one, which most of them resemble more than one another."""
+    draw = random.Random(8)
+    word = lambda: f"w{draw.randrange(10**9)}"
+    origin = [word() for _ in range(100)]
+    rows = [(1000, " ".join(origin))] + [(i, " ".join(word() for _ in range(100))) for i in range(1, 450)]
+    for i in range(1001, 1150):
+        copy = list(origin)
+        copy[draw.randrange(10, 40)], copy[draw.randrange(50, 90)] = word(), word()
+        rows.append((i, " ".join(copy)))
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.class_id for r in Q.op3_minhash(spark, str(tmp_path)).collect()}
+    assert found == {i: min(i, 1000) for i, _ in rows}
+    kept = corpus_pipeline.keep_one_near_copy(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i <= 1000)
+
+
+def test_minhash_among_copies(spark, docs, rows):
+    """Classes by brute force where frequencies are multiples of each text's median one."""
+    shingles, counts, begins, _ = minhash._bags([(t or "").encode() for _, t in rows])
+    _, which, texts = np.unique(shingles, return_inverse=True, return_counts=True)
+    own = {}
+    for (i, _), a, b in zip(rows, begins[:-1], begins[1:], strict=True):
+        if i is not None and a < b:
+            df = np.maximum(1, texts[which[a:b]] / np.sort(texts[which[a:b]])[(b - a - 1) // 2])
+            own[i] = dict(zip(shingles[a:b].tolist(), (counts[a:b] * (1 + np.log((len(rows) + 1) / (df + 1)))).tolist(), strict=True))
+    root = {i: i for i, _ in rows if i is not None}
+    for i, j in itertools.combinations(sorted(own), 2):
+        least = sum(min(w, own[j].get(s, 0)) for s, w in own[i].items())
+        if least / (sum(own[i].values()) + sum(own[j].values()) - least) >= 0.7 - 1e-9 and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs, threshold=0.7, among_copies=True).collect() if r.doc_id is not None}
+    assert found == root
+
+
 def test_bags_pack():
     draw = np.random.default_rng(4)
     for n in [*range(1, 200), 5000]:

@@ -13,11 +13,11 @@ candidates do; they get a table bucketed by the identifier, which all later join
 
 No group is expanded into its pairs. Texts with the same words are one class and enter
 once, through the smallest identifier. In each band bucket every member is verified
-against the bucket's smallest identifier. Members that fail meet the others by prefixes:
-of two texts that are similar enough, the rarest shingles that make up a fifth of the
-weight have one in common, so pairs without such a shingle are ruled out by proof. What
-shares one, and is not connected yet, is verified. Verified links are joined to connected
-components.
+against a leader, the member that meets most texts. Members that nothing connects with
+it meet the others by prefixes: of two texts that are similar enough, the rarest shingles
+that make up a share of the weight of one less the threshold have one in common, so pairs
+without such a shingle are ruled out by proof. What shares one, and is not connected yet,
+is verified. Verified links are joined to connected components.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ from voxelmill.llm import words
 from voxelmill.session import bucketed_table, cut_lineage, drop_table, shuffle_partitions
 
 WIDTH, THRESHOLD = 5, 0.8
-#: A pair at the threshold shares a band with a chance of 1 - (1 - 0.8^3)^9 = 0.998.
+#: How the queries look for near copies, in families of copies too.
+COPIES = {"threshold": 0.7, "among_copies": True}
+#: A pair at 0.8 shares a band with a chance of 1 - (1 - 0.8^3)^9 = 0.998, at 0.7 of 0.977.
 BANDS, ROWS = 9, 3
 #: Shingles after which a chunk of bags is full.
 CHUNK_SHINGLES = 1 << 20
@@ -46,7 +48,7 @@ MOST_BUCKETS = 10_000
 #: Pairs that share one copy of their smaller member's bag.
 PAIRS_PER_COPY = 1024
 #: Members of a prefix group that meet at once, and sums of weights that bound a pair's similarity there.
-BLOCK, BINS = 128, 128
+BLOCK, BINS = 128, 512
 #: Bytes of texts that a worker shingles at once, and shingles that it samples at once.
 PORTION_BYTES, PORTION_SHINGLES = 1 << 18, 1 << 16
 #: Rounding of sums of weights.
@@ -187,15 +189,29 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class Weights:
-    """TF-IDF of shingles in a corpus of ``total`` documents."""
+    """TF-IDF of shingles in a corpus of ``total`` documents.
 
-    def __init__(self, total: int) -> None:
-        self.total = total
+    ``among_copies`` takes frequencies as multiples of the bag's median one, so that what a
+    text shares with all its copies counts no less than the words that were edited.
+    """
+
+    def __init__(self, total: int, among_copies: bool = False) -> None:
+        self.total, self.among_copies = total, among_copies
 
-    def __call__(self, counts: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    def __call__(self, counts: np.ndarray, frequency: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        if self.among_copies:
+            frequency = np.maximum(1.0, frequency / np.repeat(_medians(frequency, begins), np.diff(begins)))
         return counts * (1.0 + np.log((self.total + 1.0) / (frequency + 1.0)))
 
 
+def _medians(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The lower median of each bag's 32-bit values; bags must not be empty."""
+    sizes = np.diff(begins)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    packed = np.sort((owner << np.uint64(32)) | values.astype(np.uint64))
+    return (packed[begins[:-1] + (sizes - 1) // 2] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 class Sampler:
     """Improved consistent weighted sampling; the random variables of a shingle come from a table, addressed by a hash for each sample."""
 
@@ -240,7 +256,7 @@ def _sign(weights: Weights, fields: pa.Schema):
         if len(frequency) != len(distinct):
             raise ValueError("a chunk of bags changed between two readings of its documents; write them down first")
         frequency = frequency[which]
-        value = weights(_counts(left.column("counts"), begins), frequency)
+        value = weights(_counts(left.column("counts"), begins), frequency, begins)
         sampler = Sampler(BANDS * ROWS)
         bands = np.empty((left.num_rows, BANDS), dtype=np.uint64)
         lo = 0
@@ -267,7 +283,7 @@ def _sign(weights: Weights, fields: pa.Schema):
 _KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 
 
-def weighted_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, Weights]:
+def weighted_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", among_copies: bool = False) -> tuple[DataFrame, str, Weights]:
     """``id, chunk, key_a, key_b, bands, frequency`` of every text that has a word and an identifier; the name of the table of bags; the weights.
 
     The table has ``id, chunk, key_a, key_b, bag, counts``: the distinct shingles in order and
@@ -283,7 +299,7 @@ def weighted_bags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranges = max(1, -(-size // RANGE_BYTES), min(shuffle_partitions(spark), -(-size // LEAST_RANGE_BYTES)))
     rows = source.mapInArrow(_bag_rows, f"id {kind}, chunk long, key_a long, key_b long, bag binary, counts binary")
     stored = bucketed_table(rows, "chunk", min(MOST_BUCKETS, ranges))
-    bags, weights = spark.table(stored).groupBy("chunk"), Weights(total)
+    bags, weights = spark.table(stored).groupBy("chunk"), Weights(total, among_copies)
     asked = bags.applyInArrow(_ask(ranges), "bucket int, chunk long, n int, first long, gaps binary, texts binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, n int, frequency binary")
     fields = pa.schema([("id", _KINDS[kind]), ("chunk", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("frequency", pa.binary())])
@@ -312,7 +328,7 @@ def picked_bags(ids: DataFrame, signed: DataFrame, stored: str) -> str:
 def _decoded(bag: bytes, counts: bytes | None, frequency: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shingles = unpack_bag(bag)
     df = _widen(frequency, len(shingles)).astype(np.int64)
-    return shingles, weights(1 if counts is None else np.frombuffer(counts, dtype="<u4"), df), df
+    return shingles, weights(1 if counts is None else np.frombuffer(counts, dtype="<u4"), df, np.array([0, len(df)])), df
 
 
 def weighted_jaccard(a: tuple[bytes, bytes | None, bytes], b: tuple[bytes, bytes | None, bytes], weights: Weights) -> float:
@@ -398,8 +414,24 @@ def similarity_bound(bins_a: np.ndarray, total_a: np.ndarray, bins_b: np.ndarray
     return least / (total_a + total_b - least)
 
 
+def _met_before(held_a: pa.ListArray, held_b: pa.ListArray, shingle: int) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` hold a common shingle smaller than this one."""
+    sides = []
+    for held in (held_a, held_b):
+        values, owner = held.flatten().to_numpy(), np.repeat(np.arange(len(held)), held.value_lengths().to_numpy())
+        sides.append((values[values < shingle], owner[values < shingle], len(held)))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    marks = []
+    for values, owner, n in sides:
+        both = np.isin(values, common)
+        mark = np.zeros((n, len(common)), dtype=np.float32)
+        mark[owner[both], np.searchsorted(common, values[both])] = 1
+        marks.append(mark)
+    return marks[0] @ marks[1].T > 0
+
+
 def _apart(threshold: float):
-    """Of two blocks of a prefix group, the pairs in different components, one of them open, that the bound doesn't rule out."""
+    """Of two blocks of a prefix group, the pairs in different components, one of them open, that meet in no group of a smaller shingle and that the bound doesn't rule out."""
 
     def unpack(block: pa.StructArray):
         root, open_, total = (block.field(k).to_numpy(zero_copy_only=False) for k in ("root", "open", "total"))
@@ -409,7 +441,10 @@ def _apart(threshold: float):
         for batch in batches:
             for k in range(batch.num_rows):
                 (ids, root_a, open_a, total_a, bins_a), (jds, root_b, open_b, total_b, bins_b) = (unpack(batch.column(c)[k].values) for c in (0, 1))
-                x, y = np.nonzero((root_a[:, None] != root_b[None, :]) & (open_a[:, None] | open_b[None, :]) & (np.minimum(total_a[:, None], total_b[None, :]) >= (threshold - SLACK) * np.maximum(total_a[:, None], total_b[None, :])))
+                meet = (root_a[:, None] != root_b[None, :]) & (open_a[:, None] | open_b[None, :]) & (np.minimum(total_a[:, None], total_b[None, :]) >= (threshold - SLACK) * np.maximum(total_a[:, None], total_b[None, :]))
+                if not meet.any():
+                    continue
+                x, y = np.nonzero(meet & ~_met_before(batch.column(0)[k].values.field("held"), batch.column(1)[k].values.field("held"), batch.column(2)[k].as_py()))
                 # a bound that isn't a number is no proof
                 left = ~(similarity_bound(bins_a[x], total_a[x], bins_b[y], total_b[y]) < threshold - 1e-4)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[left])), jds.take(pa.array(y[left]))], names=["a", "b"])
@@ -417,15 +452,32 @@ def _apart(threshold: float):
     return run
 
 
-def left_over(members: DataFrame, links: DataFrame, roots: DataFrame, bags: DataFrame, weights: Weights, threshold: float) -> DataFrame | None:
+def with_leaders(members: DataFrame) -> DataFrame:
+    """``members`` with the ``leader`` of each bucket: the member that meets most texts in all its buckets, as the origin of a family does."""
+    first = members.groupBy("band", "cell").agg(F.max(F.struct("met", F.xxhash64("id").alias("by"), "id")).alias("first"))
+    return members.join(first.hint("merge"), ["band", "cell"]).select("band", "cell", "id", "members", F.col("first.id").alias("leader"))
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Distinct pairs of a leader ``u`` and a member ``v`` of its bucket; ``meets`` as ``verified`` takes it."""
+    return members.where("id <> leader").groupBy(F.col("leader").alias("u"), F.col("id").alias("v")).agg(F.max("members").alias("meets"))
+
+
+def unconnected(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, cell, id`` of the members that nothing connects with their leader."""
+    own = members.where("id <> leader and members > 2").join(roots.select(F.col("node").alias("id"), F.col("root").alias("own")), "id", "left")
+    both = own.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("other")), "leader", "left")
+    return both.where(F.coalesce("own", "id") != F.coalesce("other", "leader")).select("band", "cell", "id")
+
+
+def left_over(members: DataFrame, roots: DataFrame, bags: DataFrame, weights: Weights, threshold: float) -> DataFrame | None:
     """Distinct pairs ``u < v``, ``meets`` of members that share a bucket's fate and may be similar enough though they aren't connected.
 
-    A member that its leader doesn't match is open. Open members and all others of
+    A member that nothing connects with its leader is open. Open members and all others of
     their buckets are grouped by the shingles of their prefixes; in groups that hold an
     open one and several components, blocks of members meet.
     """
-    linked = links.select(F.col("u").alias("leader"), F.col("v").alias("id"), F.lit(True).alias("linked"))
-    unmatched = cut_lineage(members.where("id <> leader and members > 2").join(linked, ["leader", "id"], "left").where("linked is null").select("band", "cell", "id"))
+    unmatched = cut_lineage(unconnected(members, roots))
     if unmatched.isEmpty():
         return None
     opened = unmatched.select("id").distinct().withColumn("open", F.lit(True))
@@ -442,14 +494,15 @@ def left_over(members: DataFrame, links: DataFrame, roots: DataFrame, bags: Data
     groups = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("open").alias("some")).where("some and lo <> hi").select("shingle", "n")
     inside = cut_lineage(prefixes.join(groups.hint("merge"), "shingle"))
     sums = bags.select("id", *_BAG).join(inside.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(_bin_sums(weights), f"id {kind}, total double, bins binary")
+    held = inside.groupBy("id").agg(F.collect_list("shingle").alias("held"))
     blocks_of = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = cut_lineage(
-        inside.join(sums, "id")
+        inside.join(sums.join(held, "id"), "id")
         .groupBy("shingle", blocks_of.alias("blocks"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("block"))
-        .agg(F.collect_list(F.struct("id", "root", "open", "total", "bins")).alias("group"))
+        .agg(F.collect_list(F.struct("id", "root", "open", "total", "bins", "held")).alias("group"))
     )
     asking = blocks.select("shingle", F.col("group").alias("asked"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-    pairs = asking.join(blocks.select("shingle", "block", "group"), ["shingle", "block"]).select("asked", "group").mapInArrow(_apart(threshold), f"a {kind}, b {kind}")
+    pairs = asking.join(blocks.select("shingle", "block", "group"), ["shingle", "block"]).select("asked", "group", "shingle").mapInArrow(_apart(threshold), f"a {kind}, b {kind}")
     apart = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     return apart.join(apart.groupBy("u").agg(F.count(F.lit(1)).alias("meets")), "u")
 
@@ -479,7 +532,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, among_copies: bool = False) -> DataFrame:
     """One row per document: ``doc_id, copy_of, class_id, class_size, kept``.
 
     ``copy_of`` is the smallest identifier of the texts with the same words in the same
@@ -488,23 +541,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     identifier have no duplicates: they are classes of their own. Repeated rows are
     copies; rows that share an identifier count as one document. Identifiers are whole
     numbers or strings. An empty table gives an empty result, other columns are ignored.
+    ``among_copies`` weights shingles as ``Weights`` says.
     """
     spark = docs.sparkSession
-    signed, stored, weights = weighted_bags(docs, id_col, text_col)
+    signed, stored, weights = weighted_bags(docs, id_col, text_col, among_copies)
     reps = cut_lineage(signed.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     cells = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "cell"))
-    shared = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("leader")).where("members > 1")
-    members = cut_lineage(cells.join(shared.hint("merge"), ["band", "cell"]).select("band", "cell", "id", "leader", "members"))
-    star = members.where("id <> leader").groupBy(F.col("leader").alias("u"), F.col("id").alias("v")).agg(F.max("members").alias("meets"))
-    star = cut_lineage(star)
+    shared = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = cut_lineage(cells.join(shared.hint("merge"), ["band", "cell"]).select("band", "cell", "id", "members"))
+    met = cut_lineage(members.groupBy("id").agg(F.sum("members").alias("met")))
+    members = cut_lineage(with_leaders(members.join(met, "id")))
+    star = cut_lineage(stars(members))
     candidates = picked_bags(members.select("id").distinct(), signed, stored)
     drop_table(spark, stored)
     bags = spark.table(candidates)
     links = cut_lineage(verified(star, bags, weights, threshold).select("u", "v"))
     roots = components(links)
-    apart = left_over(members, links, roots, bags, weights, threshold)
+    apart = left_over(members, roots, bags, weights, threshold)
     if apart is not None:
-        more = verified(apart.join(star, ["u", "v"], "left_anti"), bags, weights, threshold).select("u", "v")
+        tried = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        more = verified(apart.join(tried, ["u", "v"], "left_anti"), bags, weights, threshold).select("u", "v")
         roots = components(links.unionByName(more))
     copies = signed.select(F.col("id").alias("doc_id"), "key_a", "key_b").join(reps.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select("doc_id", "rep")
     # rows that share an identifier take the smallest class
@@ -517,12 +573,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(sizes, "class_id", "left").select("doc_id", "copy_of", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, among_copies: bool = False) -> DataFrame:
     """The documents that stay, with all their columns.
 
     Rows without an identifier and texts without words stay; of rows that share the
     identifier that stays, all stay. An empty table stays empty.
     """
-    found = near_duplicates(docs, id_col, text_col, threshold)
+    found = near_duplicates(docs, id_col, text_col, threshold, among_copies)
     dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(dropped, id_col, "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), **minhash.COPIES)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
