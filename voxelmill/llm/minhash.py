@@ -47,7 +47,7 @@ RANGE_BYTES, LEAST_RANGE_BYTES = 8 << 20, 1 << 18
 MOST_BUCKETS = 10_000
 #: Pairs that share one copy of their smaller member's bag.
 PAIRS_PER_COPY = 1024
-#: Members of a prefix group that meet at once, and sums of weights that bound a pair's similarity there.
+#: Members of a bucket that meet at once, and sums of weights that bound a pair's similarity there.
 BLOCK, BINS = 128, 512
 #: Bytes of texts that a worker shingles at once, and shingles that it samples at once.
 PORTION_BYTES, PORTION_SHINGLES = 1 << 18, 1 << 16
@@ -414,24 +414,23 @@ def similarity_bound(bins_a: np.ndarray, total_a: np.ndarray, bins_b: np.ndarray
     return least / (total_a + total_b - least)
 
 
-def _met_before(held_a: pa.ListArray, held_b: pa.ListArray, shingle: int) -> np.ndarray:
-    """Which rows of ``a`` and ``b`` hold a common shingle smaller than this one."""
-    sides = []
-    for held in (held_a, held_b):
-        values, owner = held.flatten().to_numpy(), np.repeat(np.arange(len(held)), held.value_lengths().to_numpy())
-        sides.append((values[values < shingle], owner[values < shingle], len(held)))
+def _common(held_a: pa.ListArray, held_b: pa.ListArray, below: int | None = None) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` hold a common number, smaller than ``below`` if that is given."""
+    sides = [(held.flatten().to_numpy(), np.repeat(np.arange(len(held)), held.value_lengths().to_numpy())) for held in (held_a, held_b)]
     common = np.intersect1d(sides[0][0], sides[1][0])
+    if below is not None:
+        common = common[common < below]
     marks = []
-    for values, owner, n in sides:
+    for held, (values, owner) in zip((held_a, held_b), sides, strict=True):
         both = np.isin(values, common)
-        mark = np.zeros((n, len(common)), dtype=np.float32)
+        mark = np.zeros((len(held), len(common)), dtype=np.float32)
         mark[owner[both], np.searchsorted(common, values[both])] = 1
         marks.append(mark)
     return marks[0] @ marks[1].T > 0
 
 
 def _apart(threshold: float):
-    """Of two blocks of a prefix group, the pairs in different components, one of them open, that meet in no group of a smaller shingle and that the bound doesn't rule out."""
+    """Of two blocks of a bucket, the pairs in different components, one of them open, that share a prefix's shingle, meet in no bucket of a smaller number and aren't ruled out by the bound."""
 
     def unpack(block: pa.StructArray):
         root, open_, total = (block.field(k).to_numpy(zero_copy_only=False) for k in ("root", "open", "total"))
@@ -442,9 +441,12 @@ def _apart(threshold: float):
             for k in range(batch.num_rows):
                 (ids, root_a, open_a, total_a, bins_a), (jds, root_b, open_b, total_b, bins_b) = (unpack(batch.column(c)[k].values) for c in (0, 1))
                 meet = (root_a[:, None] != root_b[None, :]) & (open_a[:, None] | open_b[None, :]) & (np.minimum(total_a[:, None], total_b[None, :]) >= (threshold - SLACK) * np.maximum(total_a[:, None], total_b[None, :]))
+                a, b = (batch.column(c)[k].values for c in (0, 1))
+                if meet.any():
+                    meet &= ~_common(a.field("buckets"), b.field("buckets"), batch.column(2)[k].as_py())
                 if not meet.any():
                     continue
-                x, y = np.nonzero(meet & ~_met_before(batch.column(0)[k].values.field("held"), batch.column(1)[k].values.field("held"), batch.column(2)[k].as_py()))
+                x, y = np.nonzero(meet & _common(a.field("held"), b.field("held")))
                 # a bound that isn't a number is no proof
                 left = ~(similarity_bound(bins_a[x], total_a[x], bins_b[y], total_b[y]) < threshold - 1e-4)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[left])), jds.take(pa.array(y[left]))], names=["a", "b"])
@@ -474,8 +476,8 @@ def left_over(members: DataFrame, roots: DataFrame, bags: DataFrame, weights: We
     """Distinct pairs ``u < v``, ``meets`` of members that share a bucket's fate and may be similar enough though they aren't connected.
 
     A member that nothing connects with its leader is open. Open members and all others of
-    their buckets are grouped by the shingles of their prefixes; in groups that hold an
-    open one and several components, blocks of members meet.
+    their buckets are grouped by the shingles of their prefixes. Those in groups that hold
+    an open one and several components go back to their buckets, where blocks of them meet.
     """
     unmatched = cut_lineage(unconnected(members, roots))
     if unmatched.isEmpty():
@@ -492,17 +494,20 @@ def left_over(members: DataFrame, roots: DataFrame, bags: DataFrame, weights: We
         bags.select("id", *_BAG).join(placed.hint("shuffle_hash"), "id").select("id", "root", "open", *_BAG).mapInArrow(_prefixes(weights, threshold), f"shingle long, id {kind}, root long, open boolean").distinct()
     )
     groups = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("open").alias("some")).where("some and lo <> hi").select("shingle", "n")
-    inside = cut_lineage(prefixes.join(groups.hint("merge"), "shingle"))
-    sums = bags.select("id", *_BAG).join(inside.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").mapInArrow(_bin_sums(weights), f"id {kind}, total double, bins binary")
-    held = inside.groupBy("id").agg(F.collect_list("shingle").alias("held"))
+    inside = cut_lineage(prefixes.join(groups.hint("merge"), "shingle").groupBy("id", "root", "open").agg(F.collect_list("shingle").alias("held")))
+    sums = bags.select("id", *_BAG).join(inside.select("id").hint("shuffle_hash"), "id", "left_semi").mapInArrow(_bin_sums(weights), f"id {kind}, total double, bins binary")
+    dealt = members.join(unmatched.select("band", "cell").distinct(), ["band", "cell"], "left_semi").join(inside.select("id"), "id").select("id", F.xxhash64("band", "cell").alias("bucket"))
+    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = cut_lineage(dealt.join(sizes.hint("merge"), "bucket"))
+    placed_in = dealt.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
     blocks_of = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = cut_lineage(
-        inside.join(sums.join(held, "id"), "id")
-        .groupBy("shingle", blocks_of.alias("blocks"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("block"))
-        .agg(F.collect_list(F.struct("id", "root", "open", "total", "bins", "held")).alias("group"))
+        dealt.join(inside.join(sums, "id").join(placed_in, "id"), "id")
+        .groupBy("bucket", blocks_of.alias("blocks"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("block"))
+        .agg(F.collect_list(F.struct("id", "root", "open", "total", "bins", "held", "buckets")).alias("group"))
     )
-    asking = blocks.select("shingle", F.col("group").alias("asked"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
-    pairs = asking.join(blocks.select("shingle", "block", "group"), ["shingle", "block"]).select("asked", "group", "shingle").mapInArrow(_apart(threshold), f"a {kind}, b {kind}")
+    asking = blocks.select("bucket", F.col("group").alias("asked"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    pairs = asking.join(blocks.select("bucket", "block", "group"), ["bucket", "block"]).select("asked", "group", "bucket").mapInArrow(_apart(threshold), f"a {kind}, b {kind}")
     apart = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     return apart.join(apart.groupBy("u").agg(F.count(F.lit(1)).alias("meets")), "u")
 
