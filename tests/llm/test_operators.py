@@ -323,6 +323,16 @@ def test_components(spark):
     assert minhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    """Each checkpoint and each exchange of a round is as many files as there are tasks, whatever the rows."""
+    made, cut = [], minhash.cut_lineage
+    monkeypatch.setattr(minhash, "cut_lineage", lambda df: made.append(df) or cut(df))
+    stars = [(5, 1), (9, 1), (1, 7), (2, 3)]
+    found = {r.node: r.root for r in minhash.components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert found == {1: 1, 5: 1, 7: 1, 9: 1, 2: 2, 3: 2}
+    assert len(made) == 2
+
+
 def test_samples_agree_as_often_as_bags_are_similar():
     draw = np.random.default_rng(1)
     shingles = np.sort(draw.choice(1 << 40, 300, replace=False)).astype(np.uint64)

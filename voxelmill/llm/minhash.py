@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.llm import words
@@ -456,7 +456,9 @@ def _apart(threshold: float):
 
 def with_leaders(members: DataFrame) -> DataFrame:
     """``members`` with the ``leader`` of each bucket: the member that meets most texts in all its buckets, as the origin of a family does."""
-    first = members.groupBy("band", "cell").agg(F.max(F.struct("met", F.xxhash64("id").alias("by"), "id")).alias("first"))
+    # a text has a cell in each band, so no window is large
+    met = members.withColumn("met", F.sum("members").over(Window.partitionBy("id")))
+    first = met.groupBy("band", "cell").agg(F.max(F.struct("met", F.xxhash64("id").alias("by"), "id")).alias("first"))
     return members.join(first.hint("merge"), ["band", "cell"]).select("band", "cell", "id", "members", F.col("first.id").alias("leader"))
 
 
@@ -472,8 +474,8 @@ def unconnected(members: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("own", "id") != F.coalesce("other", "leader")).select("band", "cell", "id")
 
 
-def left_over(members: DataFrame, roots: DataFrame, bags: DataFrame, weights: Weights, threshold: float) -> DataFrame | None:
-    """Distinct pairs ``u < v``, ``meets`` of members that share a bucket's fate and may be similar enough though they aren't connected.
+def left_over(members: DataFrame, star: DataFrame, roots: DataFrame, bags: DataFrame, weights: Weights, threshold: float) -> DataFrame | None:
+    """Distinct pairs ``u < v``, ``meets`` of members that share a bucket's fate, are not in ``star`` and may be similar enough though they aren't connected.
 
     A member that nothing connects with its leader is open. Open members and all others of
     their buckets are grouped by the shingles of their prefixes. Those in groups that hold
@@ -482,59 +484,49 @@ def left_over(members: DataFrame, roots: DataFrame, bags: DataFrame, weights: We
     unmatched = cut_lineage(unconnected(members, roots))
     if unmatched.isEmpty():
         return None
-    opened = unmatched.select("id").distinct().withColumn("open", F.lit(True))
-    around = members.join(unmatched.select("band", "cell").distinct(), ["band", "cell"], "left_semi").select("id").distinct()
-    placed = cut_lineage(
-        around.join(opened, "id", "left")
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("id", F.xxhash64(F.coalesce("root", "id")).alias("root"), F.coalesce("open", F.lit(False)).alias("open"))
-    )
+    near = cut_lineage(members.join(unmatched.select("band", "cell").distinct(), ["band", "cell"], "left_semi").select("id", F.xxhash64("band", "cell").alias("bucket")))
+    marked = near.select("id", F.lit(False).alias("open")).unionByName(unmatched.select("id", F.lit(True).alias("open"))).groupBy("id").agg(F.max("open").alias("open"))
+    placed = marked.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.xxhash64(F.coalesce("root", "id")).alias("root"), "open")
     kind = members.schema["id"].dataType.simpleString()
     prefixes = cut_lineage(
-        bags.select("id", *_BAG).join(placed.hint("shuffle_hash"), "id").select("id", "root", "open", *_BAG).mapInArrow(_prefixes(weights, threshold), f"shingle long, id {kind}, root long, open boolean").distinct()
+        bags.select("id", *_BAG).join(placed.hint("shuffle_hash"), "id").select("id", "root", "open", *_BAG).mapInArrow(_prefixes(weights, threshold), f"shingle long, id {kind}, root long, open boolean")
     )
-    groups = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("open").alias("some")).where("some and lo <> hi").select("shingle", "n")
+    groups = prefixes.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("open").alias("some")).where("some and lo <> hi").select("shingle")
     inside = cut_lineage(prefixes.join(groups.hint("merge"), "shingle").groupBy("id", "root", "open").agg(F.collect_list("shingle").alias("held")))
     sums = bags.select("id", *_BAG).join(inside.select("id").hint("shuffle_hash"), "id", "left_semi").mapInArrow(_bin_sums(weights), f"id {kind}, total double, bins binary")
-    dealt = members.join(unmatched.select("band", "cell").distinct(), ["band", "cell"], "left_semi").join(inside.select("id"), "id").select("id", F.xxhash64("band", "cell").alias("bucket"))
+    dealt = near.join(inside.select("id"), "id")
     sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = cut_lineage(dealt.join(sizes.hint("merge"), "bucket"))
-    placed_in = dealt.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
-    blocks_of = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed_in = dealt.join(sizes.hint("merge"), "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "n")).alias("dealt"))
+    texts = inside.join(sums, "id").join(placed_in, "id").select("id", "root", "open", "total", "bins", "held", F.col("dealt.bucket").alias("buckets"), F.explode("dealt").alias("at"))
+    blocks_of = F.ceil(F.col("at.n") / BLOCK).cast("int")
     blocks = cut_lineage(
-        dealt.join(inside.join(sums, "id").join(placed_in, "id"), "id")
-        .groupBy("bucket", blocks_of.alias("blocks"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("block"))
+        texts.groupBy(F.col("at.bucket").alias("bucket"), blocks_of.alias("blocks"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("block"))
         .agg(F.collect_list(F.struct("id", "root", "open", "total", "bins", "held", "buckets")).alias("group"))
     )
     asking = blocks.select("bucket", F.col("group").alias("asked"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
     pairs = asking.join(blocks.select("bucket", "block", "group"), ["bucket", "block"]).select("asked", "group", "bucket").mapInArrow(_apart(threshold), f"a {kind}, b {kind}")
-    apart = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    tried = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    apart = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"))
     return apart.join(apart.groupBy("u").agg(F.count(F.lit(1)).alias("meets")), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges ``u, v``; the root is the smallest node it is connected with.
 
-    Rounds of large and small stars until nothing changes; each round is written to
-    the checkpoint folder.
+    Rounds of large and small stars until every component is a star around its smallest
+    node; each round is written to the checkpoint folder.
     """
     edges = cut_lineage(edges.select("u", "v").where("u <> v").distinct())
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        # in a star the smaller ends of a node's edges are all the same node
+        least = cut_lineage(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.max(F.least("u", "v")).alias("most")))
+        if least.where("m <> most").isEmpty():
+            return least.select(F.col("u").alias("node"), F.col("m").alias("root"))
+        down = both.join(least.select("u", "m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut_lineage(small.where("u <> v").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, among_copies: bool = False) -> DataFrame:
@@ -554,19 +546,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "cell"))
     shared = cells.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = cut_lineage(cells.join(shared.hint("merge"), ["band", "cell"]).select("band", "cell", "id", "members"))
-    met = cut_lineage(members.groupBy("id").agg(F.sum("members").alias("met")))
-    members = cut_lineage(with_leaders(members.join(met, "id")))
+    members = cut_lineage(with_leaders(members))
     star = cut_lineage(stars(members))
     candidates = picked_bags(members.select("id").distinct(), signed, stored)
     drop_table(spark, stored)
     bags = spark.table(candidates)
     links = cut_lineage(verified(star, bags, weights, threshold).select("u", "v"))
     roots = components(links)
-    apart = left_over(members, roots, bags, weights, threshold)
+    apart = left_over(members, star, roots, bags, weights, threshold)
     if apart is not None:
-        tried = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        more = verified(apart.join(tried, ["u", "v"], "left_anti"), bags, weights, threshold).select("u", "v")
-        roots = components(links.unionByName(more))
+        more = verified(apart, bags, weights, threshold).select("u", "v")
+        # the stars found so far stand for the links they were made of
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     copies = signed.select(F.col("id").alias("doc_id"), "key_a", "key_b").join(reps.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select("doc_id", "rep")
     # rows that share an identifier take the smallest class
     classed = copies.join(roots, copies["rep"] == roots["node"], "left").groupBy("doc_id").agg(F.min("rep").alias("copy_of"), F.min(F.coalesce("root", "rep")).alias("class_id"))
